@@ -1,4 +1,4 @@
-"""Small helpers that the operators share: Arrow mapping, checkpoints, shipping the package."""
+"""Small helpers that the operators share: Arrow mapping and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -8,25 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the package to the executors, once an application, so that it need not be installed there."""
-    import atexit
-    import shutil
-    import tempfile
-    from pathlib import Path
-
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    d = tempfile.mkdtemp(prefix="parlance-")  # the driver serves the file from here as long as it lives
-    atexit.register(shutil.rmtree, d, True)
-    shutil.copytree(top, f"{d}/stage/{top.name}", ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/{top.name}_{uuid.uuid4().hex[:8]}", "zip", f"{d}/stage"))
-    _shipped.add(app)
+from parlance.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
