@@ -23,6 +23,7 @@ LETTER, NUMBER, OTHER, BLANK = 1, 2, 3, 4
 
 # Code points of the White_Space property.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+WHITE_TEXT = tuple(chr(c) for c in WHITE_SPACE if c != 32)
 
 
 @functools.lru_cache(maxsize=1)
@@ -126,41 +127,42 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
 
 
 class WordTable:
-    """Ids of distinct words, filled by `encode(list of words) -> list of id lists`; forgets all beyond `most` words."""
+    """Ids of distinct words, filled by `encode(list of words) -> (ids end to end, how many of each)`; forgets all beyond `most` words.
+
+    The words are one Arrow array, so a million of them take some ten megabytes.
+    """
 
     def __init__(self, encode, most: int = 800_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self):
-        self.row: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())
         self.flat = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.n = np.zeros(1 << 14, np.int32)
         self.used = 0
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        if len(self.row) + len(words) > self.most and len(self.row) > self.most // 2:
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Row of each distinct word."""
+        if len(self.known) + len(words) > self.most and len(self.known) > self.most // 2:
             self.clear()
-        get = self.row.get
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        out = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.known), -1), np.int64)
         missing = np.flatnonzero(out < 0)
         if len(missing):
-            new = [words[i] for i in missing]
-            ids = self.encode(new)
-            first = len(self.row)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(n.sum())
+            new = words.take(pa.array(missing))
+            ids, n = self.encode(new.to_pylist())
+            first, total = len(self.known), len(ids)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while first + len(new) > len(self.at):
                 self.at = np.concatenate([self.at, np.zeros_like(self.at)])
                 self.n = np.concatenate([self.n, np.zeros_like(self.n)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
+            self.flat[self.used : self.used + total] = ids
             self.at[first : first + len(new)] = self.used + np.cumsum(n) - n
             self.n[first : first + len(new)] = n
             self.used += total
-            self.row.update(zip(new, range(first, first + len(new))))
+            self.known = pa.concat_arrays([self.known, new])
             out[missing] = np.arange(first, first + len(new))
         return out
 
@@ -173,7 +175,7 @@ class WordTable:
         kind = pa.binary() if ends.dtype == np.int32 else pa.large_binary()
         words = pa.Array.from_buffers(kind, len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(b))])
         coded = words.dictionary_encode()
-        rows = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        rows = self.rows(coded.dictionary.cast(pa.binary()))[coded.indices.to_numpy()]
         n = self.n[rows]
         ends = np.cumsum(n, dtype=np.int64)
         total = int(ends[-1])
@@ -241,12 +243,40 @@ def load_tokenizer(path: str):
     return t
 
 
-def library_words(path: str):
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for y in ids for x in y), np.int32, int(n.sum())), n
+
+
+def library_words(path: str, together: int = 500):
+    """Words as the library encodes them: many in one text with line feeds between, which are words of their own there.
+
+    Words of blanks would run into those, and go alone.
+    """
     t = load_tokenizer(path)
     t.encode_special_tokens = True
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    many = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    feed = many(["\n"])[0]
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        said = [w.decode() for w in words]
+        alone = [i for i, w in enumerate(said) if w.isspace() or w[-1:].isspace() or w[:1] in WHITE_TEXT]
+        if len(feed) != 1 or len(alone) > len(said) // 2:
+            return flat(many(said))
+        apart = dict(zip(alone, many([said[i] for i in alone])))
+        rest = [w for i, w in enumerate(said) if i not in apart] if apart else said
+        ids = [np.array(x, np.int32) for x in many(["\n".join(rest[i : i + together]) + "\n" for i in range(0, len(rest), together)])]
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ends = np.flatnonzero(ids == feed[0])
+        if len(ends) != len(rest):
+            return flat(many(said))
+        n = np.diff(np.concatenate([[-1], ends])) - 1
+        ids = np.delete(ids, ends)
+        if not apart:
+            return ids, n
+        parts = np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+        it = iter(parts)
+        return flat([apart[i] if i in apart else next(it).tolist() for i in range(len(said))])
 
     return encode
 

@@ -3,7 +3,8 @@
 Layout under one folder (Parquet files as containers, readable from any store that Spark reads):
 
   data/kind=chunk    digest, n, ids     unique chunks, ids little-endian and unsigned, `width` bytes each
-  recipes/           part, local_start, doc_id, n_tokens, digests, lengths    ascending by doc_id within and over parts
+  recipes/           part, local_start, doc_id, n_tokens, digests, lengths    ascending by doc_id within and over parts;
+                     digests of 16 bytes and lengths of 4, end to end
   manifest/          part, base, n_docs, n_tokens, root, width     one row a part, and the root over all parts
 
 Streams are cut where a rolling hash over the last 16 ids has `bits` low zeros, so equal passages give equal chunks wherever
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +77,11 @@ def cuts(ids: np.ndarray, at: np.ndarray, fmt: Format) -> list[list[int]]:
 
 
 def name(b: bytes) -> bytes:
-    return hashlib.blake2b(b, digest_size=16).digest()
+    return hashlib.blake2b(b, digest_size=DIGEST).digest()
 
 
-def leaf(doc_id, n_tokens: int, digests: list[bytes]) -> bytes:
-    return hashlib.sha256(b"\0" + f"{doc_id}:{n_tokens}:".encode() + b"".join(digests)).digest()
+def leaf(doc_id, n_tokens: int, digests: bytes) -> bytes:
+    return hashlib.sha256(b"\0" + f"{doc_id}:{n_tokens}:".encode() + digests).digest()
 
 
 class Tree:
@@ -103,7 +105,8 @@ class Tree:
         return out
 
 
-DATA = {"kind": pa.string(), "key": pa.binary(), "n": pa.int64(), "ids": pa.binary(), "doc_id": pa.int64(), "digests": pa.list_(pa.binary()), "lengths": pa.list_(pa.int32())}
+DIGEST = 16
+DATA = {"kind": pa.string(), "key": pa.binary(), "n": pa.int64(), "ids": pa.binary(), "doc_id": pa.int64(), "digests": pa.binary(), "lengths": pa.binary()}
 
 
 def chunked(docs: DataFrame, path: str, end_id: int, fmt: Format) -> DataFrame:
@@ -134,12 +137,13 @@ def chunked(docs: DataFrame, path: str, end_id: int, fmt: Format) -> DataFrame:
                             seen.add(digest)
                             add("chunk", digest, z - a, b, None, None, None)
                         a = z
-                    add("recipe", name(b"".join(digests)), a - begin, None, d, digests, lengths)
+                    whole_of = b"".join(digests)
+                    add("recipe", name(whole_of), a - begin, None, d, whole_of, np.array(lengths, "<u4").tobytes())
                 if len(seen) > 500_000:
                     seen.clear()
                 yield frames.batch(DATA, **rows)
 
-    return frames.map_arrow(frames.texts_of(docs), f, "kind string, key binary, n long, ids binary, doc_id long, digests array<binary>, lengths array<int>")
+    return frames.map_arrow(frames.texts_of(docs), f, "kind string, key binary, n long, ids binary, doc_id long, digests binary, lengths binary")
 
 
 def once(df: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def once(df: DataFrame) -> DataFrame:
     return df.mapInArrow(f, df.schema)
 
 
-ORDERED = {"part": pa.int32(), "local_start": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "digests": pa.list_(pa.binary()), "lengths": pa.list_(pa.int32()), "root": pa.binary()}
+ORDERED = {"part": pa.int32(), "local_start": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "digests": pa.binary(), "lengths": pa.binary(), "root": pa.binary()}
 
 
 def ordered(recipes: DataFrame) -> DataFrame:
@@ -178,9 +182,8 @@ def ordered(recipes: DataFrame) -> DataFrame:
         if n:
             yield frames.batch(ORDERED, part=[part_no], local_start=[n], doc_id=[None], n_tokens=[at], digests=[None], lengths=[None], root=[tree.root])
 
-    tie = F.concat_ws("", F.transform("digests", F.hex))
-    placed = recipes.withColumn("tie", F.xxhash64("key")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", tie)
-    return frames.map_arrow(placed.select("doc_id", F.col("n").alias("n_tokens"), "digests", "lengths"), f, "part int, local_start long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary")
+    placed = recipes.withColumn("tie", F.xxhash64("key")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "digests")
+    return frames.map_arrow(placed.select("doc_id", F.col("n").alias("n_tokens"), "digests", "lengths"), f, "part int, local_start long, doc_id long, n_tokens long, digests binary, lengths binary, root binary")
 
 
 def write(docs: DataFrame, at: str, path: str, end_id: int = 0, fmt: Format = Format()) -> str:
@@ -188,9 +191,9 @@ def write(docs: DataFrame, at: str, path: str, end_id: int = 0, fmt: Format = Fo
     spark = docs.sparkSession
     data = once(chunked(docs, path, end_id, fmt).repartition("key"))
     data.write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/data")
-    recipes = spark.read.schema("key binary, n long, doc_id long, digests array<binary>, lengths array<int>").parquet(f"{at}/data/kind=recipe") if any_of(spark, f"{at}/data/kind=recipe") else None
+    recipes = spark.read.schema("key binary, n long, doc_id long, digests binary, lengths binary").parquet(f"{at}/data/kind=recipe") if any_of(spark, f"{at}/data/kind=recipe") else None
     if recipes is None:
-        recipes = spark.createDataFrame([], "key binary, n long, doc_id long, digests array<binary>, lengths array<int>")
+        recipes = spark.createDataFrame([], "key binary, n long, doc_id long, digests binary, lengths binary")
     ordered(recipes).write.option("compression", "zstd").parquet(f"{at}/recipes")
     sums = spark.read.schema(SORTED).parquet(f"{at}/recipes").filter("root is not null").select("part", "local_start", "n_tokens", "root").orderBy("part").collect()  # one row a partition
     rows, base, tree = [], 0, Tree()
@@ -203,7 +206,7 @@ def write(docs: DataFrame, at: str, path: str, end_id: int = 0, fmt: Format = Fo
     return at
 
 
-SORTED = "part int, local_start long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, root binary"
+SORTED = "part int, local_start long, doc_id long, n_tokens long, digests binary, lengths binary, root binary"
 MANIFEST = "part int, base long, n_docs long, n_tokens long, root binary, width int"
 
 
@@ -272,11 +275,29 @@ def shifted(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def links(spark: SparkSession, at: str) -> DataFrame:
-    """One row for each chunk of each document: doc_id, start, n_tokens, pos, digest, length, after (bytes that follow, 4 an id)."""
-    r = recipes_of(spark, at)
-    run = F.expr("aggregate(lengths, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))")
-    return r.select("doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("digests", "lengths", F.slice(run, F.lit(2), F.size("lengths")).alias("upto"))).alias("pos", "x")).select(
-        "doc_id", "start", "n_tokens", "pos", F.col("x.digests").alias("digest"), F.col("x.lengths").alias("length"), (4 * (F.col("n_tokens") - F.col("x.upto"))).alias("after"))
+    """One row for each chunk of each document: doc_id, start, n_tokens, pos, digest, after (bytes that follow, 4 an id)."""
+
+    def f(batches):
+        kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "pos": pa.int32(), "digest": pa.binary(), "after": pa.int64()}
+        for whole in batches:
+            for lo in range(0, len(whole), 2000):
+                part = whole.slice(lo, 2000)
+                if not len(part):
+                    continue
+                names, lengths = b"".join(part.column(3).to_pylist()), np.frombuffer(b"".join(part.column(4).to_pylist()), "<u4").astype(np.int64)
+                n = np.asarray(pc.binary_length(part.column(4)), np.int64) // 4
+                doc = np.repeat(np.arange(len(part)), n)
+                first = np.cumsum(n) - n
+                upto = np.cumsum(lengths)
+                inside = upto - (upto - lengths)[first][doc]
+                offsets = pa.py_buffer(np.arange(0, DIGEST * len(doc) + 1, DIGEST, dtype=np.int32))
+                digests = pa.Array.from_buffers(pa.binary(), len(doc), [None, offsets, pa.py_buffer(names)])
+                own = pa.array(doc)
+                total = part.column(2).to_numpy()[doc]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(total), pa.array(np.arange(len(doc)) - first[doc], pa.int32()), digests, pa.array(4 * (total - inside))], names=list(kinds))
+
+    r = recipes_of(spark, at).select("doc_id", "start", "n_tokens", "digests", "lengths")
+    return frames.map_arrow(r, f, "doc_id long, start long, n_tokens long, pos int, digest binary, after long")
 
 
 def summary(spark: SparkSession, at: str) -> DataFrame:

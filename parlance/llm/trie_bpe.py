@@ -85,7 +85,10 @@ class TrieEncoder:
             got = self.pairs[key] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return got
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return bytelevel.flat(self.lists(words))
+
+    def lists(self, words: list[bytes]) -> list[list[int]]:
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list = [None] * len(words)
         last: list[int] = [-1]  # last[d]: the last token of the first d bytes of the present path
