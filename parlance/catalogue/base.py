@@ -52,8 +52,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SEG = """seg AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_ms(ts) AS start_ms,
-  epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) * 100 AS end_ms, event_type AS speaker, value, event_id FROM events)"""
+SEG = """seg AS (SELECT user_id AS rec_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, epoch_us(ts) // 1000 AS start_ms,
+  epoch_us(ts) // 1000 + CAST(round(value * 1000) AS BIGINT) * 100 AS end_ms, event_type AS speaker, value, event_id FROM events)"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,7 +170,7 @@ def fusable_in_band(spark, sf_dir):
     return summaries.in_band(summaries.fusable(spoken(spark, sf_dir), 200), 5000, 60_000).select("rec_id", "seq")
 
 
-@query("SELECT * FROM (VALUES ('c_0', 1), ('c_9', 1)) t(name, n)")
+@query("SELECT * FROM (VALUES ('c_0', 1::BIGINT), ('c_9', 1)) t(name, n)")
 def enrol_duplicates(spark, sf_dir):
     """Candidates that a registry doesn't have yet."""
     have = spark.createDataFrame([("c_1",), ("c_2",)], "name string")

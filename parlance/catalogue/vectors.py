@@ -73,7 +73,7 @@ s AS (SELECT rec_id, seq, d, sum(d) OVER (PARTITION BY rec_id ORDER BY seq ROWS
 SELECT rec_id, seq, round(d, 6) AS distance, round(smooth, 6) AS smooth FROM s""")
 def smoothed_distance(spark, sf_dir):
     v = rows(spark, sf_dir).select((F.col("vec_id") % 3).alias("rec_id"), F.col("vec_id").alias("seq"), "embedding")
-    return intervals.smoothed(vectors.adjacent_distance(v))
+    return intervals.smoothed(vectors.adjacent_distance(v)).drop("embedding")
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,9 +109,6 @@ def speech_ratio(speech: DataFrame, totals: DataFrame) -> DataFrame:
 
 def spectral(vector: str = "samples", sr: int = 16_000, n_fft: int = 512, hop: int = 160):
     """Mean spectral centroid, flatness and 85 % roll-off of sample arrays (short-time Fourier transform, Hann window, centred)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("centroid double, flatness double, rolloff double")
     def f(x: pd.Series) -> pd.DataFrame:
         window = np.hanning(n_fft + 1)[:-1]

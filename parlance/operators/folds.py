@@ -158,11 +158,11 @@ class Batches(Fold):
         if self.any and self.size + n > self.most:
             self.no, self.size = self.no + 1, 0
         self.any, self.size = True, self.size + n
-        return [{"seq": row["seq"], "batch_no": self.no, "chars": n}]
+        return [{"seq": row["seq"], "batch_no": self.no, "chars": self.size}]
 
 
 def char_batches(rows: DataFrame, most: int = 2500, texts: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Batch number of each row: a batch that isn't empty closes before it would pass `most` characters (of all `texts` together)."""
+    """Batch number of each row and the characters of its batch so far: a batch that isn't empty closes before it would pass `most` characters (of all `texts` together)."""
     return ordered_fold(rows, ["seq"], lambda: Batches(most, texts), "seq long, batch_no int, chars long")
 
 

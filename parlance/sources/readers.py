@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,12 +134,6 @@ def enrol_plan(plan: DataFrame, default_dur: float = 10.0) -> DataFrame:
 
 def audio_files(spark: SparkSession, path: str) -> DataFrame:
     """path, sr, samples of 16-bit PCM wave files (mono: channels are averaged)."""
-    import io
-    import wave
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("struct<sr:int,samples:array<float>>")
     def decode(content: pd.Series) -> pd.DataFrame:
         rows = []
