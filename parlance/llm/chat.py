@@ -6,7 +6,7 @@ mark.  In the readable form control strings inside contents are escaped: `<`, an
 more, which is undone by taking one away.  The loss mask marks the tokens of assistant texts: +1 where one begins, -1 where
 it ends, summed up.
 
-Turns are encoded row by row in parallel; rows of a conversation then meet, ordered by turn (ties by role, then text), and are
+Turns are encoded row by row in parallel; rows of a conversation then meet, ordered by turn (ties by role, then the text's digest), and are
 assembled one after another without holding more than one conversation.  A null text or role is empty, a null
 conversation is a conversation like others, null turns come first; repeated rows are turns of their own; an empty table
 gives an empty result; further columns are ignored.
@@ -14,6 +14,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -29,6 +30,12 @@ LOSS_ROLE = "assistant"
 _more, _less = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
+@functools.lru_cache(maxsize=2)
+def template(path: str) -> Template:
+    """One a worker process."""
+    return Template(path)
+
+
 def escape(text: str) -> str:
     return _more.sub(lambda m: f"<{m[1]}\\|", text)
 
@@ -58,17 +65,22 @@ class Template:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def assemble(self, turns: list[tuple[list[int], list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(self, texts: list[str]) -> pa.Array:
+        """Ids of each text, as one list array."""
+        ids, n = bytelevel.flat(self.encode(texts))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
+
+    def assemble(self, turns: list[tuple[np.ndarray, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and loss mask of a conversation of (role ids, text ids, whether it counts)."""
         parts, delta, at = [], [], 0
+        start, feed, close = np.array([self.start], np.int32), np.array(self.newline, np.int32), np.array([self.end, *self.newline], np.int32)
         for role, text, counts in turns:
-            head = [self.start, *role, *self.newline]
-            begin = at + len(head)
-            if counts and text:
+            begin = at + 1 + len(role) + len(feed)
+            if counts and len(text):
                 delta += [(begin, 1), (begin + len(text), -1)]
-            parts += [head, text, [self.end], self.newline]
-            at = begin + len(text) + 1 + len(self.newline)
-        ids = np.fromiter((x for p in parts for x in p), np.int32, at)
+            parts += [start, role, feed, text, close]
+            at = begin + len(text) + len(close)
+        ids = np.concatenate(parts)
         step = np.zeros(at + 1, np.int8)
         for i, d in delta:
             step[i] += d
@@ -104,42 +116,43 @@ def assemble(conversations: DataFrame, path: str) -> DataFrame:
     rows = conversations.select(F.col("`conv_id`").cast("long").alias("conv_id"), F.col("`turn`").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
 
     def encode(batches):
-        t = Template(path)
-        kind = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string(), "role_ids": pa.list_(pa.int32()), "text_ids": pa.list_(pa.int32())}
+        t = template(path)
         for whole in batches:
-            for part in bytelevel.slices(whole, "text"):
+            for part in bytelevel.slices(whole, "text", 1 << 20):
                 role, said = part.column(2).to_pylist(), part.column(3).to_pylist()
-                yield frames.batch(kind, conv_id=part.column(0), turn=part.column(1), role=part.column(2), text=part.column(3), role_ids=t.encode([*map(escape_role, role)]), text_ids=t.encode([*map(escape, said)]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], t.arrays([*map(escape_role, role)]), t.arrays([*map(escape, said)]), pa.array([hashed(x) for x in said])], ["conv_id", "turn", "role", "role_ids", "text_ids", "tie"])
 
     def join(batches):
-        t = Template(path)
-        now, turns, out = None, [], []
+        t = template(path)
+        now, turns, out, held = None, [], [], 0
 
         def close():
             ids, mask = t.assemble(turns)
             return {"conv_id": now[0], "formatted": t.text(ids), "ids": ids, "loss_mask": mask}
 
         kind = {"conv_id": pa.int64(), "formatted": pa.string(), "ids": pa.list_(pa.int32()), "loss_mask": pa.list_(pa.int8())}
-        held = 0
         pack = lambda rows: frames.batch(kind, **{k: [r[k] for r in rows] for k in kind})
         for part in batches:
-            for conv, role, a, b in zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 3))):
+            role_ids, text_ids = part.column(2), part.column(3)
+            flat = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in (role_ids, text_ids)]
+            for i, (conv, role) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 if now != (conv,):
                     if now is not None:
                         out.append(close())
                         held += len(out[-1]["ids"])
                     now, turns = (conv,), []
-                    if held > 1_000_000:
+                    if held > 200_000:
                         yield pack(out)
                         out, held = [], 0
+                a, b = (v[o[i] : o[i + 1]].copy() for v, o in flat)
                 turns.append((a, b, role == LOSS_ROLE))
         if now is not None:
             out.append(close())
         if out:
             yield pack(out)
 
-    coded = frames.map_arrow(rows, encode, "conv_id long, turn long, role string, text string, role_ids array<int>, text_ids array<int>")
-    dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    coded = frames.map_arrow(rows, encode, "conv_id long, turn long, role string, role_ids array<int>, text_ids array<int>, tie string")
+    dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
     return frames.map_arrow(dealt.select("conv_id", "role", "role_ids", "text_ids"), join, "conv_id long, formatted string, ids array<int>, loss_mask array<byte>")
 
 
@@ -147,7 +160,7 @@ def digest(assembled: DataFrame, path: str) -> DataFrame:
     """What reading the output back gives: turns, and all text under the mask."""
 
     def f(batches):
-        t = Template(path)
+        t = template(path)
         kind = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
         for part in batches:
             out = {k: [] for k in kind}
@@ -163,5 +176,11 @@ def digest(assembled: DataFrame, path: str) -> DataFrame:
     return frames.map_arrow(assembled, f, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def hashed(text: str) -> str:
+    import xxhash
+
+    return xxhash.xxh3_128_hexdigest(text.encode())
+
+
 def hexed(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
