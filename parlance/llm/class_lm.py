@@ -1,7 +1,7 @@
 """Language-model scores from a Brown class-based bigram model.
 
 P(text) is the product over its tokens of P(class | class before) * P(word | class), the text's end being a token of its own.
-Words of at least `head_share` of all training tokens are clustered: at most 1/head_share words can reach that
+Words of at least `head_share` of all training tokens (and `least` occurrences) are clustered: at most 1/head_share words can reach that
 share, which bounds whatever is sent to all executors, on any corpus.  Rarer and unknown words have a class by their shape
 (length, last byte, digits).  Clustering is by exchange: from the counts of all word pairs of the training texts every word
 gets its counts of classes before and after it, and moves to the class in which these are likeliest, half of the words in
@@ -36,8 +36,9 @@ SHAPES = 32
 class Setup:
     folds: int = 10  # texts whose crc32(doc_id) is 0 modulo this are held out
     classes: int = 64
-    rounds: int = 2
-    head_share: float = 2e-6
+    rounds: int = 3
+    head_share: float = 1e-5
+    least: int = 5  # occurrences from which a word is clustered
     add: float = 0.1
 
     @property
@@ -210,7 +211,7 @@ def score(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     counts = frames.kept(counted(texts, setup), "counts")
     total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n_all, v_all = total["n"] or 0, total["v"]
-    least = max(1, int(np.ceil(setup.head_share * n_all)))
+    least = max(setup.least, int(np.ceil(setup.head_share * n_all)))
     head_rows = counts.filter((F.col("c") >= least) | (F.col("word") == END)).orderBy(F.desc("c"), "word").toArrow()  # at most 1 / head_share words
     if END not in head_rows.column("word").to_pylist():
         head_rows = pa.concat_tables([head_rows, pa.table({"word": [END], "c": pa.array([0], pa.int64())}).cast(head_rows.schema)])
