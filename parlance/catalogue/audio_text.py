@@ -224,8 +224,8 @@ def fused_pairs(spark, sf_dir):
 @query()
 def mined_corrections(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    rows = b.select("item_id", text.bare(F.replace("text", F.lit("ing"), F.lit("ung"))).alias("asr"), text.bare("text").alias("ref"))
-    return diff.mined(rows, "item_id")
+    rows = b.select("item_id", text.bare(F.replace("text", F.lit("tion"), F.lit("shun"))).alias("asr"), text.bare("text").alias("ref"))
+    return diff.mined(rows, "item_id", shortest=20)
 
 
 @query()
