@@ -47,6 +47,13 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def map_rows(df: DataFrame, f) -> DataFrame:
+    """As map_arrow, with the schema of `df` for the result, whatever its columns are called: `f` sees them as c0, c1, ..."""
+    ship(df.sparkSession)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+
+
 def batch(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in schema.items()], names=list(schema))
 

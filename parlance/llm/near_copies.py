@@ -18,6 +18,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,13 +157,13 @@ def leaders(buckets: DataFrame, setup: Setup, share: float) -> DataFrame:
     return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch"), f, "bucket long, a long, b long")
 
 
-def met(members: DataFrame, sketches: DataFrame, setup: Setup) -> DataFrame:
-    """Candidate pairs a < b of members (band, id, root, n), n texts in the band's bucket."""
+def met(members: DataFrame, sketches: DataFrame, setup: Setup, turn: int) -> DataFrame:
+    """Candidate pairs a < b of members (band, id, root, n), n texts in the band's bucket; each turn has other leaders and parts."""
     share = setup.threshold - setup.slack
     parts = F.ceil(F.col("n") / setup.split)
-    own = F.when(F.col("n") <= setup.split, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id"), parts)))
+    own = F.when(F.col("n") <= setup.split, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id", "band", F.lit(turn)), parts)))
     rows = members.join(sketches, "id").withColumn("bucket", own)
-    dealt = lambda df: leaders(df.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("id", "bucket")), setup, share)
+    dealt = lambda df: leaders(df.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("id", "bucket", F.lit(turn))), setup, share)
     first = dealt(rows)
     found = first.filter("a <> b").select("a", "b")
     large = members.filter(F.col("n") > setup.split)
@@ -214,13 +215,13 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = frames.kept(bands.join(shared, "band"), "members")
     roots, links, tried = None, None, None
-    while True:
+    for turn in itertools.count():
         if roots is None:
-            pairs = met(members.withColumn("root", F.col("id")), sketches, setup)
+            pairs = met(members.withColumn("root", F.col("id")), sketches, setup, turn)
         else:
             named = members.join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
             open_ = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-            pairs = met(named.join(open_, "band", "left_semi"), sketches, setup).join(tried, ["a", "b"], "left_anti")
+            pairs = met(named.join(open_, "band", "left_semi"), sketches, setup, turn).join(tried, ["a", "b"], "left_anti")
         pairs = frames.kept(pairs, "pairs")
         new = frames.kept(similar(pairs, texts, setup), "links")
         if roots is not None and not new.take(1):

@@ -272,8 +272,7 @@ def replaced(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame
                 again = pa.array(new, whole.column(k).type, mask=old.column(k).is_null().to_numpy(zero_copy_only=False))
                 yield part.set_column(k, whole.schema.field(k), again)
 
-    frames.ship(docs.sparkSession)
-    return docs.mapInArrow(f, docs.schema)
+    return frames.map_rows(docs, f)
 
 
 def parts_like(whole: pa.RecordBatch, filled: pa.RecordBatch, name: str):

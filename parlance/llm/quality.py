@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from parlance.llm import bytelevel, frames, words
 
@@ -155,15 +154,13 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of `docs`, all their columns, that the rules keep."""
-    names = docs.columns
+    k = docs.columns.index("text")
 
     def f(batches):
         for whole in batches:
-            filled = whole.set_column(0, "_text", pc.fill_null(whole.column(0), ""))
+            filled = whole.append_column("_text", pc.fill_null(whole.column(k), ""))
             for part in bytelevel.slices(filled, "_text"):
-                keep = measure(pa.nulls(len(part), pa.int64()), part.column(0), rules).column("kept")
-                yield part.filter(keep).select(list(range(1, part.num_columns)))
+                keep = measure(pa.nulls(len(part), pa.int64()), part.column(part.num_columns - 1), rules).column("kept")
+                yield part.filter(keep).select(list(range(part.num_columns - 1)))
 
-    inner = docs.select(F.col("`text`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in names])
-    frames.ship(docs.sparkSession)
-    return inner.mapInArrow(f, docs.schema)
+    return frames.map_rows(docs, f)
