@@ -5,11 +5,12 @@ arrivals with its weight as rate, seeded by its hash; an arrival falls into one
 first.  A shingle stops as soon as its next arrival is later than every register of the text.  Two texts agree in a
 register with the probability Jaccard similarity of their weighted shingles (for equal weights the plain one).
 
-Texts of the same words are one class from the start; only their representatives go on.  Registers are hashed in bands;
-within a bucket texts are held against leaders (the first text, then the first one that no leader so far resembles, in an
-order of its own in each bucket), by one byte of each register.  Pairs that may reach the threshold are verified on
-their whole shingle sets (Jaccard 0.8 or more); verified links form classes, and rounds go on over buckets that still hold
-several classes until a round adds no link.  Buckets beyond `split` texts are dealt to parts, whose leaders meet again.
+Texts of the same words are one class from the start; only their representatives go on.  Registers are hashed in bands.
+Within a bucket one byte of each register tells which texts may reach the threshold with one of another class; only
+their texts are fetched, and pairs are verified on whole shingle sets (Jaccard 0.8 or more) where they meet: distances to
+a hub settle most, and a link is needed only between classes, so a bucket gives fewer links than it has texts.
+A first round over a few bands joins most of a large group, a second one over all bands finds the rest.  Buckets beyond
+`split` texts are dealt to parts, whose classes meet again by one text each, and rounds go on until one adds no link.
 
 Null texts and texts without words have no shingles: each is a class of its own.  Texts of fewer than five words have one
 shingle, all their words.  Rows without doc_id have no class; repeated rows get one row in the result; an empty
@@ -37,7 +38,8 @@ class Setup:
     bands: int = 32
     rows: int = 6
     slack: float = 0.13  # 4.5 standard errors of the estimate from 192 registers at 0.8
-    split: int = 16_384
+    first: int = 4  # bands of the first round
+    split: int = 4_096
     broadcast_ids: int = 4_000_000  # ids of candidates, 8 bytes each, that may be sent to all executors
 
     @property
@@ -107,100 +109,160 @@ def signatures(docs: DataFrame, setup: Setup) -> DataFrame:
     return frames.map_arrow(docs, f, SIGNED)
 
 
-def leaders(buckets: DataFrame, setup: Setup, share: float) -> DataFrame:
-    """Candidate pairs (a, b) from rows (bucket, id, root, sketch), sorted by bucket: texts of other classes that a leader resembles.
+def resembling(buckets: DataFrame, share: float) -> DataFrame:
+    """Of rows (bucket, id, root, sketch), sorted by bucket, those (bucket, id) that resemble one of another class in their bucket."""
 
-    Rows with a = b name the leaders, for the next meeting of a bucket that was dealt to parts.
-    """
-
-    def pairs(ids, roots, sketches):
-        n = len(ids)
-        x = np.frombuffer(b"".join(sketches), np.uint8).reshape(n, -1)
-        ids, roots = np.array(ids), np.array(roots)
-        free = np.ones(n, bool)
-        while free.any():
-            i = int(np.argmax(free))
-            alike = (x == x[i]).mean(1) >= share
-            alike[i] = True
-            hit = np.flatnonzero(alike & (roots != roots[i]))
-            yield ids[i], ids[i]
-            for j in hit:
-                yield ids[i], ids[j]
-            free &= ~alike & (roots != roots[i])
+    def alike(ids, roots, sketches):
+        x, roots = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(ids), -1), np.array(roots)
+        hit = np.zeros(len(ids), bool)
+        for i in range(len(ids) - 1):
+            near = np.flatnonzero(((x[i + 1 :] == x[i]).mean(1) >= share) & (roots[i + 1 :] != roots[i])) + i + 1
+            hit[near] = True
+            hit[i] |= len(near) > 0
+        return [i for i, h in zip(ids, hit) if h]
 
     def f(batches):
-        now, ids, roots, sketches, a, b = None, [], [], [], [], []
+        now, ids, roots, sketches, key, out = None, [], [], [], [], []
 
         def close():
             if len(ids) > 1:
-                for p, q in pairs(ids, roots, sketches):
-                    a.append(p)
-                    b.append(q)
-                    key.append(now)
+                got = alike(ids, roots, sketches)
+                out.extend(got)
+                key.extend([now] * len(got))
 
-        key: list = []
-        kind = {"bucket": pa.int64(), "a": pa.int64(), "b": pa.int64()}
+        kind = {"bucket": pa.int64(), "id": pa.int64()}
         for part in batches:
             for k, i, r, s in zip(*(part.column(c).to_pylist() for c in range(4))):
                 if k != now:
                     close()
                     now, ids, roots, sketches = k, [], [], []
-                    if len(a) > 50_000:
-                        yield frames.batch(kind, bucket=key, a=a, b=b)
-                        a, b, key = [], [], []
+                    if len(out) > 50_000:
+                        yield frames.batch(kind, bucket=key, id=out)
+                        key, out = [], []
                 ids.append(i)
                 roots.append(r)
                 sketches.append(s)
         close()
-        yield frames.batch(kind, bucket=key, a=a, b=b)
+        yield frames.batch(kind, bucket=key, id=out)
+
+    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch"), f, "bucket long, id long")
+
+
+def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    b, doc_at = bytelevel.batch_bytes(texts)
+    w = words.split(b, doc_at)
+    h, at = words.shingles(words.hashes(w.dictionary)[w.code] if len(w.code) else np.zeros(0, np.uint64), w.at, size)
+    return [np.unique(h[x:z]) for x, z in zip(at[:-1], at[1:])]
 
-    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch"), f, "bucket long, a long, b long")
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0.0
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common)
 
-def met(members: DataFrame, sketches: DataFrame, setup: Setup, turn: int) -> DataFrame:
-    """Candidate pairs a < b of members (band, id, root, n), n texts in the band's bucket; each turn has other leaders and parts."""
+
+def forest(roots: list, sketches: list[bytes], sets: list[np.ndarray], threshold: float, share: float) -> list[tuple[int, int]]:
+    """Links (places) that join all texts of different classes whose similarity reaches the threshold, without those that
+    earlier links make needless.
+
+    Distances to a hub, the text most like the bucket's commonest registers, decide most pairs, since 1 - Jaccard is a
+    metric: a pair whose two distances differ by more than the limit can't be within it, one whose sum is
+    within it must be.
+    """
+    m, limit = len(roots), 1 - threshold + 1e-9
+    top = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    parent = list(range(len(top)))
+    place = [top[r] for r in roots]
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(m, -1)
+    size = np.array([len(s) for s in sets])
+    if m > 3:
+        commonest = np.array([np.bincount(c).argmax() for c in x.T], np.uint8)
+        hub = int((x == commonest).sum(1).argmax())
+        far = np.array([1 - jaccard(sets[hub], s) for s in sets])
+        order = [hub, *(int(i) for i in np.argsort(far, kind="stable") if i != hub)]
+    else:
+        far, order = np.zeros(m), list(range(m))
+    out = []
+    for n, i in enumerate(order):
+        rest = np.array(order[n + 1 :], np.int64)
+        if not len(rest):
+            break
+        rest = rest[(np.minimum(size[rest], size[i]) >= (threshold - 1e-9) * np.maximum(size[rest], size[i])) & (np.abs(far[rest] - far[i]) <= limit)]
+        rest = rest[(x[rest] == x[i]).mean(1) >= share]
+        for j in rest.tolist():
+            a, b = find(place[i]), find(place[j])
+            if a != b and ((m > 3 and far[i] + far[j] <= limit) or 1 - jaccard(sets[i], sets[j]) <= limit):
+                parent[b] = a
+                out.append((i, j))
+    return out
+
+
+def linked(buckets: DataFrame, setup: Setup) -> DataFrame:
+    """Verified links (a, b) of rows (bucket, id, root, sketch, text), sorted by bucket; rows with a = b name one text of
+    each class that a bucket has in the end."""
     share = setup.threshold - setup.slack
-    parts = F.ceil(F.col("n") / setup.split)
-    own = F.when(F.col("n") <= setup.split, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id", "band", F.lit(turn)), parts)))
-    rows = members.join(sketches, "id").withColumn("bucket", own)
-    dealt = lambda df: leaders(df.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("id", "bucket", F.lit(turn))), setup, share)
-    first = dealt(rows)
-    found = first.filter("a <> b").select("a", "b")
-    large = members.filter(F.col("n") > setup.split)
-    if large.take(1):  # leaders of a bucket's parts meet in the bucket
-        heads = first.filter("a = b").select("bucket", F.col("a").alias("id"))
-        again = large.join(sketches, "id").withColumn("bucket", own).join(heads, ["bucket", "id"], "left_semi").withColumn("bucket", F.col("band"))
-        found = found.union(dealt(again).filter("a <> b").select("a", "b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def similar(pairs: DataFrame, docs: DataFrame, setup: Setup) -> DataFrame:
-    """Of pairs (a, b), those whose whole texts have a Jaccard similarity of at least the threshold."""
-
-    def sets(texts, n):
-        b, doc_at = bytelevel.batch_bytes(texts)
-        w = words.split(b, doc_at)
-        h, at = words.shingles(words.hashes(w.dictionary)[w.code] if len(w.code) else np.zeros(0, np.uint64), w.at, setup.size)
-        doc = np.repeat(np.arange(n), np.diff(at))
-        key, one = np.unique(words.mix(h ^ words.mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
-        return key, doc[one]
 
     def f(batches):
+        now, held, out = None, [], []
+
+        def close():
+            ids = [h[0] for h in held]
+            links = forest([h[1] for h in held], [h[2] for h in held], [h[3] for h in held], setup.threshold, share) if len(held) > 1 else []
+            out.extend((now, ids[i], ids[j]) for i, j in links)
+            joined = {j for _, j in links}
+            out.extend((now, ids[i], ids[i]) for i in range(len(ids)) if i not in joined)
+
+        def pack():
+            return frames.batch({"bucket": pa.int64(), "a": pa.int64(), "b": pa.int64()}, bucket=[r[0] for r in out], a=[r[1] for r in out], b=[r[2] for r in out])
+
         for whole in batches:
-            for part in bytelevel.slices(whole, "x", 2 << 20):
-                n = len(part)
-                (k1, d1), (k2, d2) = sets(part.column(2), n), sets(part.column(3), n)
-                common = np.bincount(d1[np.isin(k1, k2, assume_unique=True)], minlength=n)
-                union = np.bincount(d1, minlength=n) + np.bincount(d2, minlength=n) - common
-                keep = pa.array(common >= setup.threshold * union - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
-
-    ids = frames.kept(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+            for part in bytelevel.slices(whole, "text"):
+                rows = zip(*(part.column(c).to_pylist() for c in range(4)), sets_of(part.column(4), setup.size))
+                for k, i, r, s, shingles in rows:
+                    if k != now:
+                        if held:
+                            close()
+                        now, held = k, []
+                        if len(out) > 50_000:
+                            yield pack()
+                            out = []
+                    held.append((i, r, s, shingles))
+        if held:
+            close()
+        yield pack()
+
+    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch", "text"), f, "bucket long, a long, b long")
+
+
+def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup, turn: int) -> DataFrame:
+    """Verified links a < b between classes of members (band, id, root, n), n texts in the band's bucket; each turn deals large buckets anew."""
+    parts = F.ceil(F.col("n") / setup.split)
+    own = F.when(F.col("n") <= setup.split, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id", "band", F.lit(turn)), parts)))
+    sort = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    rows = members.withColumn("bucket", own).join(sketches, "id")
+    near = frames.kept(resembling(sort(rows), setup.threshold - setup.slack), "near")
+    ids = frames.kept(near.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     few = ids.count() <= setup.broadcast_ids
-    needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    one = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return frames.map_arrow(two.select("a", "b", "x", "y"), f, "a long, b long")
+    needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+    held = rows.join(near, ["bucket", "id"], "left_semi").join(needed, "id")
+    found = linked(sort(held), setup)
+    if members.filter(F.col("n") > setup.split).take(1):  # classes that the parts of a large bucket have meet in the bucket, one text each
+        found = frames.kept(found, "parts")
+        heads = found.filter("a = b").select("bucket", F.col("a").alias("id"))
+        again = held.filter(F.col("n") > setup.split).join(heads, ["bucket", "id"], "left_semi").withColumn("bucket", F.col("band"))
+        found = found.union(linked(sort(again), setup))
+    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
@@ -211,25 +273,24 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     copies = frames.kept(signed.select("doc_id", "f1", "f2").join(same, ["f1", "f2"]).select("doc_id", "copy_of"), "copies")
     own = signed.join(copies.filter("doc_id = copy_of").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sketches = own.select(F.col("doc_id").alias("id"), "sketch")
-    bands = own.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
+    bands = own.select(F.posexplode("bands").alias("no", "band"), F.col("doc_id").alias("id"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = frames.kept(bands.join(shared, "band"), "members")
-    roots, links, tried = None, None, None
+    large = bool(members.filter(F.col("n") > setup.split).take(1))
+    roots = links = None
     for turn in itertools.count():
-        if roots is None:
-            pairs = met(members.withColumn("root", F.col("id")), sketches, setup, turn)
+        if turn == 0:  # a few bands find most of a large group, which is one class in the others from then on
+            named = members.filter(F.col("no") < setup.first).withColumn("root", F.col("id"))
         else:
-            named = members.join(roots, "id", "left").select("band", "id", "n", F.coalesce("root", "id").alias("root"))
-            open_ = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-            pairs = met(named.join(open_, "band", "left_semi"), sketches, setup, turn).join(tried, ["a", "b"], "left_anti")
-        pairs = frames.kept(pairs, "pairs")
-        new = frames.kept(similar(pairs, texts, setup), "links")
-        if roots is not None and not new.take(1):
-            break
-        tried = pairs if tried is None else tried.union(pairs)
+            named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+        new = frames.kept(met(named.join(open_, "band", "left_semi"), sketches, texts, setup, turn), "links")
+        some = bool(new.take(1))
         links = new if links is None else links.union(new)
-        roots = frames.kept(components(links), "roots")
-        if not new.take(1):
+        if some or roots is None:
+            roots = frames.kept(components(links), "roots")
+        # a turn over all bands is exhaustive, but for buckets that were dealt to parts
+        if turn and not (large and some):
             break
     known = copies.join(roots.select(F.col("id").alias("copy_of"), "root"), "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
     plain = texts.select("doc_id").distinct().join(known.distinct(), "doc_id", "left")
