@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -41,17 +42,35 @@ def drop_kept(df: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(f):
+    """`f`, which gives the memory that it freed back to the system when a task ends: idle workers count against an executor too."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """`f(iterator of record batches)` on each partition; names and types of the result are `schema`."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(tidy(f), schema)
 
 
 def map_rows(df: DataFrame, f) -> DataFrame:
     """As map_arrow, with the schema of `df` for the result, whatever its columns are called: `f` sees them as c0, c1, ..."""
     ship(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+    return plain.mapInArrow(tidy(f), plain.schema).toDF(*df.columns)
 
 
 def batch(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:

@@ -146,7 +146,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     def f(batches):
         for whole in batches:
-            for part in bytelevel.slices(whole, "text"):
+            for part in bytelevel.slices(whole, "text", 2 << 20):
                 yield measure(part.column(0), part.column(1), rules)
 
     return frames.map_arrow(frames.texts_of(docs), f, SCHEMA)
@@ -159,7 +159,7 @@ def accepted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def f(batches):
         for whole in batches:
             filled = whole.append_column("_text", pc.fill_null(whole.column(k), ""))
-            for part in bytelevel.slices(filled, "_text"):
+            for part in bytelevel.slices(filled, "_text", 2 << 20):
                 keep = measure(pa.nulls(len(part), pa.int64()), part.column(part.num_columns - 1), rules).column("kept")
                 yield part.filter(keep).select(list(range(part.num_columns - 1)))
 
