@@ -262,7 +262,7 @@ HOT = [(0, "甲"), (1, "乙")]
 FIX = [(0, "x", "乙"), (1, "y", "丙"), (2, "z", "")]
 
 
-@query("SELECT '甲、乙、丙、丁' AS prompt")
+@query("SELECT '本段会议涉及以下专有名词与术语: 甲、乙、丙、丁' AS prompt")
 def initial_prompt(spark, sf_dir):
     return readers.initial_prompt(spark.createDataFrame(HOT, "pos int, word string"), spark.createDataFrame(FIX, "pos int, wrong string, right string"), "丁 甲")
 
@@ -289,3 +289,25 @@ def cut_samples(spark, sf_dir):
     plan = turns(spark, sf_dir).select("rec_id", F.concat(F.lit("n "), F.col("seq").cast("string")).alias("name"), (F.col("value") % 3).alias("start_s"), (F.col("value") % 3 + 1).alias("end_s"))
     out = sinks.cut_samples(samples(spark, sf_dir).withColumn("sr", F.lit(16)), plan)
     return out.select("rec_id", "file", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+STAMPED = [("我们开会。你好 ok吗？好", [[0, 10], [10, 20], [20, 30], [30, 40], [50, 60], [60, 70], [70, 80], [90, 95]]), ("ok. 好", [[5, 9]]), ("...", [])]
+
+
+@query("""SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 0::BIGINT, 40::BIGINT, '我们开会。'), (0, 1, 50, 80, '你好 ok吗？'), (0, 2, 90, 95, '好'), (1, 0, 0, 0, 'ok.'), (1, 1, 5, 9, '好'), (2, 0, 0, 0, '.'), (2, 1, 0, 0, '.'), (2, 2, 0, 0, '.')) t(rec_id, seq, start_ms, end_ms, text)""")
+def timed_sentences(spark, sf_dir):
+    """Sentences of a text with one time stamp a character."""
+    rows = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(STAMPED)], "rec_id int, text string, stamps array<array<int>>")
+    return text.timed_sentences(rows)
+
+
+@query("""SELECT * FROM (VALUES (1::BIGINT, 'a b'), (2::BIGINT, 'later')) t(no, body)""")
+def fused_answer(spark, sf_dir):
+    out = spark.createDataFrame([("§1 [00:00-00:05] spk_1:\n[00:00-00:05] spk_1:\na\n b\n\n§2\nfirst\n§ 2 x\nlater",)], "output string")
+    return text.fused_sections(out).select("no", "body")
+
+
+@query()
+def estimated_quality(spark, sf_dir):
+    """Quality of short recordings from their own samples and spectra."""
+    return audio.estimated_quality(samples(spark, sf_dir).drop("rec_id"), 64, "vec_id", n_fft=16, hop=8)

@@ -117,9 +117,30 @@ def sliding_windows(spark, sf_dir):
 @query(f"""WITH {SEG}, c AS (SELECT rec_id, (start_ms + end_ms) // 2 AS at_ms FROM seg WHERE seq % 2 = 0),
 l AS (SELECT s.rec_id, s.seq, s.start_ms, s.end_ms, list_sort(list_distinct(list(at_ms) FILTER (at_ms > s.start_ms AND at_ms < s.end_ms AND s.end_ms - s.start_ms >= 9000000))) AS a FROM seg s JOIN c USING (rec_id) GROUP BY ALL),
 f AS (SELECT rec_id, seq, start_ms, end_ms, coalesce(a, []) AS a FROM l),
-p AS (SELECT rec_id, seq, list_concat([start_ms], a) AS lo, list_concat(a, [end_ms]) AS hi, unnest(generate_series(0, len(a))) AS piece_no FROM f)
-SELECT rec_id, seq, CAST(piece_no AS BIGINT) AS piece_no, lo[piece_no + 1] AS start_ms, hi[piece_no + 1] AS end_ms FROM p WHERE hi[piece_no + 1] - lo[piece_no + 1] >= 100000""")
+p AS (SELECT rec_id, seq, list_concat([start_ms], a) AS lo, list_concat(a, [end_ms]) AS hi, a, unnest(generate_series(0, len(a))) AS piece_no FROM f)
+SELECT rec_id, seq, CAST(piece_no AS BIGINT) AS piece_no, lo[piece_no + 1] AS start_ms, hi[piece_no + 1] AS end_ms FROM p WHERE hi[piece_no + 1] - lo[piece_no + 1] >= 100000 OR len(a) = 0""")
 def split_at_changes(spark, sf_dir):
     s = segments(spark, sf_dir)
     cuts = s.filter("seq % 2 = 0").select("rec_id", F.expr("(start_ms + end_ms) div 2").alias("at_ms"))
     return op.split_at(s, cuts, 9_000_000, 100_000)
+
+
+@query(f"""WITH {SEG}, c AS (SELECT rec_id, count(*) AS n_in, count(*) FILTER (end_ms - start_ms >= 9000000) AS n_long FROM seg GROUP BY 1), x AS (SELECT s.rec_id, s.seq, c.m FROM seg s JOIN (SELECT rec_id, (start_ms + end_ms) // 2 AS m FROM seg WHERE seq % 2 = 0) c ON s.rec_id = c.rec_id AND m > s.start_ms AND m < s.end_ms AND s.end_ms - s.start_ms >= 9000000),
+n AS (SELECT rec_id, count(DISTINCT (seq, m)) AS k FROM x GROUP BY 1)
+SELECT rec_id, n_in, n_long, n_in + coalesce(k, 0) AS n_out, coalesce(k, 0) AS n_cuts FROM c LEFT JOIN n USING (rec_id)""")
+def split_summary(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    cuts = s.filter("seq % 2 = 0").select("rec_id", F.expr("(start_ms + end_ms) div 2").alias("at_ms"))
+    return op.split_summary(s, op.split_at(s, cuts, 9_000_000, 0), 9_000_000)
+
+
+@query(f"""WITH {CHUNKS}, p AS (SELECT rec_id, seq, chunk_no, start_ms, end_ms, -((end_ms // 1000) % 80) AS dbfs FROM chunks) SELECT rec_id, seq, chunk_no FROM p WHERE end_ms - start_ms >= 6000000 AND dbfs >= -50""")
+def loud_chunks(spark, sf_dir):
+    rows = chunks(spark, sf_dir).withColumn("dbfs", -(F.floor(F.col("end_ms") / 1000) % 80))
+    return op.loud_chunks(rows, 6_000_000, -50.0).select("rec_id", "seq", "chunk_no")
+
+
+@query(f"""WITH {SEG} SELECT rec_id, seq, greatest(value, 490 - value, 300) AS prob FROM seg""")
+def frame_scores(spark, sf_dir):
+    v = F.col("value")
+    return op.frame_scores(segments(spark, sf_dir).withColumn("scores", F.array(v, 490 - v, F.lit(300.0)))).select("rec_id", "seq", "prob")

@@ -80,3 +80,16 @@ def smoothed_distance(spark, sf_dir):
 def ahc_labels(spark, sf_dir):
     v = rows(spark, sf_dir).select((F.col("vec_id") % 2).alias("rec_id"), F.col("vec_id").alias("seq"), "embedding")
     return clustering.cluster(v, threshold=0.9)
+
+
+@query(f"""WITH {REG}, a AS (SELECT 'p' || label AS new_name, e, n FROM e WHERE vec_id < 60)
+SELECT new_name, name, round(list_dot_product(e, v) / (n * vn + 1e-8), 6) AS sim FROM a JOIN r ON new_name <> name WHERE list_dot_product(e, v) / (n * vn + 1e-8) > 0.2""")
+def duplicate_warnings(spark, sf_dir):
+    new = rows(spark, sf_dir).filter("vec_id < 60").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("name"), F.col("embedding").alias("voice"))
+    return vectors.duplicate_warnings(new, names(spark, sf_dir), 0.2)
+
+
+@query("""SELECT 'p' || label AS name, CAST(pos - 1 AS BIGINT) AS pos, round(CAST(avg(x) AS FLOAT)::DOUBLE, 4) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(generate_series(1, len(embedding))) AS pos FROM embeddings) GROUP BY label, pos""")
+def enrolled_voices(spark, sf_dir):
+    s = rows(spark, sf_dir).select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("name"), "embedding")
+    return vectors.enrolled(s).select("name", F.posexplode("voice").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))

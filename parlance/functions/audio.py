@@ -128,3 +128,11 @@ def spectral(vector: str = "samples", sr: int = 16_000, n_fft: int = 512, hop: i
         return pd.DataFrame(rows, columns=["centroid", "flatness", "rolloff"])
 
     return f(F.col(vector))
+
+
+def estimated_quality(samples: DataFrame, sr: int = 16_000, key: str = "rec_id", vector: str = "samples", n_fft: int = 512, hop: int = 160) -> DataFrame:
+    """key, score and class of each recording from its own samples."""
+    seconds = F.size(vector) / sr
+    rows = samples.select(key, rms_dbfs(vector).alias("dbfs"), crest_db(vector).alias("crest_db"), seconds.alias("seconds"), spectral(vector, sr, n_fft, hop).alias("s"))
+    rows = rows.withColumn("score", quality_score(F.col("dbfs"), F.col("s.centroid"), F.col("s.flatness"), F.col("crest_db"), F.col("seconds")))
+    return rows.select(key, "score", classify(F.col("score")).alias("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CJK = "一-鿿"
@@ -201,3 +201,47 @@ def restored(anchors: DataFrame, parsed: DataFrame, *keys: str, default: Column
 
 def chapter_snippet(start: Column, text: Column, n: int = 80) -> Column:
     return F.concat(F.lit("["), minutes_guess(start), F.lit("] "), F.substring(text, 1, n))
+
+
+def fused_sections(output: DataFrame, *keys: str, text: str = "output") -> DataFrame:
+    """(no, body) of a fused answer: a section begins in the line after its §N; header lines repeated inside go, the
+    others are joined by blanks."""
+    src = F.concat(F.lit("\n"), F.col(text))
+    numbers = F.regexp_extract_all(src, F.lit("§\\s*(\\d+)[^\\n]*\\n"), F.lit(1))
+    bodies = F.split(src, "§\\s*\\d+[^\\n]*\\n")
+    rows = output.select(*keys, F.posexplode(F.arrays_zip(numbers.alias("no"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))).alias("_pos", "x"))
+    lines = F.transform(F.split(F.regexp_replace(F.col("x.body"), "^\\s+|\\s+$", ""), "\n"), lambda v: F.trim(v))
+    plain = F.filter(lines, lambda v: ~v.rlike("^\\[\\d{2}:\\d{2}-\\d{2}:\\d{2}\\]\\s*(?U:spk_\\w+):?"))
+    rows = rows.select(*keys, F.col("x.no").cast("int").alias("no"), F.trim(F.array_join(plain, " ")).alias("body"), "_pos")
+    return rows.groupBy(*keys, "no").agg(F.max_by("body", "_pos").alias("body"))
+
+
+def timed_sentences(rows: DataFrame, key: str = "rec_id") -> DataFrame:
+    """Sentences of texts (key, text, stamps: array of [start, end] for each CJK character in order): cut after 。！？.!?；;,
+    from the first CJK character's start to the last one's end so far."""
+    chars = rows.select(key, "stamps", F.posexplode(F.split(clean("text"), "")).alias("pos", "ch")).filter("ch <> ''")
+    w = Window.partitionBy(key).orderBy("pos")
+    here, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    cjk = F.col("ch").rlike(f"[{CJK}]")
+    marked = chars.withColumn("cjk", cjk).withColumn("upto", F.sum(cjk.cast("int")).over(here)).withColumn("no", F.coalesce(F.sum(F.col("ch").isin(*"。！？.!?；;").cast("int")).over(before), F.lit(0)))
+    n = F.size("stamps")
+    begin = F.when(F.col("cjk") & (F.col("upto") <= n), F.try_element_at("stamps", F.col("upto").cast("int"))[0])
+    out = marked.withColumn("begin", begin).groupBy(key, "no").agg(
+        F.min_by("begin", F.when(F.col("begin").isNotNull(), F.col("pos"))).alias("begin"), F.max("upto").alias("upto"), F.max_by("stamps", "pos").alias("stamps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("text"))
+    start = F.coalesce("begin", F.lit(0))
+    end = F.when((F.col("upto") > 0) & (F.size("stamps") > 0), F.element_at("stamps", F.least(F.col("upto"), F.size("stamps")).cast("int"))[1]).otherwise(start)
+    return out.select(key, F.col("no").alias("seq"), start.alias("start_ms"), end.alias("end_ms"), F.trim("text").alias("text"))
+
+
+#: How much a model may change; an unknown level counts as medium.
+LEVELS = {
+    "light": "Correct only clear recognition errors. Keep every word order and filler.",
+    "medium": "Correct recognition errors and punctuation. Leave out fillers and repeated words.",
+    "heavy": "Correct recognition errors and rewrite spoken sentences so that they read well. Add nothing.",
+}
+
+
+def correction_prompt(level: str = "medium") -> str:
+    """Instructions for correcting numbered paragraphs, which the answer must keep with their numbers."""
+    return LEVELS.get(level, LEVELS["medium"]) + " Answer with the same numbered sections, each beginning with § and its number."

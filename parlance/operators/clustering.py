@@ -66,3 +66,8 @@ def cluster(rows: DataFrame, key: str = "rec_id", order: str = "seq", vector: st
 
     kinds = dict(rows.dtypes)
     return rows.select(key, order, vector).groupBy(key).applyInPandas(f, f"{key} {kinds[key]}, {order} {kinds[order]}, label long")
+
+
+def cluster_similar(rows: DataFrame, similarity: float = 0.55, **options) -> DataFrame:
+    """As cluster, with a threshold on similarity instead of distance."""
+    return cluster(rows, threshold=1 - similarity, **options)

@@ -155,11 +155,28 @@ def peaks(series: DataFrame, threshold: float, value: str = "smooth") -> DataFra
 
 
 def split_at(segments: DataFrame, cuts: DataFrame, min_segment_ms: int = 5000, min_piece_ms: int = 200) -> DataFrame:
-    """Segments of at least `min_segment_ms` split at the cuts (rec_id, at_ms) that lie inside; shorter pieces than `min_piece_ms` go."""
+    """Segments of at least `min_segment_ms` split at the cuts (rec_id, at_ms) that lie inside; of split ones, shorter pieces than `min_piece_ms` go."""
     inside = segments.join(cuts, REC).filter((F.col("at_ms") > F.col(START)) & (F.col("at_ms") < F.col(END)) & (F.col(END) - F.col(START) >= min_segment_ms))
     at = inside.groupBy(REC, SEQ).agg(F.array_sort(F.collect_set("at_ms")).alias("at"))
     edges = segments.join(at, [REC, SEQ], "left").withColumn("at", F.coalesce("at", F.array().cast("array<long>")))
     edges = edges.withColumn("lo", F.concat(F.array(START), "at")).withColumn("hi", F.concat("at", F.array(END)))
-    out = edges.select(REC, SEQ, F.posexplode(F.arrays_zip("lo", "hi")).alias("piece_no", "p"))
-    out = out.select(REC, SEQ, "piece_no", F.col("p.lo").alias(START), F.col("p.hi").alias(END))
-    return out.filter(F.col(END) - F.col(START) >= min_piece_ms)
+    out = edges.select(REC, SEQ, F.size("at").alias("_cuts"), F.posexplode(F.arrays_zip("lo", "hi")).alias("piece_no", "p"))
+    out = out.select(REC, SEQ, "_cuts", "piece_no", F.col("p.lo").alias(START), F.col("p.hi").alias(END))
+    return out.filter((F.col(END) - F.col(START) >= min_piece_ms) | (F.col("_cuts") == 0)).drop("_cuts")
+
+
+def split_summary(segments: DataFrame, pieces: DataFrame, min_segment_ms: int = 5000) -> DataFrame:
+    """Of each recording: segments before and after splitting, those long enough to be split, and cuts made."""
+    before = segments.groupBy(REC).agg(F.count("*").alias("n_in"), F.count_if(F.col(END) - F.col(START) >= min_segment_ms).alias("n_long"))
+    after = pieces.groupBy(REC).agg(F.count("*").alias("n_out"), F.sum((F.col("piece_no") > 0).cast("int")).alias("n_cuts"))
+    return before.join(after, REC, "left").na.fill(0)
+
+
+def frame_scores(frames: DataFrame, scores: str = "scores") -> DataFrame:
+    """Speech score of a frame: the largest of its local speakers' scores."""
+    return frames.withColumn("prob", F.array_max(scores))
+
+
+def loud_chunks(chunks: DataFrame, min_ms: int = 500, min_dbfs: float = -50.0) -> DataFrame:
+    """Chunks long and loud enough to embed, from rows with a level `dbfs`; a cheap filter before any model."""
+    return chunks.filter((F.col(END) - F.col(START) >= min_ms) & (F.col("dbfs") >= min_dbfs))

@@ -101,3 +101,15 @@ def adjacent_distance(rows: DataFrame, vector: str = "embedding", key: str = "re
 def window_means(windows: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
     """Mean of the unit vectors of each group, with unit length again."""
     return centroids(windows.withColumn("_u", unit(doubles(vector))), *keys, vector="_u")
+
+
+def duplicate_warnings(new: DataFrame, registry: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """Pairs of a new voice (name, voice) and a registered one of another name that are suspiciously similar."""
+    a = new.select(F.col("name").alias("new_name"), doubles("voice").alias("_a"))
+    b = registry.select("name", doubles("voice").alias("_b"))
+    return a.join(b, F.col("new_name") != F.col("name")).select("new_name", "name", cosine(F.col("_a"), F.col("_b")).alias("sim")).filter(F.col("sim") > threshold)
+
+
+def enrolled(samples: DataFrame) -> DataFrame:
+    """name, voice: the mean of each name's sample vectors (name, embedding), not normalised."""
+    return mean_vectors(samples, "name").select("name", F.col("mean").cast("array<float>").alias("voice"))

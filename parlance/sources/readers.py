@@ -52,13 +52,17 @@ def domain_words(hot: DataFrame, corrections: DataFrame) -> DataFrame:
     return hot.select("word").union(corrections.select(F.col("right").alias("word"))).filter("word <> ''").distinct()
 
 
+# Fixed value: how a recogniser's prompt begins.
+PROMPT = "本段会议涉及以下专有名词与术语: "
+
+
 def initial_prompt(hot: DataFrame, corrections: DataFrame, extra: str = "", most: int = 60) -> DataFrame:
-    """One row: the first `most` distinct words in order of hotwords, right sides and extra ones, joined."""
+    """One row: the first `most` distinct words in order of hotwords, right sides and extra ones, joined after a fixed beginning; empty without words."""
     spark = hot.sparkSession
     more = spark.createDataFrame([(2, i, w) for i, w in enumerate(extra.split())], "src int, pos int, word string")
     every = hot.select(F.lit(0).alias("src"), "pos", "word").union(corrections.select(F.lit(1), "pos", "right")).union(more).filter("word <> ''")
     first = every.groupBy("word").agg(F.min(F.struct("src", "pos")).alias("at")).orderBy("at").limit(most)
-    return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), "、").alias("prompt"))
+    return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), "、").alias("words")).select(F.when(F.col("words") != "", F.concat(F.lit(PROMPT), F.col("words"))).otherwise("").alias("prompt"))
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:

@@ -78,3 +78,14 @@ def test_repetition_rules(spark):
     rows = [("abcabcabcabc",), ("abcabcabc",), ("aaaaaaaaaaaaaaaa",), ("x\nab\nab\nab\nab\n",), ("再见了再见了再见了再见了",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(text.repetition("t")).collect()]
     assert got == ["abc", None, None, None, "再见了"]
+
+
+def test_registered_functions(spark):
+    from parlance.functions.register import register
+
+    assert register(spark) == ["normalise_numerals", "fuse_texts", "cut_near"]
+    assert spark.sql("SELECT normalise_numerals('四十三'), fuse_texts('abc', 'axc'), cut_near('ab。cd', 4)").first()[:] == ("43", "axc", 3)
+
+
+def test_correction_prompt():
+    assert text.correction_prompt("none of these") == text.correction_prompt("medium") != text.correction_prompt("heavy")
