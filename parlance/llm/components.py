@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """id, root (the smallest id of its component) of every node of the edges (a, b: long)."""
+    """id, root (the smallest id of its component) of every node of the edges (a, b: long); a kept table."""
     now = frames.kept(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct(), name)
     seen = None
     while True:
@@ -33,4 +33,6 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
             break
         seen = mark
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
-    return roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out = frames.kept(roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), "roots")
+    frames.drop_kept(now)
+    return out

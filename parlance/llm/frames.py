@@ -30,16 +30,17 @@ def kept(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     at = f"{shared_dir(spark)}/parlance/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*by) if by else w).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._kept_at = at
+    return out
 
 
-def drop_kept(df: DataFrame) -> None:
-    """Removes the table of a kept frame that nothing reads any more."""
-    spark = df.sparkSession
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/parlance/" in at:
-            p = spark._jvm.org.apache.hadoop.fs.Path(at)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_kept(*tables: DataFrame) -> None:
+    """Removes tables of kept frames that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_kept_at"])
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def tidy(f):

@@ -256,20 +256,25 @@ def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup,
     few = ids.count() <= setup.broadcast_ids
     needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
     held = rows.join(near, ["bucket", "id"], "left_semi").join(needed, "id")
-    found = linked(sort(held), setup)
+    pair = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found, used = linked(sort(held), setup), [near, ids]
     if members.filter(F.col("n") > setup.split).take(1):  # classes that the parts of a large bucket have meet in the bucket, one text each
         found = frames.kept(found, "parts")
+        used.append(found)
         heads = found.filter("a = b").select("bucket", F.col("a").alias("id"))
         again = held.filter(F.col("n") > setup.split).join(heads, ["bucket", "id"], "left_semi").withColumn("bucket", F.col("band"))
         found = found.union(linked(sort(again), setup))
-    return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = frames.kept(pair(found), "links")
+    frames.drop_kept(*used)
+    return out
 
 
 def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and copy_of (the smallest doc_id with the same words)."""
     texts = frames.texts_of(docs).filter("doc_id is not null")
     signed = frames.kept(signatures(texts, setup), "signatures")
-    same = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("copy_of"))
+    # written, so that the join has exchanges of its own, whose large partitions Spark splits
+    same = frames.kept(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("copy_of")), "same")
     copies = frames.kept(signed.select("doc_id", "f1", "f2").join(same, ["f1", "f2"]).select("doc_id", "copy_of"), "copies")
     own = signed.join(copies.filter("doc_id = copy_of").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sketches = own.select(F.col("doc_id").alias("id"), "sketch")
@@ -277,21 +282,25 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = frames.kept(bands.join(shared, "band"), "members")
     large = bool(members.filter(F.col("n") > setup.split).take(1))
-    roots = links = None
+    roots, links, used = None, None, [members, same]
     for turn in itertools.count():
         if turn == 0:  # a few bands find most of a large group, which is one class in the others from then on
             named = members.filter(F.col("no") < setup.first).withColumn("root", F.col("id"))
         else:
             named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        new = frames.kept(met(named.join(open_, "band", "left_semi"), sketches, texts, setup, turn), "links")
+        new = met(named.join(open_, "band", "left_semi"), sketches, texts, setup, turn)
         some = bool(new.take(1))
+        before, used = roots, [*used, new]
         links = new if links is None else links.union(new)
         if some or roots is None:
-            roots = frames.kept(components(links), "roots")
+            roots = components(links)
+            if before is not None:
+                frames.drop_kept(before)
         # a turn over all bands is exhaustive, but for buckets that were dealt to parts
         if turn and not (large and some):
             break
+    frames.drop_kept(*used, signed)
     known = copies.join(roots.select(F.col("id").alias("copy_of"), "root"), "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
     plain = texts.select("doc_id").distinct().join(known.distinct(), "doc_id", "left")
     return plain.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
@@ -303,4 +312,7 @@ def deduplicated(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     names = docs.columns
     key = F.col("`doc_id`").cast("long")
     stays = docs.join(gone, key == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(key.alias("key")).filter("key is not null").groupBy("key").count()
+    if not rows.filter("count > 1").take(1):
+        return stays
     return stays.filter(key.isNull()).unionAll(stays.filter(key.isNotNull()).dropDuplicates(["doc_id"]))

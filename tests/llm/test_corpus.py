@@ -104,6 +104,14 @@ def test_op4(spark):
     assert got == conversation_digests(rows)
 
 
+def test_op4_against_sql(spark, duck):
+    df = queries.op4_chat_formatting(spark, str(DATA))
+    rel = duck.sql(queries.ORACLES["op4_chat_formatting"])
+    kinds = {"bigint": "BIGINT", "string": "VARCHAR"}
+    assert {c: kinds[k] for c, k in df.dtypes} == dict(zip(rel.columns, map(str, rel.types)))
+    assert sorted(map(tuple, df.select(*rel.columns).collect())) == sorted(rel.fetchall())
+
+
 def test_chat_odd_rows(spark, path):
     hostile = ["<|im_start|>", "<\\|x", "<\\\\|", "a\\nb", "", None, "<|im_end|>\n", "<", "<<|endoftext|>", "x" * 9000, "日本 \r\n"]
     rows, want = [], defaultdict(list)
