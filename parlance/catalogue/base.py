@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parlance.session import table
 
+BUCKET_MS = 20_000_000  # the segments below last some hours
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.catalogue.base import PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
+from parlance.catalogue.base import BUCKET_MS, PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
 from parlance.operators import folds
 from parlance.plans import transcript as plans
 from parlance.session import table
@@ -63,20 +63,20 @@ def char_batches(spark, sf_dir):
 @query()
 def fuse_sources(spark, sf_dir):
     """Texts with speakers of another source; cutting near marks is a cursor."""
-    return plans.fuse(sentences(spark, sf_dir).withColumn("overlap", F.lit(False)), turns(spark, sf_dir).withColumn("overlap", F.col("spk") == 3))
+    return plans.fuse(sentences(spark, sf_dir).withColumn("overlap", F.lit(False)), turns(spark, sf_dir).withColumn("overlap", F.col("spk") == 3), BUCKET_MS)
 
 
 @query()
 def redistribute_text(spark, sf_dir):
     blocks = folds.asr_blocks(segments(spark, sf_dir), 25_000_000, 30_000_000)
     said = blocks.withColumn("text", F.concat(F.lit("block "), F.col("seq").cast("string"), F.lit(". it has two sentences, or more. so they say")))
-    return plans.redistribute(said, turns(spark, sf_dir))
+    return plans.redistribute(said, turns(spark, sf_dir), BUCKET_MS)
 
 
 @query()
 def transcript_plan(spark, sf_dir):
     """The canonical plan from sentences and turns to paragraphs."""
-    return plans.transcript(sentences(spark, sf_dir), turns(spark, sf_dir), [("click", "tap"), ("view", "look")])
+    return plans.transcript(sentences(spark, sf_dir), turns(spark, sf_dir), [("click", "tap"), ("view", "look")], bucket_ms=BUCKET_MS)
 
 
 def vector_rows(spark, sf_dir):

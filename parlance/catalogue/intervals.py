@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.catalogue.base import SEG, query, segments
+from parlance.catalogue.base import BUCKET_MS, SEG, query, segments
 from parlance.operators import intervals as op
 
 
@@ -97,7 +97,7 @@ def segment_vote(spark, sf_dir):
     c = chunks(spark, sf_dir)
     order = Window.partitionBy("rec_id").orderBy("start_ms", "seq", "chunk_no")
     named = c.withColumn("label", (F.col("seq") * 7 + F.col("chunk_no")) % 3).withColumn("no", (F.row_number().over(order) - 1).cast("long")).drop("seq").withColumnRenamed("no", "seq")
-    return op.segment_votes(segments(spark, sf_dir), named)
+    return op.segment_votes(segments(spark, sf_dir), named, bucket_ms=BUCKET_MS)
 
 
 @query(f"""WITH {SEG}, n AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY rec_id, speaker) < 12 THEN 'noise' ELSE speaker END AS spk FROM seg),
@@ -122,7 +122,7 @@ SELECT rec_id, seq, CAST(piece_no AS BIGINT) AS piece_no, lo[piece_no + 1] AS st
 def split_at_changes(spark, sf_dir):
     s = segments(spark, sf_dir)
     cuts = s.filter("seq % 2 = 0").select("rec_id", F.expr("(start_ms + end_ms) div 2").alias("at_ms"))
-    return op.split_at(s, cuts, 9_000_000, 100_000)
+    return op.split_at(s, cuts, 9_000_000, 100_000, BUCKET_MS)
 
 
 @query(f"""WITH {SEG}, c AS (SELECT rec_id, count(*) AS n_in, count(*) FILTER (end_ms - start_ms >= 9000000) AS n_long FROM seg GROUP BY 1), x AS (SELECT s.rec_id, s.seq, c.m FROM seg s JOIN (SELECT rec_id, (start_ms + end_ms) // 2 AS m FROM seg WHERE seq % 2 = 0) c ON s.rec_id = c.rec_id AND m > s.start_ms AND m < s.end_ms AND s.end_ms - s.start_ms >= 9000000),
@@ -131,7 +131,7 @@ SELECT rec_id, n_in, n_long, n_in + coalesce(k, 0) AS n_out, coalesce(k, 0) AS n
 def split_summary(spark, sf_dir):
     s = segments(spark, sf_dir)
     cuts = s.filter("seq % 2 = 0").select("rec_id", F.expr("(start_ms + end_ms) div 2").alias("at_ms"))
-    return op.split_summary(s, op.split_at(s, cuts, 9_000_000, 0), 9_000_000)
+    return op.split_summary(s, op.split_at(s, cuts, 9_000_000, 0, BUCKET_MS), 9_000_000)
 
 
 @query(f"""WITH {CHUNKS}, p AS (SELECT rec_id, seq, chunk_no, start_ms, end_ms, -((end_ms // 1000) % 80) AS dbfs FROM chunks) SELECT rec_id, seq, chunk_no FROM p WHERE end_ms - start_ms >= 6000000 AND dbfs >= -50""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.catalogue.base import PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
+from parlance.catalogue.base import BUCKET_MS, PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
 from parlance.operators import folds, joins, summaries
 from parlance.session import table
 
@@ -14,14 +14,14 @@ from parlance.session import table
   CASE WHEN t.start_ms <= (s.start_ms + s.end_ms) / 2 AND (s.start_ms + s.end_ms) / 2 <= t.end_ms THEN 0 ELSE 1 END AS o FROM sents s JOIN turns t USING (rec_id))
 SELECT s.rec_id, s.seq, x.spk FROM sents s LEFT JOIN (SELECT rec_id, seq, spk FROM d QUALIFY row_number() OVER (PARTITION BY rec_id, seq ORDER BY o, d, no) = 1) x USING (rec_id, seq)""")
 def nearest_turn(spark, sf_dir):
-    return joins.nearest_turn(sentences(spark, sf_dir), turns(spark, sf_dir)).select("rec_id", "seq", "spk")
+    return joins.nearest_turn(sentences(spark, sf_dir), turns(spark, sf_dir), BUCKET_MS).select("rec_id", "seq", "spk")
 
 
 @query(f"""WITH {PARTS}, o AS (SELECT s.rec_id, s.seq, t.seq AS no, t.spk, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms) AS ov FROM sents s JOIN turns t USING (rec_id)),
 b AS (SELECT rec_id, seq, spk, ov FROM o WHERE ov > 0 QUALIFY row_number() OVER (PARTITION BY rec_id, seq ORDER BY ov DESC, no) = 1)
 SELECT s.rec_id, s.seq, b.spk, b.ov AS overlap_ms FROM sents s LEFT JOIN b USING (rec_id, seq)""")
 def dominant_turn(spark, sf_dir):
-    return joins.max_overlap(sentences(spark, sf_dir), turns(spark, sf_dir)).select("rec_id", "seq", "spk", "overlap_ms")
+    return joins.max_overlap(sentences(spark, sf_dir), turns(spark, sf_dir), bucket_ms=BUCKET_MS).select("rec_id", "seq", "spk", "overlap_ms")
 
 
 ASOF = PARTS + """, w AS (SELECT *, (start_ms + end_ms) / 2 AS mid FROM {rows}),
@@ -51,7 +51,7 @@ o AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY rec_id, seq ORDER BY
 g AS (SELECT *, sum(o) OVER (PARTITION BY rec_id, seq ORDER BY ps, no) AS g FROM o)
 SELECT rec_id, seq, CAST(g AS BIGINT) AS group_no, spk AS speaker, min(ps) AS start_ms, last(pe ORDER BY ps, no) AS end_ms, bool_or(ov) AS overlap FROM g GROUP BY rec_id, seq, g, spk""")
 def overlap_groups(spark, sf_dir):
-    return joins.overlap_groups(sentences(spark, sf_dir), turns(spark, sf_dir).withColumn("overlap", F.col("spk") == 3))
+    return joins.overlap_groups(sentences(spark, sf_dir), turns(spark, sf_dir).withColumn("overlap", F.col("spk") == 3), BUCKET_MS)
 
 
 @query(f"""WITH {PARTS}, m AS (SELECT s.rec_id, s.seq, string_agg(t.speaker || t.seq, '' ORDER BY t.start_ms, t.seq) AS alt_text, count(*) AS n_alt FROM sents s JOIN turns t USING (rec_id)
@@ -59,7 +59,7 @@ def overlap_groups(spark, sf_dir):
 SELECT s.rec_id, s.seq, coalesce(alt_text, '') AS alt_text, coalesce(n_alt, 0) AS n_alt FROM sents s LEFT JOIN m USING (rec_id, seq)""")
 def overlap_concat(spark, sf_dir):
     others = turns(spark, sf_dir).withColumn("text", F.concat("speaker", F.col("seq").cast("string")))
-    return joins.overlapping_text(sentences(spark, sf_dir), others, 1_000_000).select("rec_id", "seq", "alt_text", "n_alt")
+    return joins.overlapping_text(sentences(spark, sf_dir), others, 1_000_000, BUCKET_MS).select("rec_id", "seq", "alt_text", "n_alt")
 
 
 @query(f"""WITH {PARTS}, r AS (SELECT rec_id, start_ms AS rs, end_ms AS re FROM turns WHERE event_id % 5 <> event_id % 3),
@@ -69,7 +69,7 @@ SELECT rec_id, start_ms, end_ms, speaker, text, overlap, row_number() OVER (PART
 def overlap_replace(spark, sf_dir):
     t = turns(spark, sf_dir)
     ranges = t.withColumn("spk_a", F.col("event_id") % 5).withColumn("spk_b", F.col("event_id") % 3)
-    return joins.replace_overlaps(sentences(spark, sf_dir), ranges, t.withColumn("text", F.lit("separated")))
+    return joins.replace_overlaps(sentences(spark, sf_dir), ranges, t.withColumn("text", F.lit("separated")), BUCKET_MS)
 
 
 @query(f"""WITH {PARTS}, n AS (SELECT DISTINCT rec_id, spk, 'name ' || rec_id || spk AS name FROM turns WHERE spk < 2)

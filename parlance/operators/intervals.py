@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REC, SEQ, START, END = "rec_id", "seq", "start_ms", "end_ms"
+BUCKET_MS = 60_000  # some turns of a talk; for other data a few times the usual length
 
 
 def by_rec(*order: str) -> Window:
@@ -21,6 +22,22 @@ def islands(df: DataFrame, opens: Column, name: str = "island", order: tuple[str
     return df.withColumn("_opens", F.when(opens, 1).when(opens.isNull(), 1).otherwise(0)).withColumn(name, F.sum("_opens").over(by_rec(*order).rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
 
 
+def bucketed(df: DataFrame, start: Column, end: Column, bucket_ms: int) -> DataFrame:
+    lo, hi = F.floor(start / bucket_ms), F.floor(F.greatest(end, start) / bucket_ms)
+    return df.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+
+
+def touching(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Pairs of one recording whose intervals [ls, le] and [rs, re] touch, each pair once.
+
+    A pair shares all buckets of its common part; it is kept in the first of them.
+    """
+    a = bucketed(left, F.col(ls), F.col(le), bucket_ms)
+    b = bucketed(right, F.col(rs), F.col(re), bucket_ms)
+    first = F.col("_bucket") == F.floor(F.greatest(ls, rs) / bucket_ms)
+    return a.join(b, [REC, "_bucket"]).filter((F.col(rs) <= F.col(le)) & (F.col(re) >= F.col(ls)) & first).drop("_bucket")
+
+
 def merge_segments(segments: DataFrame, gap_ms: int = 300, min_ms: int = 800) -> DataFrame:
     """Joins a segment to the one before it if the silence between them is at most `gap_ms`; the end is that of the last
     joined segment, even if an earlier one ended later.  Shorter results than `min_ms` go."""
@@ -103,12 +120,12 @@ def smooth_islands(chunks: DataFrame, label: str = "label", smooth: bool = True)
     return runs.groupBy(REC, "island", "spk").agg(F.min_by(START, SEQ).alias(START), F.max_by(END, SEQ).alias(END)).select(REC, F.col("island").alias(SEQ), START, END, "spk")
 
 
-def segment_votes(segments: DataFrame, chunks: DataFrame, slack_ms: int = 1, gap_ms: int = 500) -> DataFrame:
+def segment_votes(segments: DataFrame, chunks: DataFrame, slack_ms: int = 1, gap_ms: int = 500, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Each segment gets the commonest label of its chunks (a chunk belongs to the first segment that contains it; ties
     go to the label seen first); then neighbours of one speaker are joined over gaps of at most `gap_ms`."""
     s = segments.select(REC, F.col(SEQ).alias("seg"), F.col(START).alias("ss"), F.col(END).alias("se"))
     c = chunks.select(REC, F.col(SEQ).alias("chunk"), F.col(START).alias("cs"), F.col(END).alias("ce"), "label")
-    inside = c.join(s, REC).filter((F.col("cs") >= F.col("ss")) & (F.col("ce") <= F.col("se") + slack_ms))
+    inside = touching(c, s, "cs", "ce", "ss", "se", bucket_ms).filter((F.col("cs") >= F.col("ss")) & (F.col("ce") <= F.col("se") + slack_ms))
     owner = inside.groupBy(REC, "chunk").agg(F.min("seg").alias("seg"), F.first("label").alias("label"))
     votes = owner.groupBy(REC, "seg", "label").agg(F.count("*").alias("n"), F.min("chunk").alias("first"))
     won = votes.groupBy(REC, "seg").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("spk"))
@@ -154,9 +171,10 @@ def peaks(series: DataFrame, threshold: float, value: str = "smooth") -> DataFra
     return series.withColumn("_peak", (v > threshold) & (v >= a) & (v >= b)).filter("_peak").drop("_peak")
 
 
-def split_at(segments: DataFrame, cuts: DataFrame, min_segment_ms: int = 5000, min_piece_ms: int = 200) -> DataFrame:
+def split_at(segments: DataFrame, cuts: DataFrame, min_segment_ms: int = 5000, min_piece_ms: int = 200, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Segments of at least `min_segment_ms` split at the cuts (rec_id, at_ms) that lie inside; of split ones, shorter pieces than `min_piece_ms` go."""
-    inside = segments.join(cuts, REC).filter((F.col("at_ms") > F.col(START)) & (F.col("at_ms") < F.col(END)) & (F.col(END) - F.col(START) >= min_segment_ms))
+    long = segments.filter(F.col(END) - F.col(START) >= min_segment_ms).select(REC, SEQ, START, END)
+    inside = touching(long, cuts.select(REC, "at_ms"), START, END, "at_ms", "at_ms", bucket_ms).filter((F.col("at_ms") > F.col(START)) & (F.col("at_ms") < F.col(END)))
     at = inside.groupBy(REC, SEQ).agg(F.array_sort(F.collect_set("at_ms")).alias("at"))
     edges = segments.join(at, [REC, SEQ], "left").withColumn("at", F.coalesce("at", F.array().cast("array<long>")))
     edges = edges.withColumn("lo", F.concat(F.array(START), "at")).withColumn("hi", F.concat("at", F.array(END)))

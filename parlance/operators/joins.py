@@ -7,35 +7,16 @@ nearest partner is wanted, both sides are merged into one ordered stream and rea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.operators.intervals import END, REC, SEQ, START, islands
-
-BUCKET_MS = 60_000
-
-
-def bucketed(df: DataFrame, start: Column, end: Column, bucket_ms: int) -> DataFrame:
-    lo, hi = F.floor(start / bucket_ms), F.floor(F.greatest(end, start) / bucket_ms)
-    return df.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
-
-
-def touching(left: DataFrame, right: DataFrame, ls: str, le: str, rs: str, re: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Pairs of one recording whose intervals [ls, le] and [rs, re] touch, each pair once.
-
-    A pair shares all buckets of its common part; it is kept in the first of them.
-    """
-    a = bucketed(left, F.col(ls), F.col(le), bucket_ms)
-    b = bucketed(right, F.col(rs), F.col(re), bucket_ms)
-    first = F.col("_bucket") == F.floor(F.greatest(ls, rs) / bucket_ms)
-    return a.join(b, [REC, "_bucket"]).filter((F.col(rs) <= F.col(le)) & (F.col(re) >= F.col(ls)) & first).drop("_bucket")
-
+from parlance.operators.intervals import BUCKET_MS, END, REC, SEQ, START, islands, touching
 
 def turns_as(turns: DataFrame, *more: str) -> DataFrame:
     return turns.select(REC, F.col(SEQ).alias("turn_no"), F.col(START).alias("ts"), F.col(END).alias("te"), F.col("spk"), *more)
 
 
-def nearest_turn(sentences: DataFrame, turns: DataFrame) -> DataFrame:
+def nearest_turn(sentences: DataFrame, turns: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Speaker of each sentence: that of the first turn (by seq) that contains its midpoint, else of the turn whose
     boundary is nearest (the first among equals); null without turns.
 
@@ -45,7 +26,7 @@ def nearest_turn(sentences: DataFrame, turns: DataFrame) -> DataFrame:
     mid = (F.col(START) + F.col(END)) / 2
     s = sentences.withColumn("mid", mid)
     t = turns_as(turns)
-    inside = touching(s.select(REC, SEQ, "mid"), t, "mid", "mid", "ts", "te").groupBy(REC, SEQ).agg(F.min_by("spk", "turn_no").alias("_in"), F.count("*").alias("_n"))
+    inside = touching(s.select(REC, SEQ, "mid"), t, "mid", "mid", "ts", "te", bucket_ms).groupBy(REC, SEQ).agg(F.min_by("spk", "turn_no").alias("_in"), F.count("*").alias("_n"))
     # one stream of boundaries (kind 0) and midpoints (kind 1)
     marks = t.select(REC, F.col("ts").cast("double").alias("at"), "turn_no", "spk").union(t.select(REC, F.col("te").cast("double").alias("at"), "turn_no", "spk"))
     marks = marks.groupBy(REC, "at").agg(F.min(F.struct("turn_no", "spk")).alias("who"))
@@ -62,11 +43,11 @@ def nearest_turn(sentences: DataFrame, turns: DataFrame) -> DataFrame:
     return sentences.join(inside, [REC, SEQ], "left").join(out, [REC, SEQ], "left").withColumn("spk", F.when(F.col("_n") > 0, F.col("_in")).otherwise(F.col("_near"))).drop("_in", "_n", "_near")
 
 
-def max_overlap(rows: DataFrame, turns: DataFrame, missing: str | None = None) -> DataFrame:
+def max_overlap(rows: DataFrame, turns: DataFrame, missing: str | None = None, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Speaker of the one turn with the largest common part (the first among equals; not summed over turns); `missing` where none has any."""
     t = turns_as(turns)
     common = (F.least(END, "te") - F.greatest(START, "ts")).alias("ov")
-    met = touching(rows.select(REC, SEQ, START, END), t, START, END, "ts", "te").select(REC, SEQ, "spk", "turn_no", common).filter("ov > 0")
+    met = touching(rows.select(REC, SEQ, START, END), t, START, END, "ts", "te", bucket_ms).select(REC, SEQ, "spk", "turn_no", common).filter("ov > 0")
     best = met.groupBy(REC, SEQ).agg(F.max_by("spk", F.struct("ov", -F.col("turn_no"))).alias("spk"), F.max("ov").alias("overlap_ms"))
     out = rows.join(best, [REC, SEQ], "left")
     return out.withColumn("spk", F.coalesce("spk", F.lit(missing))) if missing is not None else out
@@ -102,11 +83,11 @@ def words_to_sentences(words: DataFrame, turns: DataFrame) -> DataFrame:
     return out.filter(F.length("text") > 0).select(REC, F.col("island").alias(SEQ), START, END, F.col("spk").alias("speaker"), "text")
 
 
-def overlap_groups(asr: DataFrame, diar: DataFrame) -> DataFrame:
+def overlap_groups(asr: DataFrame, diar: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Common parts of each ASR row with the turns it overlaps, in order of start, neighbours of one speaker as one (the
     end is the last part's, overlap holds if it holds for any)."""
     t = diar.select(REC, F.col(SEQ).alias("turn_no"), F.col(START).alias("ts"), F.col(END).alias("te"), F.col("speaker").alias("spk"), F.coalesce("overlap", F.lit(False)).alias("ov"))
-    met = touching(asr.select(REC, SEQ, START, END), t, START, END, "ts", "te")
+    met = touching(asr.select(REC, SEQ, START, END), t, START, END, "ts", "te", bucket_ms)
     parts = met.select(REC, SEQ, "turn_no", F.greatest(START, "ts").alias("ps"), F.least(END, "te").alias("pe"), "spk", "ov").filter("pe > ps")
     order = Window.partitionBy(REC, SEQ).orderBy("ps", "turn_no")
     new = F.when(F.col("spk").eqNullSafe(F.lag("spk").over(order)) & F.lag("ps").over(order).isNotNull(), 0).otherwise(1)
@@ -115,21 +96,21 @@ def overlap_groups(asr: DataFrame, diar: DataFrame) -> DataFrame:
     return runs.groupBy(REC, SEQ, "group_no", F.col("spk").alias("speaker")).agg(F.min("ps").alias(START), F.max_by("pe", key).alias(END), F.max("ov").alias("overlap"))
 
 
-def overlapping_text(anchors: DataFrame, others: DataFrame, least_ms: int = 500) -> DataFrame:
+def overlapping_text(anchors: DataFrame, others: DataFrame, least_ms: int = 500, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Texts of the other side that overlap each anchor by at least `least_ms`, in order of start."""
     o = others.select(REC, F.col(SEQ).alias("other_no"), F.col(START).alias("os"), F.col(END).alias("oe"), F.col("text").alias("other_text"))
-    met = touching(anchors.select(REC, SEQ, START, END), o, START, END, "os", "oe").filter(F.least(END, "oe") - F.greatest(START, "os") >= least_ms)
+    met = touching(anchors.select(REC, SEQ, START, END), o, START, END, "os", "oe", bucket_ms).filter(F.least(END, "oe") - F.greatest(START, "os") >= least_ms)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("os", "other_no", "other_text"))), lambda x: x["other_text"]), "")
     return anchors.join(met.groupBy(REC, SEQ).agg(joined.alias("alt_text"), F.count("*").alias("n_alt")), [REC, SEQ], "left").withColumn("alt_text", F.coalesce("alt_text", F.lit(""))).withColumn("n_alt", F.coalesce("n_alt", F.lit(0)))
 
 
-def replace_overlaps(sentences: DataFrame, ranges: DataFrame, separated: DataFrame) -> DataFrame:
+def replace_overlaps(sentences: DataFrame, ranges: DataFrame, separated: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """Sentences whose midpoint lies in a range of two distinct known speakers give way to the separated ones; sorted
     rows get a new seq by start, then speaker (null first)."""
     real = ranges.filter(F.col("spk_a").isNotNull() & F.col("spk_b").isNotNull() & (F.col("spk_a") != F.col("spk_b")))
     s = sentences.withColumn("mid", (F.col(START) + F.col(END)) / 2)
     r = real.select(REC, F.col(START).alias("rs"), F.col(END).alias("re"))
-    gone = touching(s.select(REC, SEQ, "mid"), r, "mid", "mid", "rs", "re").select(REC, SEQ).distinct()
+    gone = touching(s.select(REC, SEQ, "mid"), r, "mid", "mid", "rs", "re", bucket_ms).select(REC, SEQ).distinct()
     stays = sentences.join(gone, [REC, SEQ], "left_anti")
     cols = [REC, START, END, "speaker", "text"]
     all_rows = stays.select(*cols, F.lit(False).alias("overlap"), F.col(SEQ).alias("_seq")).unionByName(separated.select(*cols, F.lit(True).alias("overlap"), F.col(SEQ).alias("_seq")))

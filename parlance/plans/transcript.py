@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import diff, numerals, text
@@ -16,12 +16,12 @@ def turns_from_vectors(segments: DataFrame, chunks: DataFrame, clusters: int | N
     return intervals.smooth_islands(named) if fine else intervals.segment_votes(segments, named)
 
 
-def transcript(sentences: DataFrame, turns: DataFrame, rules: list[tuple[str, str]] = (), names: DataFrame | None = None, ranges: DataFrame | None = None, separated: DataFrame | None = None) -> DataFrame:
+def transcript(sentences: DataFrame, turns: DataFrame, rules: list[tuple[str, str]] = (), names: DataFrame | None = None, ranges: DataFrame | None = None, separated: DataFrame | None = None, bucket_ms: int = joins.BUCKET_MS) -> DataFrame:
     """Sentences and turns to paragraphs: numerals, corrections, speakers, overlaps, names, paragraphs, merged neighbours."""
     said = text.corrected(numerals.normalised(text.clean("text")), list(rules))
-    rows = joins.nearest_turn(sentences.withColumn("text", said), turns).withColumn("speaker", F.col("spk"))
+    rows = joins.nearest_turn(sentences.withColumn("text", said), turns, bucket_ms).withColumn("speaker", F.col("spk"))
     if ranges is not None:
-        rows = joins.replace_overlaps(rows, ranges, separated).withColumn("spk", F.col("speaker"))
+        rows = joins.replace_overlaps(rows, ranges, separated, bucket_ms).withColumn("spk", F.col("speaker"))
     else:
         rows = rows.withColumn("overlap", F.lit(False))
     if names is not None:
@@ -31,11 +31,11 @@ def transcript(sentences: DataFrame, turns: DataFrame, rules: list[tuple[str, st
     return folds.merge_consecutive(folds.group_paragraphs(rows.select("rec_id", "seq", "start_ms", "end_ms", "speaker", "overlap", "text")))
 
 
-def fuse(asr: DataFrame, diar: DataFrame) -> DataFrame:
+def fuse(asr: DataFrame, diar: DataFrame, bucket_ms: int = joins.BUCKET_MS) -> DataFrame:
     """Texts of one source with the speakers of another: each text is cut at marks in proportion to the time of the
     speakers that overlap it, in order."""
     rows = asr.filter(F.coalesce("text", F.lit("")) != "").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
-    groups = joins.overlap_groups(rows, diar)
+    groups = joins.overlap_groups(rows, diar, bucket_ms)
     listed = groups.groupBy("rec_id", "seq").agg(F.array_sort(F.collect_list(F.struct("group_no", "start_ms", "end_ms", "speaker", "overlap"))).alias("g"))
     met = rows.join(listed, ["rec_id", "seq"], "left")
     plain = F.struct(F.lit(0).cast("long").alias("group_no"), "start_ms", "end_ms", F.coalesce(F.when(F.col("speaker") != "", F.col("speaker")), F.lit("spk_unknown")).alias("speaker"), "overlap")
@@ -47,13 +47,11 @@ def fuse(asr: DataFrame, diar: DataFrame) -> DataFrame:
     return out.select("rec_id", "seq", "part", "x.start_ms", "x.end_ms", "x.speaker", "x.overlap", "text")
 
 
-def redistribute(blocks: DataFrame, turns: DataFrame) -> DataFrame:
+def redistribute(blocks: DataFrame, turns: DataFrame, bucket_ms: int = joins.BUCKET_MS) -> DataFrame:
     """Texts of ASR blocks (rec_id, seq, subs, text) to the speakers that dominate their sub-segments, neighbours of one
     speaker as one, cut in proportion to time."""
     subs = blocks.filter(F.trim("text") != "").select("rec_id", F.col("seq").alias("block"), F.posexplode("subs").alias("pos", "s")).select("rec_id", "block", "pos", (F.col("block") * 100_000 + F.col("pos")).alias("seq"), F.col("s.start_ms").alias("start_ms"), F.col("s.end_ms").alias("end_ms"))
-    from pyspark.sql import Window
-
-    named = joins.max_overlap(subs, turns)
+    named = joins.max_overlap(subs, turns, bucket_ms=bucket_ms)
     w = Window.partitionBy("rec_id", "block").orderBy("pos")
     new = F.when(F.lag("pos").over(w).isNotNull() & F.col("spk").eqNullSafe(F.lag("spk").over(w)), 0).otherwise(1)
     runs = named.withColumn("_n", new).withColumn("g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -67,8 +65,6 @@ def redistribute(blocks: DataFrame, turns: DataFrame) -> DataFrame:
 def change_points(rows: DataFrame, threshold: float = 0.5, least: int = 8) -> DataFrame:
     """Speaker changes along vectors (rec_id, seq, at_ms, embedding): smoothed distances of neighbours, their peaks beyond the
     threshold, at least `least` places apart; the place of a cut is the later vector of its pair."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("rec_id").orderBy("seq")
     d = vectors.adjacent_distance(rows).withColumn("place", (F.row_number().over(w) - 1).cast("long"))
     top = intervals.peaks(intervals.smoothed(d), threshold).select("rec_id", "seq", "place", F.col("at_ms"))
