@@ -132,7 +132,7 @@ def repetition(spark, sf_dir):
 @query()
 def repetition_in_documents(spark, sf_dir):
     """Over whole texts, where the SQL form takes the square of their lengths; small ones are held against it in `repetition`."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.repetition("text").alias("pattern"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.repetition_of_long("text").alias("pattern"))
 
 
 @query("""SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'better' ELSE text || CASE WHEN item_id % 3 = 0 THEN ' 抖音' ELSE '' END END AS text FROM benchmark WHERE item_id % 2 = 1 OR item_id % 3 = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,33 @@ def repetition(x: str | Column, least: int = 4, shortest: int = 3, longest: int
     return F.coalesce(*found)
 
 
+def may_repeat(x: str | Column, least: int = 4, shortest: int = 3, longest: int = 10) -> Column:
+    """Whether some stretch equals itself n characters on for long enough, for any n: true wherever `repetition` finds a
+    pattern.  An Arrow UDF of a few comparisons a character, to spare long texts the patterns."""
+
+    @F.pandas_udf("boolean")
+    def f(s: pd.Series) -> pd.Series:
+        out = np.zeros(len(s), bool)
+        for i, t in enumerate(s):
+            if t is None or len(t) < least * shortest:
+                continue
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            for n in range(shortest, longest + 1):
+                need = (least - 1) * n
+                ends = np.flatnonzero(c[n:] != c[:-n])
+                if len(c) - n >= need and np.diff(np.concatenate([[-1], ends, [len(c) - n]])).max() > need:
+                    out[i] = True
+                    break
+        return pd.Series(out)
+
+    return f(_c(x))
+
+
+def repetition_of_long(x: str | Column, least: int = 4, shortest: int = 3, longest: int = 10) -> Column:
+    """As repetition, trying the patterns only on texts that may have one."""
+    return F.when(may_repeat(x, least, shortest, longest), repetition(x, least, shortest, longest))
+
+
 def anomaly(x: str | Column, least: int = 4) -> Column:
     return F.coalesce(blacklisted(x), repetition(x, least))
 

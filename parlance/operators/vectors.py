@@ -6,9 +6,13 @@ voices; matches join through blocks of it, and a side is only broadcast by Spark
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import ship
+
 EPS = 1e-8
 
 
@@ -74,11 +78,39 @@ def verify(queries: DataFrame, names: DataFrame, least: float = 0.40, key: str =
     return out.withColumn("margin", F.col("own_sim") - F.col("best_other")).withColumn("passed", (F.col("own_sim") >= least) & (F.col("own_sim") > F.coalesce("best_other", F.lit(-1.0))))
 
 
-def audit_pairs(names: DataFrame, threshold: float = 0.70, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs i < j of the registry more similar than the threshold."""
-    a = names.select(F.col(key).alias("i"), doubles(vector).alias("_a")).withColumn("_na", norm(F.col("_a")))
-    b = names.select(F.col(key).alias("j"), doubles(vector).alias("_b")).withColumn("_nb", norm(F.col("_b")))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", (dot(F.col("_a"), F.col("_b")) / (F.col("_na") * F.col("_nb") + EPS)).alias("sim")).filter(F.col("sim") > threshold)
+def audit_pairs(names: DataFrame, threshold: float = 0.70, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """Pairs i < j of the registry more similar than the threshold.
+
+    All pairs have to be looked at; rows are dealt to blocks, each pair of blocks is one task's matrix product (two
+    blocks in memory), and only pairs beyond the threshold leave it.
+    """
+    ship(names.sparkSession)
+    rows = names.select(F.col(key).alias("id"), doubles(vector).alias("v")).filter("v is not null")
+    n = max(1, -(-rows.count() // block))
+    home = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dealt = rows.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    both = dealt.select(F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "id", "v")
+    kind = dict(names.dtypes)[key]
+
+    def f(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        lo, home, ids = (t.column(c).to_numpy() for c in ("lo", "home", "id"))
+        x = np.array(t.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        size = np.sqrt((x * x).sum(1))
+        one = np.flatnonzero(home == lo)
+        two = np.flatnonzero(home != lo) if (home != lo).any() or (t.column("hi").to_numpy() != lo).any() else one
+        out = []
+        for at in range(0, len(one), 512):
+            p = one[at : at + 512]
+            sim = x[p] @ x[two].T / (np.outer(size[p], size[two]) + EPS)
+            a, b = np.nonzero(sim > threshold)
+            i, j = ids[p[a]], ids[two[b]]
+            keep = (i < j) if two is one else (i != j)
+            out.append((np.minimum(i, j)[keep], np.maximum(i, j)[keep], sim[a, b][keep]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [ids[:0], ids[:0], np.zeros(0)]
+        return pa.table({"i": cols[0], "j": cols[1], "sim": cols[2]})
+
+    return both.groupBy("lo", "hi").applyInArrow(f, f"i {kind}, j {kind}, sim double")
 
 
 def upsert(registry: DataFrame, rows: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +16,27 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the package to the executors, once an application, so that it need not be installed there."""
+    """Gives the package to the executors, once an application, so that it need not be installed there.
+
+    The archive goes to the folder in spark.checkpoint.dir, which executors share; where none is set (tests), to a local one.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    top = Path(__file__).resolve().parent
-    d = tempfile.mkdtemp(prefix="parlance-")  # the driver serves the file from here as long as it lives
-    atexit.register(shutil.rmtree, d, True)
-    shutil.copytree(top, f"{d}/stage/{top.name}", ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/{top.name}_{uuid.uuid4().hex[:8]}", "zip", f"{d}/stage"))
+    top, buffer = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="parlance-")
+        atexit.register(shutil.rmtree, shared, True)
+    at = f"{shared.rstrip('/')}/parlance_{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(at)
     _shipped.add(app)
 
 
