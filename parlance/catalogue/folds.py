@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.catalogue.base import BUCKET_MS, PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
 from parlance.operators import folds
+from parlance.plans import meeting
 from parlance.plans import transcript as plans
 from parlance.session import table
 
@@ -79,6 +80,18 @@ def transcript_plan(spark, sf_dir):
     return plans.transcript(sentences(spark, sf_dir), turns(spark, sf_dir), [("click", "tap"), ("view", "look")], bucket_ms=BUCKET_MS)
 
 
+@query()
+def meeting_plan(spark, sf_dir):
+    """Speech, chunk vectors and sentences to paragraphs; the vectors stand for a model's, one for each chunk."""
+    settings = meeting.Settings(10_000_000, 8_000_000, 10_000_000, 5_000_000, 1_000_000, -50.0, threshold=0.9, bucket_ms=BUCKET_MS)
+    speech = segments(spark, sf_dir)
+    _, chunks = meeting.chunks(speech, settings)
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vectors = chunks.withColumn("vec_id", F.pmod(F.col("rec_id") * 31 + F.col("seq") * 7 + F.col("chunk_no"), F.lit(500))).join(v, "vec_id")
+    vectors = vectors.select("rec_id", "seq", "chunk_no", (-(F.col("vec_id") % 60)).cast("double").alias("dbfs"), "embedding")
+    return meeting.meeting(speech, vectors, sentences(spark, sf_dir), settings)
+
+
 def vector_rows(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("rec_id"), F.col("vec_id").alias("seq"), (F.col("vec_id") * 100).alias("at_ms"), (F.col("vec_id") * 100).alias("start_ms"), (F.col("vec_id") * 100 + 100).alias("end_ms"), "embedding", "label")
 

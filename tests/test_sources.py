@@ -89,3 +89,34 @@ def test_registered_functions(spark):
 
 def test_correction_prompt():
     assert text.correction_prompt("none of these") == text.correction_prompt("medium") != text.correction_prompt("heavy")
+
+
+def test_retries_and_polling(spark):
+    import pytest
+
+    from parlance.sources import remote
+
+    tries, pauses = [], []
+
+    def flaky(t):
+        tries.append(t)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return f" {t}! "
+
+    assert remote.with_retries(flaky, sleep=pauses.append)("x") == "x!" and pauses == [1.0, 3.0]
+    assert remote.with_retries(lambda t: 1 / 0, sleep=pauses.append)("x") is None
+    left = [None, None, "done"]
+    assert remote.poll(lambda: left.pop(0), sleep=lambda s: None) == "done"
+    ticks = iter(range(0, 10_000, 1000))
+    with pytest.raises(TimeoutError):
+        remote.poll(lambda: None, sleep=lambda s: None, clock=lambda: next(ticks))
+    assert remote.headers("a", "b", "c", "d")["X-Api-Request-Id"] == "d"
+
+    def shout(t):
+        if t == "bad":
+            raise ValueError
+        return t.upper()
+
+    rows = spark.createDataFrame([("hi",), ("bad",), (None,)], "prompt string")
+    assert [r.output for r in remote.answers(rows, shout, pauses=(0.0,)).collect()] == ["HI", None, None]
