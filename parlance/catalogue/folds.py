@@ -136,3 +136,18 @@ def stream_vad(spark, sf_dir):
     return spark.table(name)
 
 
+@query(f"""WITH {SEG} SELECT rec_id, speaker, start_ms // 86400000 * 86400000 AS window_ms, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, count(*) AS n FROM seg GROUP BY ALL""")
+def stream_speaking_time(spark, sf_dir):
+    """Totals by day of the stream, run to the end of the input."""
+    import uuid
+
+    from parlance.streaming import totals
+
+    files = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(files.schema).parquet(f"{sf_dir}/events.parquet*")
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = stream.select(F.col("user_id").alias("rec_id"), ms.alias("start_ms"), (ms + F.round(F.col("value") * 1000).cast("long") * 100).alias("end_ms"), F.col("event_type").alias("speaker"))
+    name = f"time_{uuid.uuid4().hex}"
+    q = totals.speaking_time(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
