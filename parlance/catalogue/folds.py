@@ -9,6 +9,7 @@ from parlance.operators import folds
 from parlance.plans import meeting
 from parlance.plans import transcript as plans
 from parlance.session import table
+from parlance.streaming import run, totals, vad
 
 #: A fold in SQL: rows one by one, the open paragraph carried along; its last state is the paragraph.
 MERGE = """, n AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY seq) AS k FROM {rows}),
@@ -121,33 +122,19 @@ e AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY rec_id ORDER BY seq), 0) AS
 SELECT rec_id, seq, at_ms, CASE WHEN st = 1 THEN 'start' ELSE 'end' END AS event FROM e WHERE st <> was""")
 def stream_vad(spark, sf_dir):
     """Events of the streaming detector over the frames, run to the end of the input."""
-    import uuid
-
-    from parlance.streaming import vad
-
     files = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(files.schema).parquet(f"{sf_dir}/events.parquet*")
     # places of frames are those of the stored table; the stream carries them by event
     place = segments(spark, sf_dir).select("rec_id", "seq", "event_id")
     frames = stream.join(place, "event_id").select("rec_id", "seq", (F.col("seq") * 1000).alias("at_ms"), F.col("value").alias("prob"))
-    name = f"vad_{uuid.uuid4().hex}"
-    q = vad.events(frames, 150, 60).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return run.to_end(vad.events(frames, 150, 60))
 
 
 @query(f"""WITH {SEG} SELECT rec_id, speaker, start_ms // 86400000 * 86400000 AS window_ms, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, count(*) AS n FROM seg GROUP BY ALL""")
 def stream_speaking_time(spark, sf_dir):
     """Totals by day of the stream, run to the end of the input."""
-    import uuid
-
-    from parlance.streaming import totals
-
     files = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(files.schema).parquet(f"{sf_dir}/events.parquet*")
     ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     rows = stream.select(F.col("user_id").alias("rec_id"), ms.alias("start_ms"), (ms + F.round(F.col("value") * 1000).cast("long") * 100).alias("end_ms"), F.col("event_type").alias("speaker"))
-    name = f"time_{uuid.uuid4().hex}"
-    q = totals.speaking_time(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return run.to_end(totals.speaking_time(rows), "complete")
