@@ -43,13 +43,17 @@ def widened(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+#: Milliseconds since 1970 of the wall-clock column ts, whatever the session's time zone.
+EVENT_MS = "unix_date(to_date(ts)) * 86400000L + hour(ts) * 3600000L + minute(ts) * 60000L + cast(floor(extract(SECOND FROM ts) * 1000) as bigint)"
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as segments: a user's events are a recording, the value is the duration in hundreds of seconds."""
-    e = table(spark, sf_dir, "events")
-    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "rec_id")  # named first, so that its partitioning serves what follows
+    ms = F.expr(EVENT_MS)
+    order = Window.partitionBy("rec_id").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("rec_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), ms.alias("start_ms"),
+        "rec_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), ms.alias("start_ms"),
         (ms + F.round(F.col("value") * 1000).cast("long") * 100).alias("end_ms"), F.col("event_type").alias("speaker"), "value", "event_id",
     )
 
@@ -74,12 +78,12 @@ sents AS (SELECT *, speaker || ' ' || event_id || '. ' AS text FROM seg WHERE se
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sentences: pairs of turns have one speaker, lengths give the times, every seventh turn overlaps."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "rec_id").withColumnRenamed("turn", "seq")
     text = F.coalesce("text", F.lit(""))
     n = F.length(text)
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(n).over(w), F.lit(0)) * 60 + F.col("turn") * 900
-    return c.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("seq"), start.alias("start_ms"), (start + n * 60).alias("end_ms"), F.concat(F.lit("spk_"), F.floor(F.col("turn") / 3).cast("string")).alias("speaker"), (F.col("turn") % 7 == 5).alias("overlap"), text.alias("text"))
+    w = Window.partitionBy("rec_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(n).over(w), F.lit(0)) * 60 + F.col("seq") * 900
+    return c.select("rec_id", "seq", start.alias("start_ms"), (start + n * 60).alias("end_ms"), F.concat(F.lit("spk_"), F.floor(F.col("seq") / 3).cast("string")).alias("speaker"), (F.col("seq") % 7 == 5).alias("overlap"), text.alias("text"))
 
 
 SPOKEN = """spoken AS (SELECT conv_id AS rec_id, turn AS seq, st AS start_ms, st + n * 60 AS end_ms, 'spk_' || (turn // 3) AS speaker, turn % 7 = 5 AS overlap, text FROM

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.catalogue.base import BUCKET_MS, PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
+from parlance.catalogue.base import BUCKET_MS, EVENT_MS, PARTS, SEG, SPOKEN, query, segments, sentences, spoken, turns
 from parlance.operators import folds
 from parlance.plans import meeting
 from parlance.plans import transcript as plans
@@ -135,6 +135,6 @@ def stream_speaking_time(spark, sf_dir):
     """Totals by day of the stream, run to the end of the input."""
     files = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(files.schema).parquet(f"{sf_dir}/events.parquet*")
-    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    ms = F.expr(EVENT_MS)
     rows = stream.select(F.col("user_id").alias("rec_id"), ms.alias("start_ms"), (ms + F.round(F.col("value") * 1000).cast("long") * 100).alias("end_ms"), F.col("event_type").alias("speaker"))
     return run.to_end(totals.speaking_time(rows), "complete")
