@@ -154,11 +154,14 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """v, its dimension and its k + 1 smallest ids: no result of k can name more of one vector's ids, its own one aside."""
-    some = lambda df, by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))  # a vector of very many ids meets in two steps
-    part = some(salted, ["v", "salt"])
-    return part.withColumn("id", F.explode("ids")).groupBy("v").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
+    """v and its k + 1 smallest ids: no result of k can name more of one vector's ids, its own one aside.
+
+    Tasks keep k + 1 rows of a vector before the shuffle (a window group limit), so a vector of very many ids costs a few
+    rows a task.
+    """
+    order = Window.partitionBy("v").orderBy("id")
+    few = rows.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", g: Graph = Graph()) -> DataFrame:
