@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def spark(tmp_path_factory):
     from parlance.session import session
 
-    s = session(8, **{"spark.driver.memory": "6g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
+    s = session(8, **{"spark.driver.memory": "6g", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint"))})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
