@@ -64,12 +64,27 @@ def release() -> None:
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """`f(iterator of record batches)` on each partition; names and types of the result are `schema`."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(tidy(f), schema)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of the default 64: texts can be long, and a batch stands in the JVM and in the worker.
+
+    A session with a value of its own keeps it.
+    """
+    with contextlib.suppress(Exception):  # older versions don't know the setting
+        if spark.conf.get(BATCH) in ("67108864b", "67108864", "64m", "64MB"):
+            spark.conf.set(BATCH, "8m")
+
+
 def map_rows(df: DataFrame, f) -> DataFrame:
     """As map_arrow, with the schema of `df` for the result, whatever its columns are called: `f` sees them as c0, c1, ..."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.mapInArrow(tidy(f), plain.schema).toDF(*df.columns)
 
