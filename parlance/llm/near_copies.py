@@ -9,8 +9,9 @@ Texts of the same words are one class from the start; only their representatives
 Within a bucket one byte of each register tells which texts may reach the threshold with one of another class; only
 their texts are fetched, and pairs are verified on whole shingle sets (Jaccard 0.8 or more) where they meet: distances to
 a hub settle most, and a link is needed only between classes, so a bucket gives fewer links than it has texts.
-A first round over a few bands joins most of a large group, a second one over all bands finds the rest.  Buckets beyond
-`split` texts are dealt to parts, whose classes meet again by one text each, and rounds go on until one adds no link.
+A first round over a few bands joins most of a large group; buckets beyond `split` texts are dealt to parts in it, whose
+classes meet again by one text each.  The second round, over all bands, is exhaustive: there large buckets are compared block
+by block, so that any two texts of different classes in a bucket meet.
 
 Null texts and texts without words have no shingles: each is a class of its own.  Texts of fewer than five words have one
 shingle, all their words.  Rows without doc_id have no class; repeated rows get one row in the result; an empty
@@ -19,7 +20,6 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -245,12 +245,46 @@ def linked(buckets: DataFrame, setup: Setup) -> DataFrame:
     return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch", "text"), f, "bucket long, a long, b long")
 
 
-def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup, turn: int) -> DataFrame:
-    """Verified links a < b between classes of members (band, id, root, n), n texts in the band's bucket; each turn deals large buckets anew."""
-    parts = F.ceil(F.col("n") / setup.split)
-    own = F.when(F.col("n") <= setup.split, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id", "band", F.lit(turn)), parts)))
+def blocks(large: DataFrame, setup: Setup) -> DataFrame:
+    """Rows (band, id, root, n) of large buckets, each in all blocks (bucket) of its part.
+
+    A bucket is cut into parts of half of `split`; a class that fills one has parts of its own.  A block is two parts, and all
+    pairs of parts are blocks but those of one class, so any two texts of different classes meet in one.
+    """
+    half = max(setup.split // 2, 1)
+    sizes = large.groupBy("band", "root").agg(F.count("*").alias("c"))
+    own = sizes.filter(F.col("c") > half).select("band", "root", F.ceil(F.col("c") / half).alias("own"))
+    rest = sizes.filter(F.col("c") <= half).groupBy("band").agg(F.ceil(F.sum("c") / half).alias("rest"))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("k")
+    part = lambda root, k: F.xxhash64(root, k)
+    none = F.lit("").alias("of")
+    parts = own.select("band", F.col("root").cast("string").alias("of"), numbers("own")).union(rest.select("band", none, numbers("rest"))).select("band", "of", part("of", "k").alias("part"))
+    x, y = (parts.select("band", F.col("of").alias(f"of{c}"), F.col("part").alias(c)) for c in "xy")
+    mixed = (F.col("ofx") == "") | (F.col("ofx") != F.col("ofy"))
+    pairs = x.join(y, "band").filter((F.col("x") <= F.col("y")) & mixed).select("band", F.xxhash64("band", "x", "y").alias("bucket"), F.explode(F.array_distinct(F.array("x", "y"))).alias("part"))
+    # of these tables one has a row for `half` texts at most, the other a row a bucket
+    named = large.join(F.broadcast(own), ["band", "root"], "left").join(F.broadcast(rest), "band", "left")
+    place = F.pmod(F.xxhash64("id", "band"), F.coalesce("own", "rest"))
+    placed = named.withColumn("part", part(F.when(F.col("own").isNull(), F.lit("")).otherwise(F.col("root").cast("string")), place))
+    return placed.join(pairs, ["band", "part"]).select("band", "id", "root", "n", "bucket")
+
+
+def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup, large: bool, exact: bool) -> DataFrame:
+    """Verified links a < b between classes of members (band, id, root, n), n texts in the band's bucket.
+
+    Where there are `large` buckets: `exact` compares them block by block, otherwise they are dealt to parts, which is cheap and
+    joins most of a large class.
+    """
     sort = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    rows = members.withColumn("bucket", own).join(sketches, "id")
+    small, beyond = F.col("n") <= setup.split, F.col("n") > setup.split
+    if not large:
+        dealt = members.withColumn("bucket", F.col("band"))
+    elif exact:
+        dealt = members.filter(small).select("band", "id", "root", "n", F.col("band").alias("bucket")).union(blocks(members.filter(beyond), setup))
+    else:
+        parts = F.ceil(F.col("n") / setup.split)
+        dealt = members.withColumn("bucket", F.when(small, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id", "band"), parts))))
+    rows = dealt.join(sketches, "id")
     near = frames.kept(resembling(sort(rows), setup.threshold - setup.slack), "near")
     ids = frames.kept(near.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     few = ids.count() <= setup.broadcast_ids
@@ -258,12 +292,13 @@ def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup,
     held = rows.join(near, ["bucket", "id"], "left_semi").join(needed, "id")
     pair = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found, used = linked(sort(held), setup), [near, ids]
-    if members.filter(F.col("n") > setup.split).take(1):  # classes that the parts of a large bucket have meet in the bucket, one text each
+    if large and not exact:  # classes that the parts of a large bucket have meet in the bucket, one text each, where they are few
         found = frames.kept(found, "parts")
         used.append(found)
         heads = found.filter("a = b").select("bucket", F.col("a").alias("id"))
-        again = held.filter(F.col("n") > setup.split).join(heads, ["bucket", "id"], "left_semi").withColumn("bucket", F.col("band"))
-        found = found.union(linked(sort(again), setup))
+        again = held.filter(beyond).join(heads, ["bucket", "id"], "left_semi").withColumn("bucket", F.col("band"))
+        fit = again.groupBy("band").agg(F.count("*").alias("heads")).filter(F.col("heads") <= setup.split).select("band")
+        found = found.union(linked(sort(again.join(fit, "band", "left_semi")), setup))
     out = frames.kept(pair(found), "links")
     frames.drop_kept(*used)
     return out
@@ -283,13 +318,13 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     members = frames.kept(bands.join(shared, "band"), "members")
     large = bool(members.filter(F.col("n") > setup.split).take(1))
     roots, links, used = None, None, [members, same]
-    for turn in itertools.count():
+    for turn in range(2):
         if turn == 0:  # a few bands find most of a large group, which is one class in the others from then on
             named = members.filter(F.col("no") < setup.first).withColumn("root", F.col("id"))
         else:
             named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        new = met(named.join(open_, "band", "left_semi"), sketches, texts, setup, turn)
+        new = met(named.join(open_, "band", "left_semi"), sketches, texts, setup, large, exact=turn > 0)
         some = bool(new.take(1))
         before, used = roots, [*used, new]
         links = new if links is None else links.union(new)
@@ -297,9 +332,6 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
             roots = components(links)
             if before is not None:
                 frames.drop_kept(before)
-        # a turn over all bands is exhaustive, but for buckets that were dealt to parts
-        if turn and not (large and some):
-            break
     frames.drop_kept(*used, signed)
     known = copies.join(roots.select(F.col("id").alias("copy_of"), "root"), "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
     plain = texts.select("doc_id").distinct().join(known.distinct(), "doc_id", "left")

@@ -363,6 +363,17 @@ def test_groups_of_near_copies(spark):
     assert {r.doc_id for r in stays.collect()} == set(want.values())
 
 
+def test_pairs_across_parts_of_a_large_bucket(spark):
+    """Texts of one source share many words; only the two shortest are near copies, by what all share, and resemble no other."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(200)]
+    texts = {d: " ".join(shared + [word() for _ in range(22 if d in (0, 300) else 150)]) for d in range(600)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.class_id for x in near_copies.classes(df, near_copies.Setup(split=1)).collect()}
+    assert got == {d: 0 if d == 300 else d for d in texts}
+
+
 def test_near_copies_odd_rows(spark, odd, none):
     got = {r.doc_id: (r.class_id, r.copy_of) for r in near_copies.classes(odd).collect()}
     assert got[12] == (11, 11) and got[7] == (7, 7) and got[3] == (3, 3) and len(got) == 13
