@@ -1,9 +1,9 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles.
+"""Near-duplicate documents by ProbMinHash over word shingles.
 
-A shingle is a run of five words; its weight is 1 + ln(times it occurs in the text).  Each shingle has a Poisson process of
-arrivals with its weight as rate, seeded by its hash; an arrival falls into one of K registers, which keep the shingle that came
-first.  A shingle stops as soon as its next arrival is later than every register of the text.  Two texts agree in a
-register with the probability Jaccard similarity of their weighted shingles (for equal weights the plain one).
+A shingle is a run of five words; all shingles of a text have the same weight, however often they occur, as in the sets that
+pairs are verified on.  Each shingle has a Poisson process of arrivals with its weight as rate, seeded by its hash; an arrival
+falls into one of K registers, which keep the shingle that came first.  A shingle stops as soon as its next arrival is later
+than every register of the text.  Two texts agree in a register with the probability of their plain Jaccard similarity.
 
 Texts of the same words are one class from the start; only their representatives go on.  Registers are hashed in bands.
 Within a bucket one byte of each register tells which texts may reach the threshold with one of another class; only
@@ -47,14 +47,17 @@ class Setup:
         return self.bands * self.rows
 
 
-def prob_min_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Registers (texts x k, hashes of the winning shingles) of texts whose shingle hashes lie end to end; 0 where there is none."""
+def prob_min_hash(h: np.ndarray, at: np.ndarray, k: int, weighted: bool = True) -> np.ndarray:
+    """Registers (texts x k, hashes of the winning shingles) of texts whose shingle hashes lie end to end; 0 where there is none.
+
+    Weights are 1 + ln(times), or equal, where two texts agree in a register with the probability of their sets' Jaccard similarity.
+    """
     d = len(at) - 1
     doc = np.repeat(np.arange(d), np.diff(at))
     key = words.mix(h ^ words.mix(doc.astype(np.uint64) + np.uint64(1)))
     _, one, times = np.unique(key, return_index=True, return_counts=True)
     h, doc = h[one], doc[one].astype(np.int64)
-    weight = 1.0 + np.log(times)
+    weight = 1.0 + np.log(times) if weighted else np.ones(len(h))
     first = np.full(d * k, np.inf)
     sig = np.zeros(d * k, np.uint64)
     limit = np.full(d, np.inf)
@@ -93,7 +96,7 @@ def signatures(docs: DataFrame, setup: Setup) -> DataFrame:
                 prints = [np.add.reduceat(words.mix(hashed ^ words.mix(place + np.uint64(c))), w.at[:-1][some]) for c in (1 << 40, 3 << 50)]
                 h, at = words.shingles(hashed, w.at, setup.size)
                 at = np.append(at[:-1][some], at[-1])
-                sig = prob_min_hash(h, at, setup.registers)
+                sig = prob_min_hash(h, at, setup.registers, weighted=False)
                 key = np.zeros((len(some), setup.bands), np.uint64) + np.arange(1, setup.bands + 1, dtype=np.uint64)
                 for r in range(setup.rows):
                     key = words.mix(key * np.uint64(0x100000001B3) ^ sig[:, r :: setup.rows])

@@ -374,6 +374,20 @@ def test_pairs_across_parts_of_a_large_bucket(spark):
     assert got == {d: 0 if d == 300 else d for d in texts}
 
 
+def test_copies_that_repeat_a_line(spark):
+    """How often a text repeats its shingles makes no difference to their sets, nor to which pairs are compared."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = {}
+    for g in range(6):
+        head, line = [word() for _ in range(70)], [word() for _ in range(30)]
+        texts |= {10 * g + k: " ".join(head + line * n) for k, n in enumerate((1, 50, 400))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 6
+    assert {x.doc_id: x.class_id for x in near_copies.classes(df).collect()} == want
+
+
 def test_near_copies_odd_rows(spark, odd, none):
     got = {r.doc_id: (r.class_id, r.copy_of) for r in near_copies.classes(odd).collect()}
     assert got[12] == (11, 11) and got[7] == (7, 7) and got[3] == (3, 3) and len(got) == 13
