@@ -231,7 +231,7 @@ def mined_corrections(spark, sf_dir):
 @query()
 def realigned_segments(spark, sf_dir):
     """Segments of one transcript with the words of another."""
-    s = spoken(spark, sf_dir).withColumn("text", F.substring("text", 1, 120))
+    s = spoken(spark, sf_dir)
     whole = text.joined(s.withColumn("block", F.replace("text", F.lit("e"), F.lit("E"))), "rec_id", sep="").withColumnRenamed("prompt", "whole")
     return diff.realigned(s, whole)
 

@@ -33,6 +33,15 @@ def test_rows_only(spark, name):
     assert all(k not in ("void", "int", "float") for _, k in df.dtypes)
 
 
+def test_realigned_segments_are_whole(spark):
+    from parlance.catalogue import audio_text
+
+    said = {(r.rec_id, r.seq): r.text for r in audio_text.spoken(spark, str(DATA)).collect()}
+    got = {(r.rec_id, r.seq): r.text for r in QUERIES["realigned_segments"](spark, str(DATA)).collect()}
+    assert got.keys() == said.keys() and any(len(t) > 200 for t in said.values())
+    assert all(len(got[k]) > 0.9 * len(t) for k, t in said.items() if len(t) > 200)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
