@@ -81,6 +81,12 @@ def transcript_plan(spark, sf_dir):
     return plans.transcript(sentences(spark, sf_dir), turns(spark, sf_dir), [("click", "tap"), ("view", "look")], bucket_ms=BUCKET_MS)
 
 
+def chunk_vectors(chunks, v):
+    """Chunks with a vector each, dealt over the whole table of vectors, whose ids count from 0; a chunk without one is an error."""
+    dealt = chunks.withColumn("vec_id", F.pmod(F.col("rec_id") * 31 + F.col("seq") * 7 + F.col("chunk_no"), F.lit(v.count())))
+    return dealt.join(v, "vec_id", "left").withColumn("embedding", F.coalesce("embedding", F.raise_error(F.lit("a chunk has no vector"))))
+
+
 @query()
 def meeting_plan(spark, sf_dir):
     """Speech, chunk vectors and sentences to paragraphs; the vectors stand for a model's, one for each chunk."""
@@ -88,8 +94,7 @@ def meeting_plan(spark, sf_dir):
     speech = segments(spark, sf_dir)
     _, chunks = meeting.chunks(speech, settings)
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    vectors = chunks.withColumn("vec_id", F.pmod(F.col("rec_id") * 31 + F.col("seq") * 7 + F.col("chunk_no"), F.lit(500))).join(v, "vec_id")
-    vectors = vectors.select("rec_id", "seq", "chunk_no", (-(F.col("vec_id") % 60)).cast("double").alias("dbfs"), "embedding")
+    vectors = chunk_vectors(chunks, v).select("rec_id", "seq", "chunk_no", (-(F.col("vec_id") % 60)).cast("double").alias("dbfs"), "embedding")
     return meeting.meeting(speech, vectors, sentences(spark, sf_dir), settings)
 
 

@@ -42,6 +42,19 @@ def test_realigned_segments_are_whole(spark):
     assert all(len(got[k]) > 0.9 * len(t) for k, t in said.items() if len(t) > 200)
 
 
+def test_chunks_have_vectors_of_the_whole_table(spark):
+    from pyspark.errors import PySparkException
+
+    from parlance.catalogue import folds
+
+    chunks = spark.range(800).selectExpr("id AS rec_id", "0L AS seq", "0L AS chunk_no")
+    vectors = spark.range(800).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT)) AS embedding")
+    got = folds.chunk_vectors(chunks, vectors).collect()
+    assert len(got) == 800 and {r.vec_id for r in got} == set(range(800)) and all(r.embedding == [r.vec_id] for r in got)
+    with pytest.raises(PySparkException):
+        folds.chunk_vectors(chunks, vectors.filter("vec_id <> 31")).collect()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
