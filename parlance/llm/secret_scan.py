@@ -1,7 +1,7 @@
 """Secret scanning: fixed patterns, and formats inferred from what they find.
 
-One pass over the whole texts writes, for each row, the base spans and every other candidate (a long run of credential
-characters with letters and digits).  Values of base spans are the labelled credentials: of each kind a bounded sample
+One pass over the whole texts writes, for each row, the base spans and every other candidate (a run of the characters
+that labelled values have, as short as they may be, with letters and digits).  Values of base spans are the labelled credentials: of each kind a bounded sample
 (`sample` distinct values, those of smallest hash) becomes a prefix tree, whose statistically compatible states are merged
 (Hoeffding bound, red and blue states) into a probabilistic automaton.  All candidates are then scored by the
 automata's likelihood against that of running text; those as likely as the labelled ones are added as spans of kind `format`.
@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so a shorter run that fails hides nothing
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{6,}")  # as labelled values, with a digit
 WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I)
 
 
@@ -43,14 +43,21 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, spans: list) -> list[tuple[int, int, str]]:
-    """Runs of credential characters, with a letter and a digit, that no base span touches."""
+    """Runs of credential characters with a letter and a digit, without dots at their ends, and the pieces between their
+    dots; those inside a base span are left out, those around one are not."""
     out = []
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if s.isalpha() or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if not any(a < m.end() and m.start() < z for a, z, *_ in spans):
-            out.append((m.start(), m.end(), s))
+        whole = m[0].strip(".")
+        at = m.start() + m[0].index(whole)
+        found = [(at, whole)]
+        if "." in whole:
+            found += [(at + p.start(), p[0]) for p in re.finditer(r"[^.]+", whole)]
+        for a, s in found:
+            z = a + len(s)
+            if len(s) < 6 or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+                continue
+            if not any(x <= a and z <= y for x, y, *_ in spans):
+                out.append((a, z, s))
     return out
 
 
@@ -232,7 +239,11 @@ def scan(docs: DataFrame, sample: int = 600, margin: float = 0.3) -> DataFrame:
         for part in batches:
             out = []
             for base, rest in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                more = [x | {"kind": "format"} for x in rest if secret(x["value"])]
+                more, end = [], 0  # a run comes before its pieces, which add nothing to one that is found
+                for x in rest:
+                    if x["end"] > end and secret(x["value"]):
+                        more.append(x | {"kind": "format"})
+                        end = x["end"]
                 out.append(sorted([*base, *more], key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"])))
             yield frames.batch({"doc_id": pa.int64(), "spans": kind}, doc_id=part.column(0), spans=out)
 

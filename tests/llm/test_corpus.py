@@ -176,6 +176,18 @@ def test_inferred_formats(spark):
     assert secret_scan.redact(texts[150], [s.asDict() for s in got[150]]) == "ordinary text then " + "*" * 18 + " follows"
 
 
+def test_formats_short_dotted_and_around_base_spans(spark):
+    r = random.Random(10)
+    hexed = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    makers = [lambda: hexed(12), lambda: f"hd{hexed(8)}.{hexed(10)}.{hexed(10)}", lambda: f"sk_live_{hexed(30)}"]
+    for make in makers:
+        fresh = make()
+        texts = [*(f"plain words before password={make()} and after" for _ in range(150)), f"ordinary text then {fresh}."]
+        got = {x.doc_id: x.spans for x in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert [s.value for s in got[150] if s.kind == "format"] == [fresh]
+        assert [s.value for s in got[150] if s.kind == "hex"] == re.findall("[0-9a-f]{24,}", fresh)
+
+
 def test_merging_keeps_counts():
     values = [f"key-{i:03d}" for i in range(60)] + [f"key-{i:05d}" for i in range(60)]
     a = secret_scan.infer(values)
