@@ -16,6 +16,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The session's spark.parlance.surrogates.key; where none is set, one for the synthetic tables, which hold nobody's data."""
+    return spark.conf.get("spark.parlance.surrogates.key", "synthetic-tables-only").encode()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,7 +63,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.scan(table(spark, sf_dir, "documents"))
+    return private.scan(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -202,6 +203,8 @@ def test_secret_odd_rows(odd, none):
 
 # --- private data ---
 
+KEY = b"a key of the tests"
+
 
 def test_surrogates_are_distinct_and_keep_their_form():
     r = random.Random(3)
@@ -212,7 +215,7 @@ def test_surrogates_are_distinct_and_keep_their_form():
     }
     for kind, make in kinds.items():
         values = {make() for _ in range(800)}
-        new = {v: private.surrogate(kind, v) for v in values}
+        new = {v: private.surrogate(kind, v, KEY) for v in values}
         assert len(set(new.values())) == len(values) and all(a != b and len(a) == len(b) for a, b in new.items())
         for a, b in new.items():
             assert [c.isdigit() for c in a] == [c.isdigit() for c in b] and [c.isupper() for c in a] == [c.isupper() for c in b]
@@ -221,8 +224,8 @@ def test_surrogates_are_distinct_and_keep_their_form():
                 assert private.luhn(b[:-1]) == b[-1] and b[0] == a[0]
             if kind == "name":
                 assert a.split()[0] == b.split()[0] and a[-1] == b[-1]
-    assert private.surrogate("email", "A.b@Mail.Example.com").lower() == private.surrogate("email", "a.b@mail.example.com")
-    assert private.surrogate("phone", "+1 (988) 555-2485").replace("(", "").replace(") ", "-") == private.surrogate("phone", "+1 988-555-2485")
+    assert private.surrogate("email", "A.b@Mail.Example.com", KEY).lower() == private.surrogate("email", "a.b@mail.example.com", KEY)
+    assert private.surrogate("phone", "+1 (988) 555-2485", KEY).replace("(", "").replace(") ", "-") == private.surrogate("phone", "+1 988-555-2485", KEY)
     assert private.surrogate("email", "a@b.com", b"one") != private.surrogate("email", "a@b.com", b"two")
 
 
@@ -240,18 +243,18 @@ def test_small_cycles_are_permutations():
 def test_private_text(spark, odd, none):
     rows = [(1, "call +1 (988) 555-2485 4524132264652876 or bob.42@mail8.example.com at 70.123.182.155 now 42.", 0), (2, None, 0), (3, "bob.42@mail8.example.com again", 0), (4, "v 4.0. and 1.2.3.4.5 12345", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
-    new = {r.doc_id: r.text for r in private.replaced(df).collect()}
+    new = {r.doc_id: r.text for r in private.replaced(df, KEY).collect()}
     for v in ("(988)", "4524132264652876", "bob.42", "70.123.182.155"):
         assert v not in new[1]
     assert new[1].startswith("call +1 (") and new[1].endswith(" now 42.") and len(new[1]) == len(rows[0][1]) and new[2] is None and new[4] == rows[3][1]
     assert re.search(r"or (\S+) at", new[1])[1] == new[3].split()[0]
-    scanned = {r.doc_id: r for r in private.scan(df).collect()}
+    scanned = {r.doc_id: r for r in private.scan(df, KEY).collect()}
     assert [e.kind for e in scanned[1].entities] == ["phone", "card", "email", "ip"] and scanned[2].text == ""
     values = spark.createDataFrame([("ip", f"1.2.{i // 256}.{i % 256}") for i in range(2000)], "kind string, value string")
-    assert private.collisions(values).count() == 0
-    same = private.replaced(odd)
+    assert private.collisions(values, KEY).count() == 0
+    same = private.replaced(odd, KEY)
     assert same.schema == odd.schema and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
-    assert private.replaced(none).count() == private.scan(none).count() == 0
+    assert private.replaced(none, KEY).count() == private.scan(none, KEY).count() == 0
 
 
 def test_op9(spark, docs):
@@ -270,6 +273,108 @@ def test_op9(spark, docs):
     assert left
 
 
+def test_entities_written_two_ways_stay_apart():
+    replace = private.Replacer(KEY)
+    new, found = replace("at 1.2.3.4 or 01.2.3.4 or 10.20.30.255 or 010.2.3.4 not 1.2.3.256")
+    values = [x[3] for x in found]
+    assert len(found) == 4 and len(set(values)) == 4 and [[len(o) for o in v.split(".")] for v in values] == [[1, 1, 1, 1], [2, 1, 1, 1], [2, 2, 2, 3], [3, 1, 1, 1]]
+    assert values[1][0] == values[3][0] == "0" and all(int(o) < 256 for v in values for o in v.split(".")) and new.endswith("not 1.2.3.256")
+
+
+def test_every_format_is_a_bijection():
+    """All strings of a few small formats: no two meet, none stays, and what is drawn is of the format."""
+    formats = {
+        "phone": [f"+49 {a:02d}{b:02d} {c:02d}{d:02d}" for a in range(0, 100, 9) for b in range(0, 100, 7) for c in range(0, 100, 11) for d in (0, 10, 20)] + [f"{a}55-555-{b:04d}" for a in range(10) for b in range(0, 9999, 50)],
+        "card": [f"4000 0000 0000 {x:04d}" for x in range(3000)], "iban": [f"DE{c:02d}12345678901{x}" for c in range(2, 99) for x in range(30)],
+        "birth": [f"{d:02d}.{m:02d}.19{y}" for d in range(1, 29) for m in range(1, 13) for y in range(50, 60)] + [f"{m}/{d}/2001" for d in range(1, 29) for m in range(1, 13)] + [f"1985-{m:02d}-{d:02d}" for d in range(1, 29) for m in range(1, 13)],
+        "name": ["Mr " + x for x in ["Lane", "Road", "Prof", "Anna", "Emma", "Weiß", "Ñi", "ǅa", "ǆa", "İz", "Smith", "SMITH", "Sm-Ith", "Élan"] + [a + b + "no" for a in "BCDFGH" for b in "aeiouy"]],
+        "address": [f"{n} {w} {s}" for n in range(1, 60) for w in ("Rue", "Ave", "Lame", "Anna", "Oak Tree") for s in ("Road", "Lane")] + [f"Haupt{s} {n}" for s in ("straße", "gasse") for n in range(1, 60)],
+    }
+    for kind, values in formats.items():
+        values = list(dict.fromkeys(values))
+        new = [private.surrogate(kind, v, KEY) for v in values]
+        assert len(set(new)) == len(values) and all(len(a) == len(b) for a, b in zip(values, new)), kind
+        if kind not in ("name",):
+            assert all(a != b for a, b in zip(values, new)), kind
+        for a, b in zip(values, new):
+            assert [c.isupper() for c in a] == [c.isupper() for c in b] and [c.isdigit() for c in a] == [c.isdigit() for c in b]
+            if kind == "iban":
+                assert (private.iban_check(a[:2], a[4:]) == a[2:4]) == (private.iban_check(b[:2], b[4:]) == b[2:4])
+            if kind == "birth":
+                assert private.date_sort(a) == private.date_sort(b)
+
+
+def test_mentions_gender_births_and_addresses():
+    replace = private.Replacer(KEY)
+    text = "Mrs Anna Smith called. Anna Smith said so; Smith left. ANNA too. Smithson and annals stay. Peter Braun, born on 03.04.1971, lives at 12 Oak Tree Road; Hauptstraße 5b is empty, as is 7, rue de la Paix."
+    new, found = replace(text)
+    assert len(new) == len(text)
+    for v in ("Anna", "Smith ", "Braun", "03.04.1971", "Oak", "Tree", "Haupt", "Paix"):
+        assert v not in new.replace("Smithson", "")
+    words = re.match(r"Mrs (\w+) (\w+) called\. (\w+) (\w+) said so; (\w+) left\.", new)
+    assert words[1] == words[3] and words[2] == words[4] == words[5]
+    assert private.SORTS[words[1].lower()] == "f" and "Smithson and annals stay" in new and "Road" in new and "straße" in new and "rue de la" in new
+    assert {k for _, _, k, _ in found} == {"name", "birth", "address"}
+    assert replace("Herr Ñi und Frau Weiß")[0].isascii() is False and len(replace("Herr Ñi und Frau Weiß")[0]) == len("Herr Ñi und Frau Weiß")
+
+
+def brute_entities(t):
+    """Naive: every span of a text that is an entity in itself, kinds in their order, earliest and longest first."""
+    local = re.compile(r"[A-Za-z0-9_.+-]{0,63}[A-Za-z0-9_]")
+    domain = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+    octet = lambda x: x.isascii() and x.isdigit() and len(x) < 4 and int(x) < 256
+    taken, out = [False] * len(t), []
+
+    def keep(kind, good):
+        a = 0
+        while a < len(t):
+            hit = next((z for z in range(len(t), a, -1) if not any(taken[a:z]) and good(a, z)), None)
+            if hit:
+                out.append((a, hit, kind))
+                taken[a:hit] = [True] * (hit - a)
+            a = hit or a + 1
+
+    def email(a, z):
+        s = t[a:z]
+        x, _, y = s.partition("@")
+        return s.count("@") == 1 and local.fullmatch(x) and domain.fullmatch(y) and not (("\n" + t)[a] in private.LOCAL and len(x) < 64 and not (a and taken[a - 1])) and not re.match("[A-Za-z0-9]", (t + "\n")[z])
+
+    def ip(a, z):
+        p = t[a:z].split(".")
+        return len(p) == 4 and all(map(octet, p)) and not re.match(r"[0-9.]", ("\n" + t)[a]) and not re.match(r"[0-9]|\.[0-9]", t[z:])
+
+    def ssn(a, z):
+        return re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t[a:z]) and not re.match(r"[A-Za-z0-9_-]", ("\n" + t)[a]) and not re.match(r"[A-Za-z0-9_-]", (t + "\n")[z])
+
+    keep("email", email)
+    keep("ip", ip)
+    keep("ssn", ssn)
+    return sorted(out)
+
+
+def test_entities_against_all_spans():
+    r = random.Random(21)
+    parts = ["a.b", "x@y.com", "@", "a@b", ".org", "1.2.3.4", "1.2.3", "300.1.1.1", "078-05-1120", "-", " ", ".", "é", "x_1@mail-1.example.de", "12", "+", "z" * 30, "99.88.77.66"]
+    for _ in range(250):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 8)))
+        assert [e for e in private.entities(t) if e[2] in ("email", "ip", "ssn")] == brute_entities(t), t
+
+
+def test_private_texts_of_some_megabytes():
+    """Long runs and dense entities take time in proportion to the length."""
+    r = random.Random(5)
+    makers = [
+        lambda n: "x" * n + "@ and " + "y.z" * 9 + "@a.com", lambda n: "a@" * (n // 2), lambda n: "a@b." * (n // 4), lambda n: "Mr " + "X" * n, lambda n: "Mr Anna Smith " * (n // 14),
+        lambda n: " ".join(f"{r.randint(100, 999)}-55-{r.randint(1000, 9999)}" for _ in range(n // 12)), lambda n: "1." * (n // 2), lambda n: "12 " * (n // 3), lambda n: "A-" * (n // 2), lambda n: "+1 (" * (n // 4),
+    ]
+    for make in makers:
+        for n in (20_000, 2_000_000):
+            t = make(n)
+            at = time.process_time()
+            private.entities(t)
+            assert time.process_time() - at < 20e-6 * n + 0.5, (t[:20], n)
+
+
 # --- neighbours ---
 
 
@@ -496,7 +601,7 @@ def test_pipeline(spark, docs, tokenizer):
     classes = brute_classes(good)
     stays = {d: t for d, t in good.items() if classes[d] == d}
     assert {r.doc_id for r in rows} == set(stays)
-    replace = private.Replacer(private.KEY)
+    replace = private.Replacer(queries.surrogate_key(spark))
     for d, t in stays.items():
         whole = [*tokenizer.encode(replace(t)[0], add_special_tokens=False).ids, 0]
         assert sum(r.length for r in rows if r.doc_id == d) == len(whole)
