@@ -1,22 +1,27 @@
 """Secret scanning: fixed patterns, and formats inferred from what they find.
 
 One pass over the whole texts writes, for each row, the base spans and every other candidate (a run of the characters
-that labelled values have, as short as they may be, with letters and digits).  Values of base spans are the labelled credentials: of each kind a bounded sample
-(`sample` distinct values, those of smallest hash) becomes a prefix tree, whose statistically compatible states are merged
-(Hoeffding bound, red and blue states) into a probabilistic automaton.  All candidates are then scored by the
-automata's likelihood against that of running text; those as likely as the labelled ones are added as spans of kind `format`.
-
-Null texts are empty texts, which hold no spans.  Repeated rows give repeated results; with no labelled credentials
-nothing is added; an empty table gives an empty result; further columns are ignored.
+that labelled values have, as short as they may be, with letters and digits), and counts the pairs of characters of running text.
+Values of base spans are the labelled credentials: of each kind a bounded sample (`sample` distinct values of at most
+`longest` characters, those of smallest hash) becomes a prefix tree over symbols: leading characters that many values share stand for
+themselves, the others for the smallest class of characters that holds their piece of the value.  Subtrees with fewer than `visits`
+values are no format.  Statistically compatible states (likelihood-ratio tests on all their futures, red and blue states) are merged into
+a probabilistic automaton.  All candidates are then scored: one is a span of kind `format` if an automaton finds it about as likely as the
+labelled values, and each of its characters on average `margin` (in nats) likelier than running text does.
+
+Time is linear in a text's length, however many spans it holds.  Null texts are empty texts, which hold no spans.
+Repeated rows give repeated results; with no labelled credentials nothing is added; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+import statistics
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +33,23 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so a shorter run that fails hides nothing
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{6,}")  # as labelled values, with a digit
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I)
 
 
+@dataclass(frozen=True)
+class Rules:
+    sample: int = 600  # labelled values of a kind that are learned from
+    longest: int = 512  # characters of a value that may be one of them
+    visits: int = 10  # values that a state, and so a format, must be seen with
+    alpha: float = 0.05
+    margin: float = 0.5  # nats a character by which a format must be likelier than running text
+    least: int = 6  # characters of a candidate
+    digit: bool = True  # whether a candidate must have one
+    letter: bool = True
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value), by start, then kind as listed."""
     out = []
@@ -42,54 +61,80 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def candidates(text: str, spans: list) -> list[tuple[int, int, str]]:
+def candidates(text: str, spans: list, rules: Rules = Rules()) -> list[tuple[int, int, str]]:
     """Runs of credential characters with a letter and a digit, without dots at their ends, and the pieces between their
-    dots; those inside a base span are left out, those around one are not."""
-    out = []
-    for m in CANDIDATE.finditer(text):
+    dots; those inside a base span (spans are sorted by start) are left out, those around one are not."""
+    out, k, reach = [], 0, 0
+    for m in (CANDIDATE if rules.digit else RUN).finditer(text):
         whole = m[0].strip(".")
         at = m.start() + m[0].index(whole)
         found = [(at, whole)]
         if "." in whole:
             found += [(at + p.start(), p[0]) for p in re.finditer(r"[^.]+", whole)]
         for a, s in found:
-            z = a + len(s)
-            if len(s) < 6 or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+            while k < len(spans) and spans[k][0] <= a:
+                reach = max(reach, spans[k][1])
+                k += 1
+            if a + len(s) <= reach or len(s) < rules.least or (rules.digit and not DIGIT.search(s)) or (rules.letter and not LETTER.search(s)):
                 continue
-            if not any(x <= a and z <= y for x, y, *_ in spans):
-                out.append((a, z, s))
+            out.append((a, a + len(s), s))
     return out
 
 
-PREFIX = 4  # leading characters that stand for themselves
-
-
-def symbols(value: str) -> list[str]:
-    """A value as symbols: its first characters, then classes of characters, then the end."""
-    return [c if i < PREFIX else char_class(c) for i, c in enumerate(value)] + [""]
-
-
-def char_class(c: str) -> str:
-    if "a" <= c <= "f":
-        return "<a-f>"
-    if "g" <= c <= "z":
-        return "<g-z>"
-    if "A" <= c <= "Z":
-        return "<A-Z>"
-    return "<0-9>" if "0" <= c <= "9" else c
+#: Classes of characters, smallest first.
+CLASSES = {f"<{c}>": re.compile(f"[{c}]+") for c in ("0-9", "a-f0-9", "A-F0-9", "a-z", "A-Z", "a-z0-9", "A-Z0-9", "A-Za-z", "A-Za-z0-9")}
+MIXED = "<A-Za-z0-9>"  # with it, separators are part of the class too: in such values they are as random as letters
+SIZES = {x: sum(bool(p.fullmatch(chr(c))) for c in range(128)) for x, p in CLASSES.items()} | {MIXED: 67}
+LEADING = 4  # characters among which digits, too, may stand for themselves
+MARKS = 16  # characters that may
+
+
+class Alphabet:
+    """How values are written in symbols, learned from a sample: which beginnings are so common that they stand for themselves."""
+
+    def __init__(self, values: list[str], share: float = 0.2, least: int = 5):
+        self.common = {""}
+        now = {"": values}
+        for i in range(MARKS):
+            after: dict[str, list[str]] = {}
+            for start, of in now.items():
+                longer: dict[str, list[str]] = {}
+                for v in of:
+                    if len(v) > i and (i < LEADING or not v[i].isdigit()):
+                        longer.setdefault(v[: i + 1], []).append(v)
+                after |= {x: vs for x, vs in longer.items() if len(vs) >= max(least, share * len(of))}
+            now = after
+            self.common |= set(now)
+
+    def symbols(self, value: str) -> list[str]:
+        """Characters that stand for themselves, classes, then the end."""
+        n = 0
+        while n < len(value) and value[: n + 1] in self.common:
+            n += 1
+        out = list(value[:n])
+        for i, piece in enumerate(value[n:].split(".")):
+            out += ["."] * (i > 0)
+            inner = "".join(c for c in piece if c.isalnum())
+            if inner:
+                kind = next(x for x, p in CLASSES.items() if p.fullmatch(inner))
+                out += [kind if c.isalnum() or kind == MIXED else c for c in piece]
+            else:
+                out += list(piece)
+        return out + [""]
 
 
 @dataclass
 class Automaton:
     """States with counts of leaving symbols and their targets."""
 
+    alphabet: Alphabet
     counts: list[dict[str, int]] = field(default_factory=lambda: [{}])
     to: list[dict[str, int]] = field(default_factory=lambda: [{}])
     least: float = -math.inf
 
     def add(self, value: str) -> None:
         s = 0
-        for x in symbols(value):
+        for x in self.alphabet.symbols(value):
             self.counts[s][x] = self.counts[s].get(x, 0) + 1
             if x:
                 if x not in self.to[s]:
@@ -98,33 +143,65 @@ class Automaton:
                     self.to.append({})
                 s = self.to[s][x]
 
-    def score(self, value: str) -> float:
-        """Mean log-likelihood of a symbol; unseen symbols and their futures have the smoothed floor."""
-        s, total, all_of = 0, 0.0, symbols(value)
+    def prune(self, visits: int) -> None:
+        """Cuts what fewer than `visits` values lead to; its counts stay where they leave the rest."""
+        for s in range(len(self.to)):
+            self.to[s] = {x: t for x, t in self.to[s].items() if self.counts[s][x] >= visits}
+
+    def likelihood(self, value: str) -> tuple[float, float]:
+        """Mean log-likelihood of a symbol, and that of the characters a character; unseen symbols and their futures have the smoothed floor."""
+        s, total, all_of = 0, 0.0, self.alphabet.symbols(value)
         for x in all_of:
             n = sum(self.counts[s].values()) if s is not None else 0
             c = self.counts[s].get(x, 0) if s is not None else 0
             total += math.log((c + 0.05) / (n + 5))
             s = self.to[s].get(x) if s is not None else None
-        return total / len(all_of)
+        inside = sum(math.log(SIZES[x]) for x in all_of if x in SIZES)
+        return total / len(all_of), (total - inside) / len(all_of)
 
+    def score(self, value: str) -> float:
+        return self.likelihood(value)[0]
 
-def compatible(a: Automaton, p: int, q: int, alpha: float, depth: int = 24) -> bool:
-    """Whether the futures of two states may be draws from one distribution."""
-    todo = [(p, q, 0)]
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
+    def accepts(self, value: str) -> bool:
+        """Whether the automaton's states lead through the whole value."""
+        s = 0
+        for x in self.alphabet.symbols(value):
+            if not self.counts[s].get(x):
+                return False
+            if x and (s := self.to[s].get(x)) is None:
+                return False
+        return True
+
+    @property
+    def states(self) -> int:
+        seen, todo = {0}, [0]
+        while todo:
+            more = set(self.to[todo.pop()].values()) - seen
+            seen |= more
+            todo += more
+        return len(seen)
+
+
+def surprise(c: int, n: int, d: int, m: int) -> float:
+    """Likelihood-ratio statistic of c out of n and d out of m being draws with one probability (about chi-square of one degree)."""
+    p = (c + d) / (n + m)
+    parts = ((c, n * p), (n - c, n * (1 - p)), (d, m * p), (m - d, m * (1 - p)))
+    return 2 * sum(o * math.log(o / e) for o, e in parts if o)
+
+
+def compatible(a: Automaton, p: int, q: int, alpha: float) -> bool:
+    """Whether all futures of two states may be draws from one distribution; what lies below q is a tree, so this ends."""
+    todo = [(p, q)]
+    most = statistics.NormalDist().inv_cdf(1 - alpha / 2) ** 2
     while todo:
-        p, q, d = todo.pop()
+        p, q = todo.pop()
         cp, cq = a.counts[p], a.counts[q]
         n, m = sum(cp.values()), sum(cq.values())
         if not n or not m:
             continue
-        far = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        for x in cp.keys() | cq.keys():
-            if abs(cp.get(x, 0) / n - cq.get(x, 0) / m) > far:
-                return False
-        if d < depth:
-            todo += [(a.to[p][x], a.to[q][x], d + 1) for x in a.to[p].keys() & a.to[q].keys()]
+        if any(surprise(cp.get(x, 0), n, cq.get(x, 0), m) > most for x in cp.keys() | cq.keys()):
+            return False
+        todo += [(a.to[p][x], a.to[q][x]) for x in a.to[p].keys() & a.to[q].keys()]
     return True
 
 
@@ -144,11 +221,14 @@ def merge(a: Automaton, red: int, blue: int) -> None:
                 a.to[p][x] = t
 
 
-def infer(values: list[str], alpha: float = 0.05) -> Automaton:
-    """The automaton of labelled values: their prefix tree with compatible states merged."""
-    a = Automaton()
+def infer(values: list[str], rules: Rules = Rules()) -> Automaton | None:
+    """The automaton of labelled values: their prefix tree with compatible states merged; None if no format has values enough."""
+    a = Automaton(Alphabet(values))
     for v in sorted(values):
         a.add(v)
+    a.prune(rules.visits)
+    if not a.to[0]:
+        return None
     red, blue = [0], [(0, x) for x in sorted(a.to[0])]
     while blue:
         blue.sort(key=lambda e: (-sum(a.counts[a.to[e[0]][e[1]]].values()), e))
@@ -157,7 +237,7 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
         if t in red:
             continue
         for r in red:
-            if compatible(a, r, t, alpha):
+            if compatible(a, r, t, rules.alpha):
                 a.to[s][x] = r
                 merge(a, r, t)
                 break
@@ -165,46 +245,67 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
             red.append(t)
         known = set(red)
         blue = sorted({(r, y) for r in red for y, u in a.to[r].items() if u not in known})
-    scores = sorted(a.score(v) for v in values)
-    a.least = scores[len(scores) // 100] - 0.15
+    scores = sorted(a.score(v) for v in values if a.accepts(v))
+    a.least = scores[len(scores) // 100] - 0.15 if scores else math.inf
     return a
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+CODES = np.zeros(256, np.uint8)  # number of each credential character, from 1 on; 0 for all others
+CODES[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(1, len(LETTERS) + 1)
+N = len(LETTERS) + 1
+
+
+def char_pairs(b: np.ndarray) -> np.ndarray:
+    """How often each credential character, or a border of a run, follows each (N x N, flat)."""
+    c = CODES[b].astype(np.int64)
+    out = np.bincount(c[:-1] * N + c[1:], minlength=N * N) if len(c) > 1 else np.zeros(N * N, np.int64)
+    out[0] = 0
+    return out
+
+
 class Background:
-    """Letters of running text and the rest: a mean log-likelihood of a value's classes as text."""
+    """What else a run may be: a word of running text, as pairs of characters counted in all texts, or a number of any
+    sort (a date, a version), in which a character's successor is mostly of its own sort (digit, lower case, upper case, other).
+    """
 
-    def __init__(self, words: list[str]):
-        self.n: dict[tuple[str, str], int] = defaultdict(int)
-        self.of: dict[str, int] = defaultdict(int)
-        for w in words:
-            for a, b in zip(["", *map(char_class, w)], [*map(char_class, w), ""]):
-                self.n[a, b] += 1
-                self.of[a] += 1
+    def __init__(self, pairs: np.ndarray, prior: float = 50.0):
+        sort = np.array([0, *(1 + (c.islower() + 2 * c.isupper() + 3 * c.isdigit()) for c in LETTERS)])
+        own = sort[:, None] == sort[None, :]
+        before = np.where(own, 0.8, 0.05) / np.array([(sort == x).sum() for x in sort])[None, :]
+        n = np.maximum(pairs, 0).reshape(N, N) + prior * before
+        self.logs = [np.log(x / x.sum(1, keepdims=True)) for x in (n, before)]
 
     def score(self, value: str) -> float:
-        c = [*map(char_class, value)]
-        return sum(math.log((self.n.get((a, b), 0) + 0.05) / (self.of.get(a, 0) + 5)) for a, b in zip(["", *c], [*c, ""])) / (len(c) + 1)
+        """Mean log-likelihood of a character, the end among them, as what it is likelier to be."""
+        c = np.concatenate([[0], CODES[np.frombuffer(value.encode(), np.uint8)], [0]])
+        return max(float(log[c[:-1], c[1:]].sum()) for log in self.logs) / (len(c) - 1)
 
 
-FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string,value:string>>, rest array<struct<start:int,end:int,value:string>>, words array<string>"
+FOUND = "doc_id long, base array<struct<start:int,end:int,kind:string,value:string>>, rest array<struct<start:int,end:int,value:string>>, pairs array<long>"
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Base spans, candidates and the text's first long word (for the background), for each row."""
+def find(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Base spans and candidates of each row; a row more a task has the pairs of characters of its running text, and neither."""
 
     def f(batches):
         base = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         rest = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-        long = re.compile(r"[A-Za-z]{8,}")
+        kind = {"doc_id": pa.int64(), "base": base, "rest": rest, "pairs": pa.list_(pa.int64())}
+        pairs = np.zeros(N * N, np.int64)
         for whole in batches:
             for part in bytelevel.slices(whole, "text"):
-                spans, others, words = [], [], []
+                spans, others = [], []
                 for t in part.column(1).to_pylist():
                     s = base_spans(t)
                     spans.append([dict(zip(("start", "end", "kind", "value"), x)) for x in s])
-                    others.append([dict(zip(("start", "end", "value"), x)) for x in candidates(t, s)])
-                    words.append([m[0] for m in [long.search(t)] if m])
-                yield frames.batch({"doc_id": pa.int64(), "base": base, "rest": rest, "words": pa.list_(pa.string())}, doc_id=part.column(0), base=spans, rest=others, words=words)
+                    others.append([dict(zip(("start", "end", "value"), x)) for x in candidates(t, s, rules)])
+                b, _ = bytelevel.batch_bytes(part.column(1))
+                labelled = " ".join(x["value"] for s in spans for x in s)
+                pairs += char_pairs(b) - char_pairs(np.frombuffer(f" {labelled} ".encode(), np.uint8))
+                yield frames.batch(kind, doc_id=part.column(0), base=spans, rest=others, pairs=[None] * len(part))
+        if pairs.any():
+            yield frames.batch(kind, doc_id=[None], base=[None], rest=[None], pairs=[pairs])
 
     return frames.map_arrow(frames.texts_of(docs), f, FOUND)
 
@@ -214,27 +315,34 @@ def sampled(values: DataFrame, most: int) -> list[str]:
     return [r[0] for r in values.distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect()]
 
 
-def learn(found: DataFrame, sample: int = 600, background: int = 5000) -> tuple[dict[str, Automaton], Background]:
-    """Automata of the kinds that have labelled values, and the background; the samples are bounded by the parameters."""
-    labelled = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
+def learn(found: DataFrame, rules: Rules = Rules()) -> tuple[dict[str, Automaton], Background]:
+    """Automata of the kinds that have labelled values enough, and the background of all texts."""
+    labelled = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").filter(F.length("value") <= rules.longest)
     out = {}
     for kind in KINDS[:3]:
-        if got := sampled(labelled.filter(F.col("kind") == kind).select("value"), sample):
-            out[kind] = infer(got)
-    return out, Background(sampled(found.select(F.explode("words").alias("value")), background))
+        got = sampled(labelled.filter(F.col("kind") == kind).select("value"), rules.sample)
+        if got and (a := infer(got, rules)):
+            out[kind] = a
+    pairs = np.zeros(N * N)
+    for r in found.select(F.posexplode("pairs")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # N * N rows at most
+        pairs[r["pos"]] = r["n"]
+    return out, Background(pairs)
 
 
-def scan(docs: DataFrame, sample: int = 600, margin: float = 0.3) -> DataFrame:
+def scan(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id and spans: array of (start, end, kind, value), by start, then kind."""
-    found = frames.kept(find(docs), "secrets")
-    models, background = learn(found, sample)
+    found = frames.kept(find(docs, rules), "secrets")
+    models, background = learn(found, rules)
 
     def f(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
         def secret(value: str) -> bool:
-            text = background.score(value)
-            return any((s := m.score(value)) >= m.least and s >= text + margin for m in models.values())
+            for m in models.values():
+                whole, chars = m.likelihood(value)
+                if whole >= m.least and chars >= background.score(value) + rules.margin:
+                    return True
+            return False
 
         for part in batches:
             out = []
@@ -247,7 +355,7 @@ def scan(docs: DataFrame, sample: int = 600, margin: float = 0.3) -> DataFrame:
                 out.append(sorted([*base, *more], key=lambda x: (x["start"], KINDS.index(x["kind"]), x["end"])))
             yield frames.batch({"doc_id": pa.int64(), "spans": kind}, doc_id=part.column(0), spans=out)
 
-    return frames.map_arrow(found.select("doc_id", "base", "rest"), f, "doc_id long, spans array<struct<start:int,end:int,kind:string,value:string>>")
+    return frames.map_arrow(found.filter("base is not null").select("doc_id", "base", "rest"), f, "doc_id long, spans array<struct<start:int,end:int,kind:string,value:string>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -195,6 +195,71 @@ def test_merging_keeps_counts():
     assert a.score("key-999") >= a.least and a.score("key-98765") >= a.least > max(a.score("key-abc"), a.score("zzzzzzzz"))
 
 
+def test_candidates_and_pairs_against_loops():
+    r = random.Random(17)
+    credential = set(secret_scan.LETTERS)
+    for _ in range(300):
+        t = "".join(r.choice(["token=", "abc123", ".", " ", "é", "AKIA" + "Z9" * 8, "0f" * 12, "x", "7", "=", "-", "secret: '"]) for _ in range(r.randint(0, 12)))
+        spans = secret_scan.base_spans(t)
+        want = []
+        for m in re.finditer("[" + re.escape(secret_scan.LETTERS) + "]+", t):
+            whole = m[0].strip(".")
+            pieces = [(m.start() + m[0].find(whole), whole)] + [(m.start() + p.start(), p[0]) for p in re.finditer("[^.]+", m[0])] * ("." in whole)
+            for a, s in pieces:
+                if len(m[0]) >= 6 and len(s) >= 6 and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(x <= a and a + len(s) <= y for x, y, *_ in spans):
+                    want.append((a, a + len(s), s))
+        assert secret_scan.candidates(t, spans) == want, t
+        b = np.frombuffer(t.encode(), np.uint8)
+        got = secret_scan.char_pairs(b).reshape(secret_scan.N, secret_scan.N)
+        code = [secret_scan.LETTERS.index(chr(c)) + 1 if chr(c) in credential else 0 for c in b]
+        count = Counter(zip(code, code[1:]))
+        assert all(got[x] == n for x, n in count.items() if x != (0, 0)) and got.sum() == sum(n for x, n in count.items() if x != (0, 0))
+
+
+def test_dense_spans_take_linear_time():
+    for n in (2_000, 40_000):
+        t = "".join(f"token = abc{i:05d}x{i % 97} and k{i}.v{i * 7919 % 99991} " for i in range(n))
+        at = time.process_time()
+        spans = secret_scan.base_spans(t)
+        assert len(spans) >= n and len(secret_scan.candidates(t, spans)) >= n
+        assert time.process_time() - at < 60e-6 * n + 0.5
+    run = "z1" * 1_500_000
+    at = time.process_time()
+    assert len(secret_scan.candidates(run, secret_scan.base_spans(run))) == 1 and time.process_time() - at < 3
+
+
+def planted_formats(r):
+    """Makers of credentials, and of runs of letters and digits that are none."""
+    pick = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    low, up, dig, hexed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    good = {
+        "hex of 20": lambda: pick(hexed, 20), "hex of 24 to 64": lambda: pick(hexed, r.randint(24, 64)), "prefixed": lambda: "ghx_" + pick(low + up + dig, 36), "three parts": lambda: ".".join(pick(low + up + dig + "_-", n) for n in (20, 30, 27)),
+        "groups": lambda: "-".join(pick(up + dig, 5) for _ in range(4)), "uuid": lambda: "-".join(pick(hexed, n) for n in (8, 4, 4, 4, 12)),
+    }
+    bad = [
+        lambda: f"20{r.randint(10, 29)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}a{r.randint(0, 999999):06d}f{r.randint(0, 99999):05d}", lambda: pick(low, r.randint(5, 9)) + f".{r.randint(10, 99)}", lambda: f"mail{r.randint(0, 9)}.example.com",
+        lambda: f"chapter-{r.randint(1, 40)}.{r.randint(1, 9)}", lambda: pick(low, 10) + str(r.randint(1, 9)), lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}-rc{r.randint(1, 9)}", lambda: f"2026-11-{r.randint(10, 28)}T{r.randint(10, 23)}",
+    ]
+    return good, bad
+
+
+def test_precision_and_recall_of_formats():
+    r = random.Random(31)
+    good, bad = planted_formats(r)
+    words = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 10))) for _ in range(20_000))
+    background = secret_scan.Background(secret_scan.char_pairs(np.frombuffer(words.encode(), np.uint8)))
+    rules = secret_scan.Rules()
+    verdict = lambda m, v: (lambda x: x[0] >= m.least and x[1] >= background.score(v) + rules.margin)(m.likelihood(v))
+    for name, make in good.items():
+        m = secret_scan.infer([make() for _ in range(300)], rules)
+        hits = sum(verdict(m, make()) for _ in range(400))
+        wrong = sum(verdict(m, f()) for f in bad for _ in range(200))
+        assert hits >= 0.9 * 400 and wrong <= 0.01 * 200 * len(bad), (name, hits, wrong, m.states)
+        assert m.states >= 4
+    few = secret_scan.infer([make() for make in good.values()], rules)
+    assert few is None, "a handful of values is no format"
+
+
 def test_secret_odd_rows(odd, none):
     out = secret_scan.digest(secret_scan.scan(odd))
     assert out.count() == odd.count() and out.filter("spans <> ''").count() == 0
