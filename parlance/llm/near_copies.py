@@ -14,8 +14,8 @@ classes meet again by one text each.  The second round, over all bands, is exhau
 by block, so that any two texts of different classes in a bucket meet.
 
 Null texts and texts without words have no shingles: each is a class of its own.  Texts of fewer than five words have one
-shingle, all their words.  Rows without doc_id have no class; repeated rows get one row in the result; an empty
-table gives an empty result; further columns are ignored.
+shingle, all their words.  Rows without doc_id have no class; repeated rows (same doc_id, same words) get one row in the
+result, rows of one doc_id with different words one each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,6 +77,12 @@ def prob_min_hash(h: np.ndarray, at: np.ndarray, k: int, weighted: bool = True)
     return sig.reshape(d, k)
 
 
+def prints(hashed: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the words, in order, of texts that have some; `at` has where each begins, and the last ends."""
+    place = (np.arange(len(hashed)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64)
+    return [np.add.reduceat(words.mix(hashed ^ words.mix(place + np.uint64(c))), at[:-1]) for c in (1 << 40, 3 << 50)]
+
+
 SIGNED = "doc_id long, f1 long, f2 long, sketch binary, bands array<long>"
 
 
@@ -92,10 +98,9 @@ def signatures(docs: DataFrame, setup: Setup) -> DataFrame:
                 if not len(some):
                     continue
                 hashed = words.hashes(w.dictionary)[w.code]
-                place = (np.arange(len(hashed)) - np.repeat(w.at[:-1], np.diff(w.at))).astype(np.uint64)
-                prints = [np.add.reduceat(words.mix(hashed ^ words.mix(place + np.uint64(c))), w.at[:-1][some]) for c in (1 << 40, 3 << 50)]
                 h, at = words.shingles(hashed, w.at, setup.size)
                 at = np.append(at[:-1][some], at[-1])
+                named = prints(hashed, np.append(w.at[:-1][some], w.at[-1]))
                 sig = prob_min_hash(h, at, setup.registers, weighted=False)
                 key = np.zeros((len(some), setup.bands), np.uint64) + np.arange(1, setup.bands + 1, dtype=np.uint64)
                 for r in range(setup.rows):
@@ -103,7 +108,7 @@ def signatures(docs: DataFrame, setup: Setup) -> DataFrame:
                 sketch = words.mix(sig).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array(some)), *(pa.array(p.view(np.int64)) for p in prints),
+                        part.column(0).take(pa.array(some)), *(pa.array(p.view(np.int64)) for p in named),
                         pa.array([x.tobytes() for x in sketch], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, setup.bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64))),
                     ], ["doc_id", "f1", "f2", "sketch", "bands"],
@@ -113,7 +118,7 @@ def signatures(docs: DataFrame, setup: Setup) -> DataFrame:
 
 
 def resembling(buckets: DataFrame, share: float) -> DataFrame:
-    """Of rows (bucket, id, root, sketch), sorted by bucket, those (bucket, id) that resemble one of another class in their bucket."""
+    """Of rows (bucket, id, root, sketch, doc_id), sorted by bucket, those (bucket, id, doc_id) that resemble one of another class in their bucket."""
 
     def alike(ids, roots, sketches):
         x, roots = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(ids), -1), np.array(roots)
@@ -122,41 +127,48 @@ def resembling(buckets: DataFrame, share: float) -> DataFrame:
             near = np.flatnonzero(((x[i + 1 :] == x[i]).mean(1) >= share) & (roots[i + 1 :] != roots[i])) + i + 1
             hit[near] = True
             hit[i] |= len(near) > 0
-        return [i for i, h in zip(ids, hit) if h]
+        return np.flatnonzero(hit)
 
     def f(batches):
-        now, ids, roots, sketches, key, out = None, [], [], [], [], []
+        now, ids, roots, sketches, docs, out = None, [], [], [], [], []
 
         def close():
             if len(ids) > 1:
-                got = alike(ids, roots, sketches)
-                out.extend(got)
-                key.extend([now] * len(got))
+                out.extend((now, ids[i], docs[i]) for i in alike(ids, roots, sketches))
+
+        def pack():
+            return frames.batch({"bucket": pa.int64(), "id": pa.int64(), "doc_id": pa.int64()}, bucket=[r[0] for r in out], id=[r[1] for r in out], doc_id=[r[2] for r in out])
 
-        kind = {"bucket": pa.int64(), "id": pa.int64()}
         for part in batches:
-            for k, i, r, s in zip(*(part.column(c).to_pylist() for c in range(4))):
+            for k, i, r, s, d in zip(*(part.column(c).to_pylist() for c in range(5))):
                 if k != now:
                     close()
-                    now, ids, roots, sketches = k, [], [], []
+                    now, ids, roots, sketches, docs = k, [], [], [], []
                     if len(out) > 50_000:
-                        yield frames.batch(kind, bucket=key, id=out)
-                        key, out = [], []
+                        yield pack()
+                        out = []
                 ids.append(i)
                 roots.append(r)
                 sketches.append(s)
+                docs.append(d)
         close()
-        yield frames.batch(kind, bucket=key, id=out)
+        yield pack()
 
-    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch"), f, "bucket long, id long")
+    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch", "doc_id"), f, "bucket long, id long, doc_id long")
 
 
-def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def sets_of(texts: pa.Array, size: int) -> tuple[list[np.ndarray], list[tuple | None]]:
+    """Sorted distinct shingle hashes of each text, and the two hashes of its words."""
     b, doc_at = bytelevel.batch_bytes(texts)
     w = words.split(b, doc_at)
-    h, at = words.shingles(words.hashes(w.dictionary)[w.code] if len(w.code) else np.zeros(0, np.uint64), w.at, size)
-    return [np.unique(h[x:z]) for x, z in zip(at[:-1], at[1:])]
+    hashed = words.hashes(w.dictionary)[w.code] if len(w.code) else np.zeros(0, np.uint64)
+    h, at = words.shingles(hashed, w.at, size)
+    names: list[tuple | None] = [None] * len(texts)
+    some = np.flatnonzero(np.diff(w.at))
+    if len(some):
+        for i, *two in zip(some, *(p.view(np.int64).tolist() for p in prints(hashed, np.append(w.at[:-1][some], w.at[-1])))):
+            names[i] = tuple(two)
+    return [np.unique(h[x:z]) for x, z in zip(at[:-1], at[1:])], names
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -212,12 +224,12 @@ def forest(roots: list, sketches: list[bytes], sets: list[np.ndarray], threshold
 
 
 def linked(buckets: DataFrame, setup: Setup) -> DataFrame:
-    """Verified links (a, b) of rows (bucket, id, root, sketch, text), sorted by bucket; rows with a = b name one text of
-    each class that a bucket has in the end."""
+    """Verified links (a, b) of rows (bucket, id, root, sketch, f1, f2, text), sorted by bucket; rows with a = b name one text
+    of each class that a bucket has in the end.  A text whose hashes aren't f1 and f2 is another one of the same doc_id."""
     share = setup.threshold - setup.slack
 
     def f(batches):
-        now, held, out = None, [], []
+        now, held, have, out = None, [], set(), []
 
         def close():
             ids = [h[0] for h in held]
@@ -231,21 +243,23 @@ def linked(buckets: DataFrame, setup: Setup) -> DataFrame:
 
         for whole in batches:
             for part in bytelevel.slices(whole, "text"):
-                rows = zip(*(part.column(c).to_pylist() for c in range(4)), sets_of(part.column(4), setup.size))
-                for k, i, r, s, shingles in rows:
+                rows = zip(*(part.column(c).to_pylist() for c in range(6)), *sets_of(part.column(6), setup.size))
+                for k, i, r, s, f1, f2, shingles, named in rows:
                     if k != now:
                         if held:
                             close()
-                        now, held = k, []
+                        now, held, have = k, [], set()
                         if len(out) > 50_000:
                             yield pack()
                             out = []
-                    held.append((i, r, s, shingles))
+                    if named == (f1, f2) and i not in have:
+                        held.append((i, r, s, shingles))
+                        have.add(i)
         if held:
             close()
         yield pack()
 
-    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch", "text"), f, "bucket long, a long, b long")
+    return frames.map_arrow(buckets.select("bucket", "id", "root", "sketch", "f1", "f2", "text"), f, "bucket long, a long, b long")
 
 
 def blocks(large: DataFrame, setup: Setup) -> DataFrame:
@@ -289,10 +303,9 @@ def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup,
         dealt = members.withColumn("bucket", F.when(small, F.col("band")).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("id", "band"), parts))))
     rows = dealt.join(sketches, "id")
     near = frames.kept(resembling(sort(rows), setup.threshold - setup.slack), "near")
-    ids = frames.kept(near.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    few = ids.count() <= setup.broadcast_ids
-    needed = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
-    held = rows.join(near, ["bucket", "id"], "left_semi").join(needed, "id")
+    ids = frames.kept(near.select("doc_id").distinct(), "wanted")
+    needed = docs.join(few(ids, setup), "doc_id", "left_semi").select("doc_id", "text")
+    held = rows.join(near, ["bucket", "id"], "left_semi").join(needed, "doc_id")
     pair = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found, used = linked(sort(held), setup), [near, ids]
     if large and not exact:  # classes that the parts of a large bucket have meet in the bucket, one text each, where they are few
@@ -307,27 +320,41 @@ def met(members: DataFrame, sketches: DataFrame, docs: DataFrame, setup: Setup,
     return out
 
 
-def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class) and copy_of (the smallest doc_id with the same words)."""
-    texts = frames.texts_of(docs).filter("doc_id is not null")
-    signed = frames.kept(signatures(texts, setup), "signatures")
-    # written, so that the join has exchanges of its own, whose large partitions Spark splits
-    same = frames.kept(signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("copy_of")), "same")
-    copies = frames.kept(signed.select("doc_id", "f1", "f2").join(same, ["f1", "f2"]).select("doc_id", "copy_of"), "copies")
-    own = signed.join(copies.filter("doc_id = copy_of").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sketches = own.select(F.col("doc_id").alias("id"), "sketch")
-    bands = own.select(F.posexplode("bands").alias("no", "band"), F.col("doc_id").alias("id"))
+def few(table: DataFrame, setup: Setup) -> DataFrame:
+    """`table`, to be broadcast if its rows are as few as may be."""
+    return F.broadcast(table) if table.count() <= setup.broadcast_ids else table
+
+
+#: Rows of exact copies that one task of a join by their text need hold.
+COPIES = 256
+
+
+def named(docs: DataFrame, setup: Setup) -> DataFrame:
+    """doc_id, f1, f2, class_id, copy_of, root for each distinct row with words.
+
+    Distinct texts have ids of their own, so rows of one doc_id may have several texts; `root` tells classes apart even then.
+    """
+    signed = frames.kept(signatures(docs, setup), "signatures")
+    counted = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    # written, so that ids stay, and the joins have exchanges of their own, whose large partitions Spark splits
+    same = frames.kept(counted.withColumn("id", F.monotonically_increasing_id()), "same")
+    copies = frames.kept(signed.select("doc_id", "f1", "f2").join(same.select("f1", "f2", "id", "n"), ["f1", "f2"]), "copies")
+    heads = same.select("f1", "f2", F.col("first").alias("doc_id"), "id")
+    own = frames.kept(signed.join(heads, ["f1", "f2", "doc_id"]).dropDuplicates(["id"]), "own")
+    frames.drop_kept(signed)
+    sketches = own.select("id", "sketch", "doc_id", "f1", "f2")
+    bands = own.select(F.posexplode("bands").alias("no", "band"), "id")
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = frames.kept(bands.join(shared, "band"), "members")
     large = bool(members.filter(F.col("n") > setup.split).take(1))
-    roots, links, used = None, None, [members, same]
+    roots, links, used = None, None, [members, own]
     for turn in range(2):
         if turn == 0:  # a few bands find most of a large group, which is one class in the others from then on
-            named = members.filter(F.col("no") < setup.first).withColumn("root", F.col("id"))
+            known = members.filter(F.col("no") < setup.first).withColumn("root", F.col("id"))
         else:
-            named = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = named.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        new = met(named.join(open_, "band", "left_semi"), sketches, texts, setup, large, exact=turn > 0)
+            known = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+        new = met(known.join(open_, "band", "left_semi"), sketches, docs, setup, large, exact=turn > 0)
         some = bool(new.take(1))
         before, used = roots, [*used, new]
         links = new if links is None else links.union(new)
@@ -335,19 +362,61 @@ def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
             roots = components(links)
             if before is not None:
                 frames.drop_kept(before)
-    frames.drop_kept(*used, signed)
-    known = copies.join(roots.select(F.col("id").alias("copy_of"), "root"), "copy_of", "left").select("doc_id", F.coalesce("root", "copy_of").alias("class_id"), "copy_of")
-    plain = texts.select("doc_id").distinct().join(known.distinct(), "doc_id", "left")
+    least = frames.kept(roots.join(same.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("class_id")), "least")
+    groups = roots.join(few(least, setup), "root").select("id", "class_id", "root")
+    salts = F.floor((F.col("n") - 1) / COPIES)
+    texts = same.join(groups, "id", "left").select("id", F.coalesce("class_id", "first").alias("class_id"), F.col("first").alias("copy_of"), F.coalesce("root", "id").alias("root"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"))
+    placed = copies.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts + 1))
+    out = frames.kept(placed.join(texts, ["id", "salt"]).select("doc_id", "f1", "f2", "class_id", "copy_of", "root").distinct(), "classes")
+    frames.drop_kept(*used, same, copies, roots, least)
+    return out
+
+
+def classes(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class) and copy_of (the smallest doc_id with the same words)."""
+    texts = frames.texts_of(docs).filter("doc_id is not null")
+    known = named(texts, setup).select("doc_id", "class_id", "copy_of")
+    plain = texts.select("doc_id").distinct().join(known, "doc_id", "left")
     return plain.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
 
 
+def printed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, f1, f2 of each row; nulls where there is no word."""
+
+    def f(batches):
+        for whole in batches:
+            for part in bytelevel.slices(whole, "text"):
+                _, names = sets_of(part.column(1), 5)
+                two = [pa.array([n and n[i] for n in names], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *two], ["doc_id", "text", "f1", "f2"])
+
+    return frames.map_arrow(docs, f, "doc_id long, text string, f1 long, f2 long")
+
+
 def deduplicated(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """Rows of `docs`, all their columns, one of each class: that of smallest doc_id; rows without doc_id stay."""
-    gone = classes(docs, setup).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    """Rows of `docs`, all their columns, one of each class: that of smallest doc_id; rows without doc_id stay.
+
+    Where rows share a doc_id, those of the same words (without any: of the same text) count once, and each other is judged by its own text.
+    """
+    texts = frames.texts_of(docs).filter("doc_id is not null")
+    known = named(texts, setup)
     names = docs.columns
     key = F.col("`doc_id`").cast("long")
-    stays = docs.join(gone, key == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
-    rows = docs.select(key.alias("key")).filter("key is not null").groupBy("key").count()
-    if not rows.filter("count > 1").take(1):
-        return stays
-    return stays.filter(key.isNull()).unionAll(stays.filter(key.isNotNull()).dropDuplicates(["doc_id"]))
+    repeated = frames.kept(texts.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_key")), "repeated")
+    gone = known.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    stays = docs.join(gone, key == F.col("_gone"), "left_anti")
+    if not repeated.take(1):
+        return stays.select(*[F.col(f"`{c}`") for c in names])
+    once = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    i, t = (f"c{names.index(x)}" for x in ("doc_id", "text"))
+    some = F.broadcast(repeated) if repeated.count() <= setup.broadcast_ids else repeated
+    alone = once.join(some, F.col(i).cast("long") == F.col("_key"), "left_anti").join(gone, F.col(i).cast("long") == F.col("_gone"), "left_anti")
+    again = once.join(some, F.col(i).cast("long") == F.col("_key"), "left_semi")
+    # each class keeps one text of its smallest doc_id: the one of smallest hashes
+    kept_texts = known.filter("doc_id = class_id").groupBy("root", "doc_id").agg(F.min(F.struct("f1", "f2")).alias("x")).select("x.f1", "x.f2", "doc_id")
+    seen = printed(frames.texts_of(again, i, t)).distinct()
+    wordless = seen.filter("f1 is null").select("doc_id", "text")
+    right = seen.join(kept_texts, ["doc_id", "f1", "f2"], "left_semi").groupBy("doc_id", "f1", "f2").agg(F.min("text").alias("text")).select("doc_id", "text")
+    wanted = wordless.union(right).select(F.col("doc_id").alias("_key"), F.col("text").alias("_text"))
+    good = again.join(wanted, (F.col(i).cast("long") == F.col("_key")) & (F.coalesce(F.col(t).cast("string"), F.lit("")) == F.col("_text"))).dropDuplicates(["_key", "_text"])
+    return alone.unionByName(good.select(*once.columns)).toDF(*names)

@@ -581,6 +581,20 @@ def test_near_copies_odd_rows(spark, odd, none):
     assert near_copies.classes(none).count() == near_copies.deduplicated(none).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    r = random.Random(13)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c = text(120), text(120), text(90)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (4, c), (4, c), (5, ""), (5, ""), (5, None), (6, " "), (7, b + " x y"), (7, text(50)), (None, a)]
+    df = spark.createDataFrame([(i, t, "x", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, f1 string, `a.b` int").repartition(3)
+    got = sorted((x.doc_id, x.class_id) for x in near_copies.classes(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 1), (7, 7)]
+    stays = near_copies.deduplicated(df)
+    assert stays.columns == df.columns
+    texts = sorted((x.doc_id or 0, x.text or "") for x in stays.collect())
+    assert texts == sorted([(1, a), (1, b), (4, c), (5, ""), (6, " "), (7, rows[11][1]), (0, a)])
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(2)
     for share in (0.3, 0.6, 0.9):
