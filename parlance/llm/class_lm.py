@@ -1,24 +1,28 @@
 """Language-model scores from a Brown class-based bigram model.
 
 P(text) is the product over its tokens of P(class | class before) * P(word | class), the text's end being a token of its own.
-Words of at least `head_share` of all training tokens (and `least` occurrences) are clustered: at most 1/head_share words can reach that
-share, which bounds whatever is sent to all executors, on any corpus.  Rarer and unknown words have a class by their shape
-(length, last byte, digits).  Clustering is by exchange: from the counts of all word pairs of the training texts every word
-gets its counts of classes before and after it, and moves to the class in which these are likeliest, half of the words in
-each round; the matrix of class pairs is then counted anew.  All counts are over all training texts.
-
-Rare words stay out of memory: their counts are joined by word, and as each has less than `head_share` of the tokens, no
-key of that join is large.  A word w of class c has (n(w) + a) / (N_c + a (V_c + 1)), the last share being for unknown words of c.
-Class pairs are smoothed towards the shares of the classes.
-
-Null texts are empty texts (one token, the end).  Rows of the same doc_id are scored together as one (their counts add up);
-without training texts all counts are 0; an empty table gives an empty result; further columns are ignored.
+
+Words that occur `least` times in the training texts are clustered, the `clustered` most frequent ones at most (that bounds
+what is sent to all executors).  The head of them, words of at least `head_share` of all tokens, is clustered by exchange: from the
+counts of all word pairs of the training texts every word gets its counts of classes before and after it, and moves to the class in
+which these are likeliest, half of the words at a time; the matrix of class pairs is then counted anew.  Turns end when one
+adds less than `gain` of the information that classes of neighbours have about each other, or after `turns`.  All other clustered words
+then move, from the class of their shape (length, last byte, digits), to the class in which their neighbours' classes are likeliest;
+only words that are rarer than `least`, or unknown, stay in their shape's class.  All counts are over all training texts.
+
+Rare words stay out of memory: their counts are joined by word, and as each is rare, no key of that join is large.  A word w of
+class c has (n(w) + a) / (N_c + a (V_c + 1)), the last share being for unknown words of c.  Class pairs are smoothed towards the
+shares of the classes.  Clustered words are looked up by a 64-bit hash.
+
+Every row is scored by itself, whatever its doc_id: rows are told apart by doc_id and a hash of the text, equal ones get one
+result each.  Null texts are empty texts (one token, the end); a null doc_id counts as the text "None" for the folds; without training
+texts all counts are 0; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +34,18 @@ from parlance.llm import bytelevel, frames, words
 
 END = ""  # no word is empty
 SHAPES = 32
+SLICE = 4 << 20
 
 
 @dataclass(frozen=True)
 class Setup:
     folds: int = 10  # texts whose crc32(doc_id) is 0 modulo this are held out
     classes: int = 64
-    rounds: int = 3
+    turns: int = 4
+    gain: float = 0.01
     head_share: float = 1e-5
     least: int = 5  # occurrences from which a word is clustered
+    clustered: int = 2_000_000
     add: float = 0.1
 
     @property
@@ -72,95 +79,152 @@ def shapes(dictionary: pa.Array) -> np.ndarray:
     return (np.digitize(n, [4, 7, 10]) * 4 + sort) * 2 + some
 
 
-class Head:
-    """The words that are clustered, in order of their counts; the end among them."""
-
-    def __init__(self, table: pa.Table):
-        self.words = table.column("word").combine_chunks().cast(pa.large_binary()).cast(pa.binary())
-        self.counts = table.column("c").to_numpy()
-        at = pc.index_in(pa.scalar(b"", pa.binary()), value_set=self.words).as_py()
-        self.end = at
+class Vocabulary:
+    """Clustered words by number, in descending order of their counts; then the end, then the shapes of all other words."""
 
-    def __len__(self) -> int:
-        return len(self.counts)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, head: int):
+        order = np.argsort(hashes)
+        self.sorted, self.number = hashes[order], order.astype(np.int32)
+        self.counts = np.append(counts, ends)
+        self.end, self.head = len(hashes), head
 
-    def place(self, dictionary: pa.Array) -> np.ndarray:
-        """Number of each word, or -1."""
-        return np.asarray(pc.fill_null(pc.index_in(dictionary, value_set=self.words), -1), np.int64)
-
-    def symbols(self, w: words.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol of each token, ends included, and where each text's tokens begin: head words, then shapes from len(self) on."""
-        place = self.place(w.dictionary)
-        rare = place < 0
-        place[rare] = len(self) + shapes(w.dictionary.filter(pa.array(rare))) if rare.any() else 0
-        n = np.diff(w.at)
-        out = np.insert(place[w.code], w.at[1:], self.end)
-        return out, np.concatenate([[0], np.cumsum(n + 1)])
+    @property
+    def symbols(self) -> int:
+        return self.end + 1 + SHAPES
+
+    def place(self, dictionary: pa.Array, head: bool = False) -> np.ndarray:
+        """Symbol of each distinct word; with `head`, words beyond it are symbols of their shape too."""
+        if not len(dictionary):
+            return np.zeros(0, np.int64)
+        h = words.hashes(dictionary)
+        at = np.minimum(np.searchsorted(self.sorted, h), max(len(self.sorted) - 1, 0))
+        known = self.sorted[at] == h if len(self.sorted) else np.zeros(len(h), bool)
+        out = np.where(known, self.number[at] if len(self.sorted) else 0, -1).astype(np.int64)
+        rare = (out < 0) | (head & (out >= self.head))
+        if rare.any():
+            out[rare] = self.end + 1 + shapes(dictionary.filter(pa.array(rare)))
+        return out
+
+    def sequence(self, w: words.Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol of each token, ends included, that of the token before (an end at first), and where each text's tokens begin."""
+        now = np.insert(place[w.code], w.at[1:], self.end)
+        at = np.concatenate([[0], np.cumsum(np.diff(w.at) + 1)])
+        before = np.empty_like(now)
+        before[1:] = now[:-1]
+        before[at[:-1]] = self.end
+        return now, before, at
+
+
+def training(part: pa.RecordBatch, setup: Setup) -> pa.RecordBatch:
+    return part.filter(pa.array(~held_out(part.column(0), setup.folds)))
 
 
 def counted(docs: DataFrame, setup: Setup) -> DataFrame:
-    """word, c over the training texts; the end's count under the empty word."""
+    """word, h (its hash), c over the training texts; the end's count under the empty word."""
 
     def f(batches):
         for whole in batches:
-            for part in bytelevel.slices(whole, "text", 8 << 20):
-                train = ~held_out(part.column(0), setup.folds)
+            for part in bytelevel.slices(whole, "text", SLICE):
+                part = training(part, setup)
+                if not len(part):
+                    continue
                 w = tokens(part.column(1))
-                n = np.bincount(w.code[np.repeat(train, np.diff(w.at))], minlength=len(w.dictionary))
-                some = pa.array(n > 0)
+                n = np.bincount(w.code, minlength=len(w.dictionary))
+                own = w.dictionary.filter(pa.array(n > 0))  # the dictionary has the gaps between words, too
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([w.dictionary.filter(some).cast(pa.string()), pa.array([END] * bool(train.any()), pa.string())]), pa.array(np.append(n[n > 0], [train.sum()] * bool(train.any())), pa.int64())],
-                    ["word", "c"],
+                    [pa.concat_arrays([own.cast(pa.string()), pa.array([END])]), pa.array(np.append(words.hashes(own), np.uint64(0)).view(np.int64)), pa.array(np.append(n[n > 0], len(part)), pa.int64())],
+                    ["word", "h", "c"],
                 )
 
-    return frames.map_arrow(docs, f, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return frames.map_arrow(docs, f, "word string, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
 
 
-def paired(docs: DataFrame, head, setup: Setup) -> DataFrame:
-    """a, b, n: how often symbol b follows a in the training texts; each text begins after an end."""
+def paired(docs: DataFrame, vocabulary, setup: Setup) -> DataFrame:
+    """a, b, n: how often symbol b follows a in the training texts, words beyond the head by their shapes; each text begins after an end."""
 
     def f(batches):
-        h = head.value
-        size = len(h) + SHAPES
+        v = vocabulary.value
+        size = v.symbols
         for whole in batches:
-            for part in bytelevel.slices(whole, "text", 8 << 20):
-                train = ~held_out(part.column(0), setup.folds)
-                s, at = h.symbols(tokens(part.column(1)))
-                before = np.empty_like(s)
-                before[1:] = s[:-1]
-                before[at[:-1]] = h.end
-                keep = np.repeat(train, np.diff(at))
-                key, n = np.unique(before[keep] * size + s[keep], return_counts=True)
+            for part in bytelevel.slices(whole, "text", 2 * SLICE):
+                part = training(part, setup)
+                if not len(part):
+                    continue
+                w = tokens(part.column(1))
+                now, before, _ = v.sequence(w, v.place(w.dictionary, head=True))
+                key, n = np.unique(before * size + now, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key // size, pa.int32()), pa.array(key % size, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     return frames.map_arrow(docs, f, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def gathered(cells: DataFrame, t: int) -> np.ndarray:
+    out = np.zeros(t * t, np.int64)
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # t * t rows at most
+        out[r["cell"]] = r["n"]
+    return out.reshape(t, t)
+
+
+def cells(own: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(own)
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(own[some])], ["cell", "n"])
+
+
 def matrix(pairs: DataFrame, classes, t: int) -> np.ndarray:
     """Counts of class pairs; each task sends its own t x t sums."""
 
     def f(batches):
         own = np.zeros(t * t, np.int64)
-        c = classes.value
+        c = classes.value.astype(np.int64)
         for part in batches:
             a, b, n = (part.column(i).to_numpy() for i in range(3))
-            own += np.bincount(c[a].astype(np.int64) * t + c[b], weights=n, minlength=t * t).astype(np.int64)
-        some = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(own[some])], ["cell", "n"])
+            own += np.bincount(c[a] * t + c[b], weights=n, minlength=t * t).astype(np.int64)
+        yield cells(own)
+
+    return gathered(frames.map_arrow(pairs, f, "cell int, n long"), t)
 
-    out = np.zeros(t * t, np.int64)
-    for r in frames.map_arrow(pairs, f, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # t * t rows at most
-        out[r["cell"]] = r["n"]
-    return out.reshape(t, t)
 
+def whole_matrix(docs: DataFrame, vocabulary, classes, setup: Setup) -> np.ndarray:
+    """As matrix(), from the texts, with all words' own classes."""
+    t = setup.all_classes
 
-def exchanged(pairs: DataFrame, classes, head_size: int, setup: Setup, turn: int) -> np.ndarray:
-    """Classes after one round: half of the head's words move to where their neighbours' classes are likeliest."""
+    def f(batches):
+        own, v, c = np.zeros(t * t, np.int64), vocabulary.value, classes.value.astype(np.int64)
+        for whole in batches:
+            for part in bytelevel.slices(whole, "text", SLICE):
+                part = training(part, setup)
+                if len(part):
+                    w = tokens(part.column(1))
+                    now, before, _ = v.sequence(w, v.place(w.dictionary))
+                    own += np.bincount(c[before] * t + c[now], minlength=t * t)
+        yield cells(own)
+
+    return gathered(frames.map_arrow(docs, f, "cell int, n long"), t)
+
+
+def affinity(n: np.ndarray) -> np.ndarray:
+    """Log of how much likelier each pair of classes is than by chance, up to a constant."""
+    t, of = len(n), np.maximum(n.sum(1), n.sum(0)).astype(np.float64)
+    return np.log((n + 0.1) / np.outer(of + 0.1 * t, of + 0.1 * t))
+
+
+def information(n: np.ndarray) -> float:
+    """Mutual information of a token's class and that of the one before, in nats: what exchange raises."""
+    p = n / max(n.sum(), 1)
+    chance = np.outer(p.sum(1), p.sum(0))
+    some = p > 0
+    return float((p[some] * np.log(p[some] / chance[some])).sum())
+
+
+def likeliest(before: np.ndarray, after: np.ndarray, link: np.ndarray, k: int) -> np.ndarray:
+    """For each word, of its counts of classes before and after it, the cluster in which these are likeliest."""
+    return (after @ link[:k].T + before @ link[:, :k]).argmax(1)
+
+
+def exchanged(pairs: DataFrame, classes, head: int, setup: Setup, half: int, n: np.ndarray) -> np.ndarray:
+    """Classes after one half of a turn: the head's words of that half move to where their neighbours' classes are likeliest."""
     t, k = setup.all_classes, setup.classes
-    now = classes.value
-    n = matrix(pairs, classes, t).astype(np.float64)
-    of = np.maximum(n.sum(1), n.sum(0))
-    link = np.log((n + 0.1) / np.outer(of + 0.1 * t, of + 0.1 * t))
+    link = affinity(n)
 
     def contexts(batches):
         c, keys, counts, held = classes.value.astype(np.int64), [], [], 0
@@ -174,9 +238,11 @@ def exchanged(pairs: DataFrame, classes, head_size: int, setup: Setup, turn: int
 
         for part in batches:
             a, b, n = (part.column(i).to_numpy().astype(np.int64) for i in range(3))
-            keys += [a * 2 * t + c[b], b * 2 * t + t + c[a]]
-            counts += [n, n]
-            held += 2 * len(a)
+            for word, slot in ((a, c[b]), (b, t + c[a])):
+                mine = (word < head) & (word % 2 == half)
+                keys.append(word[mine] * 2 * t + slot[mine])
+                counts.append(n[mine])
+                held += len(keys[-1])
             if held > 2_000_000:
                 key, n = sums()
                 keys, counts, held = [key], [n], len(key)
@@ -188,103 +254,219 @@ def exchanged(pairs: DataFrame, classes, head_size: int, setup: Setup, turn: int
 
     def choose(batches):
         for part in batches:
-            to = []
-            for slots, counts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                x = np.zeros(2 * t)
-                x[slots] = counts
-                to.append(int((x[:t] @ link[:k].T + x[t:] @ link[:, :k]).argmax()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(to, pa.int32())], ["word", "to"])
-
-    near = frames.map_arrow(pairs, contexts, "word int, slot int, n long").filter((F.col("word") < head_size) & (F.pmod(F.xxhash64("word"), F.lit(2)) == turn % 2))
+            x = np.zeros((len(part), 2 * t))
+            row = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(part.column(1))))
+            x[row, np.asarray(part.column(1).flatten())] = np.asarray(part.column(2).flatten())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(likeliest(x[:, t:], x[:, :t], link, k), pa.int32())], ["word", "to"])
+
+    near = frames.map_arrow(pairs, contexts, "word int, slot int, n long")
     slots = near.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts"))
-    after = now.copy()
     moved = frames.map_arrow(slots, choose, "word int, to int").toArrow()  # at most 1 / head_share rows
-    who = moved.column("word").to_numpy()
-    after[who] = np.where(now[who] < k, moved.column("to").to_numpy(), now[who])
+    after = classes.value.copy()
+    after[moved.column("word").to_numpy()] = moved.column("to").to_numpy()
+    return after
+
+
+def settled(docs: DataFrame, vocabulary, classes, setup: Setup, n: np.ndarray, tokens_in_all: int) -> np.ndarray:
+    """Classes in which the clustered words beyond the head are where their neighbours' classes are likeliest.
+
+    Tasks send each bucket of words its counts as flat arrays; a bucket's sums are a dense matrix of some 20,000 words.
+    """
+    t, k, v0 = setup.all_classes, setup.classes, vocabulary.value
+    rest = v0.end - v0.head
+    if rest <= 0:
+        return classes.value
+    link = affinity(n)
+    buckets = min(rest, max(rest // 20_000 + 1, tokens_in_all // 50_000_000))
+
+    def contexts(batches):
+        v, c = vocabulary.value, classes.value.astype(np.int64)
+        keys, counts, held = [], [], 0
+
+        def sums():
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+
+        def out(key, n):
+            word, slot = key // (2 * t), key % (2 * t)
+            bucket = word % buckets
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edge))
+            flat = [(word[order], "<i4"), (slot[order], "<u1"), (np.minimum(n[order], 2**31 - 1), "<i4")]
+            cut = [[x.astype(d)[edge[i] : edge[i + 1]].tobytes() for i in some] for x, d in flat]
+            return frames.batch({"bucket": pa.int32(), "word": pa.binary(), "slot": pa.binary(), "n": pa.binary()}, bucket=some, word=cut[0], slot=cut[1], n=cut[2])
+
+        for whole in batches:
+            for part in bytelevel.slices(whole, "text", SLICE):
+                part = training(part, setup)
+                if not len(part):
+                    continue
+                w = tokens(part.column(1))
+                dense = v.place(w.dictionary)
+                shaped = np.where((dense >= v.head) & (dense < v.end), v.place(w.dictionary, head=True), dense)
+                of, _, _ = v.sequence(w, dense)
+                now, before, _ = v.sequence(w, shaped)
+                after = np.append(now[1:], v.end)  # a text's last token is its end, which isn't asked for
+                mine = (of >= v.head) & (of < v.end)
+                word = of[mine] * 2 * t
+                for slot in (c[after[mine]], t + c[before[mine]]):
+                    key, m = np.unique(word + slot, return_counts=True)
+                    keys.append(key)
+                    counts.append(m)
+                    held += len(key)
+                if held > 4_000_000:
+                    yield out(*sums())
+                    keys, counts, held = [], [], 0
+        if keys:
+            yield out(*sums())
+
+    def choose(batches):
+        now, x = None, None
+
+        def best():
+            some = np.flatnonzero(x.any(1))
+            return pa.RecordBatch.from_arrays([pa.array(some * buckets + now + start(now), pa.int32()), pa.array(likeliest(x[some, t:], x[some, :t], link, k), pa.int32())], ["word", "to"])
+
+        def start(bucket):  # the first word of a bucket beyond the head, less the bucket's number
+            return (v0_head - bucket + buckets - 1) // buckets * buckets
+
+        for part in batches:
+            for bucket, *flat in zip(*(part.column(i).to_pylist() for i in range(4))):
+                if bucket != now:
+                    if x is not None:
+                        yield best()
+                    now, x = bucket, np.zeros((v0_rest // buckets + 2, 2 * t))
+                word, slot, n = (np.frombuffer(b, d).astype(np.int64) for b, d in zip(flat, ("<i4", "<u1", "<i4")))
+                row = (word - now - start(now)) // buckets
+                x += np.bincount(row * 2 * t + slot, weights=n, minlength=x.size).reshape(x.shape)
+        if x is not None:
+            yield best()
+
+    v0_head, v0_rest = v0.head, rest
+    near = frames.map_arrow(docs, contexts, "bucket int, word binary, slot binary, n binary")
+    moved = frames.map_arrow(near.repartition("bucket").sortWithinPartitions("bucket"), choose, "word int, to int").toArrow()  # `clustered` rows at most
+    after = classes.value.copy()
+    after[moved.column("word").to_numpy()] = moved.column("to").to_numpy()
     return after
 
 
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    classes: np.ndarray  # of each symbol
+    n: np.ndarray  # counts of class pairs
+    tokens: int
+    distinct: int
+    words: np.ndarray  # distinct words of each class
+    rare: DataFrame  # word, c of the words that aren't clustered
+    information: list[float] = field(default_factory=list)  # of classes of neighbours in the head, before each turn and at the end
+
+
+def learn(texts: DataFrame, setup: Setup) -> Model:
+    spark, t, k = texts.sparkSession, setup.all_classes, setup.classes
+    counts = frames.kept(counted(texts, setup), "counts")
+    total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum(F.when(F.col("word") == END, F.col("c"))).alias("ends")).first()
+    n_all = total["n"] or 0
+    often = counts.filter((F.col("c") >= setup.least) & (F.col("word") != END))
+    top = often.select("h", "c").orderBy(F.desc("c"), "h").limit(setup.clustered).toArrow()
+    c, h = top.column("c").to_numpy(), top.column("h").to_numpy().view(np.uint64)
+    v = Vocabulary(h, c, total["ends"] or 0, int((c >= setup.head_share * n_all).sum()))
+    vocabulary = spark.sparkContext.broadcast(v)
+    classes = np.concatenate([np.arange(v.end) % k, [k], k + 1 + np.arange(SHAPES)]).astype(np.uint8)
+    pairs = frames.kept(paired(texts, vocabulary, setup), "pairs")
+    seen = []
+    for turn in range(setup.turns + 1):
+        for half in (0, 1):
+            sent = spark.sparkContext.broadcast(classes)
+            n = matrix(pairs, sent, t)
+            if half == 0:
+                seen.append(information(n))
+                done = turn == setup.turns or v.head == 0 or (turn > 0 and seen[-1] - seen[-2] < setup.gain * seen[-1])
+                if done:
+                    break
+            classes = exchanged(pairs, sent, v.head, setup, half, n)
+        if done:
+            break
+    frames.drop_kept(pairs)
+    classes = settled(texts, vocabulary, sent, setup, n, n_all)
+    n = whole_matrix(texts, vocabulary, spark.sparkContext.broadcast(classes), setup)
+    last = (int(c[-1]), int(h[-1].astype(np.int64))) if v.end == setup.clustered else (setup.least, None)  # where `clustered` cuts, or `least`
+    rare = F.col("c") < last[0] if last[1] is None else (F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("h") > last[1]))
+    tail = counts.filter(rare & (F.col("word") != END)).select("word", "c")
+
+    def shaped(batches):
+        for part in batches:
+            n = np.bincount(shapes(part.column(0).cast(pa.binary())), minlength=SHAPES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES), pa.int32()), pa.array(n, pa.int64())], ["shape", "n"])
+
+    distinct = np.bincount(classes[: v.end + 1], minlength=t).astype(np.float64)
+    for r in frames.map_arrow(tail.select("word"), shaped, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect():  # SHAPES rows at most
+        distinct[k + 1 + r["shape"]] += r["n"]
+    return Model(v, classes, n, n_all, total["v"], distinct, tail, seen)
+
+
 def score(docs: DataFrame, setup: Setup = Setup()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, t, k = docs.sparkSession, setup.all_classes, setup.classes
     texts = frames.texts_of(docs)
-    counts = frames.kept(counted(texts, setup), "counts")
-    total = counts.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
-    n_all, v_all = total["n"] or 0, total["v"]
-    least = max(setup.least, int(np.ceil(setup.head_share * n_all)))
-    head_rows = counts.filter((F.col("c") >= least) | (F.col("word") == END)).orderBy(F.desc("c"), "word").toArrow()  # at most 1 / head_share words
-    if END not in head_rows.column("word").to_pylist():
-        head_rows = pa.concat_tables([head_rows, pa.table({"word": [END], "c": pa.array([0], pa.int64())}).cast(head_rows.schema)])
-    h = Head(head_rows)
-    head = spark.sparkContext.broadcast(h)
-    classes = np.concatenate([np.arange(len(h)) % k, k + 1 + np.arange(SHAPES)]).astype(np.int32)
-    classes[h.end] = k
-    pairs = frames.kept(paired(texts, head, setup), "pairs")
-    for turn in range(setup.rounds):
-        classes = exchanged(pairs, spark.sparkContext.broadcast(classes), len(h), setup, turn)
-    sent = spark.sparkContext.broadcast(classes)
-    n = matrix(pairs, sent, t).astype(np.float64)
-
-    def rare_words(batches):
-        for part in batches:
-            s = shapes(part.column(0).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32())], ["shape"])
+    return scores(texts, learn(texts, setup), setup)
+
 
-    tail = counts.filter((F.col("c") < least) & (F.col("word") != END))
-    distinct = np.bincount(classes[: len(h)], minlength=t).astype(np.float64)
-    for r in frames.map_arrow(tail.select("word"), rare_words, "shape int").groupBy("shape").count().collect():  # SHAPES rows at most
-        distinct[k + 1 + r["shape"]] += r["count"]
+def scores(texts: DataFrame, m: Model, setup: Setup) -> DataFrame:
+    """The columns of score() for rows (doc_id, text) under a model."""
+    spark, t, k, v0 = texts.sparkSession, setup.all_classes, setup.classes, m.vocabulary
+    n = m.n.astype(np.float64)
     size = n.sum(0)
     share = (size + setup.add) / (size.sum() + setup.add * t)
     step = np.log10((n + share[None, :]) / (n.sum(1, keepdims=True) + 1))
-    room = size + setup.add * (distinct + 1)
-    emit = np.log10((h.counts + setup.add) / room[classes[: len(h)]])
-    below = n_all + setup.add * (v_all + 1)
-    base = np.log10((h.counts + setup.add) / below)
-    model = spark.sparkContext.broadcast((step, emit, base))
+    room = size + setup.add * (m.words + 1)
+    below = m.tokens + setup.add * (m.distinct + 1)
+    emit = np.log10((v0.counts + setup.add) / room[m.classes[: v0.end + 1]])
+    base = np.log10((v0.counts + setup.add) / below)
+    model = spark.sparkContext.broadcast((v0, m.classes, step, emit, base))
 
     def scored(batches):
-        h, c = head.value, sent.value.astype(np.int64)
-        step, emit, base = model.value
-        known = h.counts > 0
-        kind = {"doc_id": pa.int64(), "word": pa.string(), "shape": pa.int32(), "times": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
+        import xxhash
+
+        v, c, step, emit, base = model.value
+        kind = {"doc_id": pa.int64(), "print": pa.int64(), "word": pa.string(), "shape": pa.int32(), "times": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
         for whole in batches:
-            for part in bytelevel.slices(whole, "text"):
+            for part in bytelevel.slices(whole, "text", SLICE):
                 w = tokens(part.column(1))
-                place = h.place(w.dictionary)
-                s, at = h.symbols(w)
-                cls = c[s]
-                before = np.empty_like(cls)
-                before[1:] = cls[:-1]
-                before[at[:-1]] = c[h.end]
-                own = s < len(h)
-                inside = np.where(own, s, 0)
+                place = v.place(w.dictionary)
+                now, before, at = v.sequence(w, place)
+                own = now <= v.end
+                inside = np.where(own, now, 0)
                 add = lambda x: np.add.reduceat(x, at[:-1])
-                ids = np.asarray(pc.fill_null(part.column(0), -1), np.int64)
-                docs_row = pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([f" {i} {j}" for j, i in enumerate(ids)], pa.string()), pa.array(np.full(len(ids), -1), pa.int32()), pa.array(np.diff(at)),
-                     pa.array(add(np.where(own & known[inside], 1, 0))), pa.array(add(np.where(own, base[inside], 0.0))), pa.array(add(step[before, cls] + np.where(own, emit[inside], 0.0)))], names=list(kind))
-                yield docs_row
-                rare = place[w.code] < 0
+                prints = np.fromiter((xxhash.xxh3_64_intdigest(x.as_py()) for x in part.column(1)), np.uint64, len(part)).view(np.int64)
+                known = own & (v.counts[inside] > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(prints), pa.array([f" {i}" for i in prints], pa.string()), pa.array(np.full(len(part), -1), pa.int32()), pa.array(np.diff(at)),
+                     pa.array(add(known.astype(np.int64))), pa.array(add(np.where(own, base[inside], 0.0))), pa.array(add(step[c[before], c[now]] + np.where(own, emit[inside], 0.0)))], names=list(kind))
+                rare = place[w.code] > v.end
                 key, times = np.unique(w.doc[rare] * len(w.dictionary) + w.code[rare], return_counts=True)
                 if len(key):
                     code, doc = key % len(w.dictionary), key // len(w.dictionary)
-                    shape = np.zeros(len(w.dictionary), np.int64)
-                    shape[place < 0] = shapes(w.dictionary.filter(pa.array(place < 0)))
-                    m = len(key)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), w.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(shape[code], pa.int32()), pa.array(times), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=list(kind))
+                    none = pa.nulls(len(key), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(prints[doc]), w.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(place[code] - v.end - 1, pa.int32()), pa.array(times), none, none.cast(pa.float64()), none.cast(pa.float64())], names=list(kind))
 
-    rows = frames.map_arrow(texts, scored, "doc_id long, word string, shape int, times long, known long, base double, score double")
-    with_counts = rows.join(tail.hint("shuffle_hash"), "word", "left")
+    rows = frames.map_arrow(texts, scored, "doc_id long, print long, word string, shape int, times long, known long, base double, score double")
+    with_counts = rows.join(m.rare, "word", "left")
     c, is_doc = F.coalesce("c", F.lit(0)), F.col("shape") < 0
     rooms = F.array(*[F.lit(float(x)) for x in room[k + 1 :]])
     of_room = F.element_at(rooms, F.greatest(F.col("shape"), F.lit(0)) + 1)
     log = lambda x: F.col("times") * F.log10(x)
-    sums = with_counts.groupBy("doc_id").agg(
+    sums = with_counts.groupBy("doc_id", "print").agg(
+        F.sum(F.when(is_doc, 1).otherwise(0)).alias("rows"),
         F.sum(F.when(is_doc, F.col("times"))).alias("n_tokens"),
         F.sum(F.when(is_doc, F.col("known")).otherwise(F.when(c > 0, F.col("times")).otherwise(0))).alias("n_known"),
         F.sum(F.when(is_doc, F.col("base")).otherwise(log((c + setup.add) / below))).alias("base_score"),
         F.sum(F.when(is_doc, F.col("score")).otherwise(log((c + setup.add) / of_room))).alias("score"),
     )
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % setup.folds == 0
-    return sums.select("doc_id", F.coalesce(held, F.lit(zlib.crc32(b"None") % setup.folds == 0)).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    each = sums.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    whole = lambda x: (F.col(x) / F.col("rows")).cast("long").alias(x)
+    return each.select(
+        "doc_id", F.coalesce(held, F.lit(zlib.crc32(b"None") % setup.folds == 0)).alias("held_out"), whole("n_tokens"), whole("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
+        (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"),
+    )

@@ -651,19 +651,87 @@ def test_op6(spark, docs):
         assert abs(r.base_score - base) < 1e-6 * abs(base) and math.isfinite(r.score) and r.score < 0
 
 
+def test_score_against_brute_force(spark, none):
+    """Scores recounted from the texts with the model's classes; words beyond the head are where a plain count puts them."""
+    r = random.Random(19)
+    word = lambda: "".join(r.choice("aeiourstlmn") for _ in range(r.randint(1, 4))) + r.choice(["", "", "", "7"])
+    lists = [[word() for _ in range(25)] for _ in range(3)]
+    rows = [(d, " ".join(r.choice(lists[i % 3]) if r.random() < 0.9 else word() for i in range(r.randint(0, 60)))) for d in range(250)] + [(None, "Unknown words. Here"), (None, ""), (7, "one id again"), (7, "one id again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    setup = class_lm.Setup(classes=5, turns=3, head_share=0.008, least=4)
+    m = class_lm.learn(df, setup)
+    v = m.vocabulary
+    assert 5 < v.head < v.end and m.information[-1] > m.information[0]
+    shape = lambda w: v.end + 1 + int(class_lm.shapes(pa.array([w.encode()]))[0])
+    number = lambda w, upto: v.end if w == "" else (lambda i: i if i < upto or v.end <= i else shape(w))(int(v.place(pa.array([w.encode()]))[0]))
+    train = [lm_words(t) for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    assert m.tokens == sum(counts.values()) and m.distinct == len(counts) and {w for w, c in counts.items() if c >= 4 and w} == {w for w in counts if w and number(w, v.end) < v.end}
+    # the step beyond the head, by plain counts over classes of the head and of shapes
+    before = [[number(w, v.head) for w in ["", *t]] for t in train]
+    pairs = Counter((int(m.classes[a]), int(m.classes[b])) for t in before for a, b in zip(t, t[1:]))
+    n = np.zeros((setup.all_classes,) * 2)
+    for (a, b), c in pairs.items():
+        n[a, b] = c
+    link = class_lm.affinity(n)
+    for w, c in counts.items():
+        if w and v.head <= number(w, v.end) < v.end:
+            near = [sum(link[k, m.classes[x[i + 2]]] + link[m.classes[x[i]], k] for x, t in zip(before, train) for i, y in enumerate(t) if y == w) for k in range(setup.classes)]
+            assert near[m.classes[number(w, v.end)]] >= max(near) - 1e-9
+    # the scores
+    cls = lambda w: int(m.classes[number(w, v.end)])
+    n = Counter((cls(a), cls(b)) for t in train for a, b in zip(["", *t], t))
+    assert {(a, b): int(m.n[a, b]) for a, b in zip(*np.nonzero(m.n))} == n
+    size, start, kinds = Counter(), Counter(), Counter(cls(w) for w in counts)
+    for (a, b), c in n.items():
+        start[a] += c
+        size[b] += c
+    t, total = setup.all_classes, sum(size.values())
+
+    def brute(text):
+        out, a = 0.0, cls("")
+        for w in lm_words(text):
+            b = cls(w)
+            out += math.log10((n[a, b] + (size[b] + 0.1) / (total + 0.1 * t)) / (start[a] + 1)) + math.log10((counts[w] + 0.1) / (size[b] + 0.1 * (kinds[b] + 1)))
+            a = b
+        return out
+
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens, round(x.score, 6)) for x in class_lm.scores(df, m, setup).collect())
+    assert got == sorted((d is None, d or 0, len(lm_words(x)), round(brute(x), 6)) for d, x in rows)
+    held = class_lm.score(none)
+    assert held.count() == 0
+
+
+def test_clustered_words_beyond_a_bound(spark):
+    """Where fewer words may be clustered than occur often, the others keep counts of their own."""
+    r = random.Random(23)
+    rows = [(d, " ".join(f"w{int(r.random() ** 2 * 60)}" for _ in range(50))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    setup = class_lm.Setup(classes=3, clustered=20, turns=1, head_share=0.03)
+    m = class_lm.learn(df, setup)
+    counts = Counter(w for d, t in rows if zlib.crc32(str(d).encode()) % 10 for w in t.split())
+    assert m.vocabulary.end == 20 and m.rare.count() == len(counts) - 20 and int(m.words.sum()) == len(counts) + 1
+    n, v = m.tokens, m.distinct
+    for x in class_lm.scores(df, m, setup).collect():
+        w = lm_words(rows[x.doc_id][1])
+        counts[""] = int(m.vocabulary.counts[-1])
+        assert abs(x.base_score - sum(math.log10((counts[y] + 0.1) / (n + 0.1 * (v + 1))) for y in w)) < 1e-6 and x.n_known == sum(counts[y] > 0 for y in w)
+
+
 def test_classes_follow_the_words(spark):
     """Texts that alternate two sorts of words: the class model predicts the sort, word counts can't."""
     r = random.Random(7)
     a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
     rows = [(d, " ".join(r.choice((a, b)[i % 2]) for i in range(200))) for d in range(300)]
-    out = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), class_lm.Setup(classes=4, rounds=6)).filter("held_out").collect()
+    out = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), class_lm.Setup(classes=4, turns=3)).filter("held_out").collect()
     per = lambda c: sum(r[c] for r in out) / sum(r.n_tokens for r in out)
     assert 10 ** -per("score") < 0.6 * 10 ** -per("base_score")
 
 
 def test_lm_odd_rows(odd, none):
     got = {r.doc_id: r for r in class_lm.score(odd).collect()}
-    assert len(got) == 13 and got[7].n_tokens == 1 and got[5].n_tokens == 4 and got[32].n_tokens == 6001
+    assert class_lm.score(odd).count() == odd.count() == 14
+    assert len(got) == 13 and got[7].n_tokens == 1 and got[5].n_tokens == 2 and got[32].n_tokens == 6001
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got.values())
     assert class_lm.score(none).count() == 0
 
