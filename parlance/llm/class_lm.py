@@ -139,23 +139,91 @@ def counted(docs: DataFrame, setup: Setup) -> DataFrame:
     return frames.map_arrow(docs, f, "word string, h long, c long").groupBy("word", "h").agg(F.sum("c").alias("c"))
 
 
-def paired(docs: DataFrame, vocabulary, setup: Setup) -> DataFrame:
-    """a, b, n: how often symbol b follows a in the training texts, words beyond the head by their shapes; each text begins after an end."""
+FLAT = "bucket int, x binary, n binary"  # keys and their counts, flat arrays of 64-bit integers: the JVM moves few, large rows
+
+
+def flat(bucket: list[int], x: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+    raw = lambda parts: [p.astype("<i8").tobytes() for p in parts]
+    return frames.batch({"bucket": pa.int32(), "x": pa.binary(), "n": pa.binary()}, bucket=bucket, x=raw(x), n=raw(n))
+
+
+def read_flat(batches):
+    """(bucket, keys, counts) of each row."""
+    for part in batches:
+        for bucket, x, n in zip(*(part.column(i).to_pylist() for i in range(3))):
+            yield bucket, np.frombuffer(x, "<i8"), np.frombuffer(n, "<i8")
+
+
+class Sums:
+    """Counts by key; arrays are put together whenever more than `most` keys are held."""
+
+    def __init__(self, most: int = 4_000_000):
+        self.keys, self.counts, self.held, self.most = [], [], 0, most
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.keys.append(key)
+        self.counts.append(n)
+        self.held += len(key)
+        if self.held > self.most:
+            key, n = self.take()
+            self.keys, self.counts, self.held = [key], [n], len(key)
+
+    @property
+    def full(self) -> bool:
+        return self.held > self.most * 3 // 4
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(self.counts), minlength=len(key)).astype(np.int64)
+        self.keys, self.counts, self.held = [], [], 0
+        return key, n
+
+
+def dealt(key: np.ndarray, n: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys in order, by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(edge))
+    cut = lambda v: [v[edge[i] : edge[i + 1]] for i in some]
+    return flat(some.tolist(), cut(key[order]), cut(n[order]))
+
+
+def paired(docs: DataFrame, vocabulary, setup: Setup, buckets: int) -> DataFrame:
+    """How often symbol b follows a in the training texts (key a * symbols + b), words beyond the head by their shapes; each text begins after an end."""
 
     def f(batches):
-        v = vocabulary.value
-        size = v.symbols
+        v, held = vocabulary.value, Sums(2_000_000)
+        out = lambda key, n: dealt(key, n, (words.mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), buckets)
         for whole in batches:
-            for part in bytelevel.slices(whole, "text", 2 * SLICE):
+            for part in bytelevel.slices(whole, "text", SLICE):
                 part = training(part, setup)
                 if not len(part):
                     continue
                 w = tokens(part.column(1))
                 now, before, _ = v.sequence(w, v.place(w.dictionary, head=True))
-                key, n = np.unique(before * size + now, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key // size, pa.int32()), pa.array(key % size, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])
+                held.add(*np.unique(before * v.symbols + now, return_counts=True))
+                if held.full:
+                    yield out(*held.take())
+        yield out(*held.take())
+
+    def summed(batches):
+        now, held = None, Sums()
+
+        def rows():
+            key, n = held.take()
+            for lo in range(0, len(key), 200_000):
+                yield flat([now], [key[lo : lo + 200_000]], [n[lo : lo + 200_000]])
 
-    return frames.map_arrow(docs, f, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        for bucket, x, n in read_flat(batches):
+            if bucket != now:
+                yield from rows()
+                now = bucket
+            held.add(x, n)
+        yield from rows()
+
+    return frames.map_arrow(frames.map_arrow(docs, f, FLAT).repartition("bucket").sortWithinPartitions("bucket"), summed, FLAT)
 
 
 def gathered(cells: DataFrame, t: int) -> np.ndarray:
@@ -170,15 +238,14 @@ def cells(own: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(own[some])], ["cell", "n"])
 
 
-def matrix(pairs: DataFrame, classes, t: int) -> np.ndarray:
+def matrix(pairs: DataFrame, symbols: int, classes, t: int) -> np.ndarray:
     """Counts of class pairs; each task sends its own t x t sums."""
 
     def f(batches):
         own = np.zeros(t * t, np.int64)
         c = classes.value.astype(np.int64)
-        for part in batches:
-            a, b, n = (part.column(i).to_numpy() for i in range(3))
-            own += np.bincount(c[a] * t + c[b], weights=n, minlength=t * t).astype(np.int64)
+        for _, x, n in read_flat(batches):
+            own += np.bincount(c[x // symbols] * t + c[x % symbols], weights=n, minlength=t * t).astype(np.int64)
         yield cells(own)
 
     return gathered(frames.map_arrow(pairs, f, "cell int, n long"), t)
@@ -221,82 +288,70 @@ def likeliest(before: np.ndarray, after: np.ndarray, link: np.ndarray, k: int) -
     return (after @ link[:k].T + before @ link[:, :k]).argmax(1)
 
 
-def exchanged(pairs: DataFrame, classes, head: int, setup: Setup, half: int, n: np.ndarray) -> np.ndarray:
-    """Classes after one half of a turn: the head's words of that half move to where their neighbours' classes are likeliest."""
+def moved(contexts: DataFrame, classes: np.ndarray, first: int, last: int, buckets: int, link: np.ndarray, setup: Setup) -> np.ndarray:
+    """Classes after each word (number first to last - 1) that has contexts (key word * 2 t + slot, bucket word % buckets) moved to its likeliest cluster.
+
+    A bucket's sums are a dense matrix of its words.
+    """
     t, k = setup.all_classes, setup.classes
-    link = affinity(n)
+    rows = (last - first) // buckets + 2
 
-    def contexts(batches):
-        c, keys, counts, held = classes.value.astype(np.int64), [], [], 0
+    def choose(batches):
+        now, x = None, None
 
-        def sums():
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+        def begin(bucket):  # the first word that belongs to a bucket
+            return first + (bucket - first) % buckets
 
-        def out(key, n):
-            return pa.RecordBatch.from_arrays([pa.array(key // (2 * t), pa.int32()), pa.array(key % (2 * t), pa.int32()), pa.array(n)], ["word", "slot", "n"])
+        def best():
+            some = np.flatnonzero(x.any(1))
+            return pa.RecordBatch.from_arrays([pa.array(begin(now) + some * buckets, pa.int32()), pa.array(likeliest(x[some, t:], x[some, :t], link, k), pa.int32())], ["word", "to"])
+
+        for bucket, key, n in read_flat(batches):
+            if bucket != now:
+                if x is not None:
+                    yield best()
+                now, x = bucket, np.zeros((rows, 2 * t))
+            row = (key // (2 * t) - begin(now)) // buckets
+            x += np.bincount(row * 2 * t + key % (2 * t), weights=n, minlength=x.size).reshape(x.shape)
+        if x is not None:
+            yield best()
 
-        for part in batches:
-            a, b, n = (part.column(i).to_numpy().astype(np.int64) for i in range(3))
+    to = frames.map_arrow(contexts.repartition("bucket").sortWithinPartitions("bucket"), choose, "word int, to int").toArrow()  # `clustered` rows at most
+    after = classes.copy()
+    after[to.column("word").to_numpy()] = to.column("to").to_numpy()
+    return after
+
+
+def exchanged(pairs: DataFrame, symbols: int, classes, head: int, setup: Setup, half: int, n: np.ndarray) -> np.ndarray:
+    """Classes after one half of a turn: the head's words of that half move to where their neighbours' classes are likeliest."""
+    t, buckets = setup.all_classes, head // 500 + 1
+
+    def contexts(batches):
+        c, held = classes.value.astype(np.int64), Sums()
+        for _, x, m in read_flat(batches):
+            a, b = x // symbols, x % symbols
             for word, slot in ((a, c[b]), (b, t + c[a])):
                 mine = (word < head) & (word % 2 == half)
-                keys.append(word[mine] * 2 * t + slot[mine])
-                counts.append(n[mine])
-                held += len(keys[-1])
-            if held > 2_000_000:
-                key, n = sums()
-                keys, counts, held = [key], [n], len(key)
-                if held > 1_500_000:
-                    yield out(key, n)
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield out(*sums())
+                held.add(word[mine] * 2 * t + slot[mine], m[mine])
+            if held.full:
+                key, m = held.take()
+                yield dealt(key, m, key // (2 * t) % buckets, buckets)
+        key, m = held.take()
+        yield dealt(key, m, key // (2 * t) % buckets, buckets)
 
-    def choose(batches):
-        for part in batches:
-            x = np.zeros((len(part), 2 * t))
-            row = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(part.column(1))))
-            x[row, np.asarray(part.column(1).flatten())] = np.asarray(part.column(2).flatten())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(likeliest(x[:, t:], x[:, :t], link, k), pa.int32())], ["word", "to"])
-
-    near = frames.map_arrow(pairs, contexts, "word int, slot int, n long")
-    slots = near.groupBy("word", "slot").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts"))
-    moved = frames.map_arrow(slots, choose, "word int, to int").toArrow()  # at most 1 / head_share rows
-    after = classes.value.copy()
-    after[moved.column("word").to_numpy()] = moved.column("to").to_numpy()
-    return after
+    return moved(frames.map_arrow(pairs, contexts, FLAT), classes.value, 0, head, buckets, affinity(n), setup)
 
 
 def settled(docs: DataFrame, vocabulary, classes, setup: Setup, n: np.ndarray, tokens_in_all: int) -> np.ndarray:
-    """Classes in which the clustered words beyond the head are where their neighbours' classes are likeliest.
-
-    Tasks send each bucket of words its counts as flat arrays; a bucket's sums are a dense matrix of some 20,000 words.
-    """
-    t, k, v0 = setup.all_classes, setup.classes, vocabulary.value
+    """Classes in which the clustered words beyond the head are where their neighbours' classes are likeliest."""
+    t, v0 = setup.all_classes, vocabulary.value
     rest = v0.end - v0.head
     if rest <= 0:
         return classes.value
-    link = affinity(n)
-    buckets = min(rest, max(rest // 20_000 + 1, tokens_in_all // 50_000_000))
+    buckets = min(rest, max(rest // 2_000 + 1, tokens_in_all // 50_000_000))
 
     def contexts(batches):
-        v, c = vocabulary.value, classes.value.astype(np.int64)
-        keys, counts, held = [], [], 0
-
-        def sums():
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
-
-        def out(key, n):
-            word, slot = key // (2 * t), key % (2 * t)
-            bucket = word % buckets
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(edge))
-            flat = [(word[order], "<i4"), (slot[order], "<u1"), (np.minimum(n[order], 2**31 - 1), "<i4")]
-            cut = [[x.astype(d)[edge[i] : edge[i + 1]].tobytes() for i in some] for x, d in flat]
-            return frames.batch({"bucket": pa.int32(), "word": pa.binary(), "slot": pa.binary(), "n": pa.binary()}, bucket=some, word=cut[0], slot=cut[1], n=cut[2])
-
+        v, c, held = vocabulary.value, classes.value.astype(np.int64), Sums()
         for whole in batches:
             for part in bytelevel.slices(whole, "text", SLICE):
                 part = training(part, setup)
@@ -304,51 +359,24 @@ def settled(docs: DataFrame, vocabulary, classes, setup: Setup, n: np.ndarray, t
                     continue
                 w = tokens(part.column(1))
                 dense = v.place(w.dictionary)
-                shaped = np.where((dense >= v.head) & (dense < v.end), v.place(w.dictionary, head=True), dense)
+                far = (dense >= v.head) & (dense < v.end)
+                shaped = dense.copy()
+                if far.any():
+                    shaped[far] = v.end + 1 + shapes(w.dictionary.filter(pa.array(far)))
                 of, _, _ = v.sequence(w, dense)
                 now, before, _ = v.sequence(w, shaped)
                 after = np.append(now[1:], v.end)  # a text's last token is its end, which isn't asked for
                 mine = (of >= v.head) & (of < v.end)
                 word = of[mine] * 2 * t
                 for slot in (c[after[mine]], t + c[before[mine]]):
-                    key, m = np.unique(word + slot, return_counts=True)
-                    keys.append(key)
-                    counts.append(m)
-                    held += len(key)
-                if held > 4_000_000:
-                    yield out(*sums())
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield out(*sums())
-
-    def choose(batches):
-        now, x = None, None
-
-        def best():
-            some = np.flatnonzero(x.any(1))
-            return pa.RecordBatch.from_arrays([pa.array(some * buckets + now + start(now), pa.int32()), pa.array(likeliest(x[some, t:], x[some, :t], link, k), pa.int32())], ["word", "to"])
+                    held.add(word + slot, np.ones(len(word), np.int64))
+                if held.full:
+                    key, m = held.take()
+                    yield dealt(key, m, key // (2 * t) % buckets, buckets)
+        key, m = held.take()
+        yield dealt(key, m, key // (2 * t) % buckets, buckets)
 
-        def start(bucket):  # the first word of a bucket beyond the head, less the bucket's number
-            return (v0_head - bucket + buckets - 1) // buckets * buckets
-
-        for part in batches:
-            for bucket, *flat in zip(*(part.column(i).to_pylist() for i in range(4))):
-                if bucket != now:
-                    if x is not None:
-                        yield best()
-                    now, x = bucket, np.zeros((v0_rest // buckets + 2, 2 * t))
-                word, slot, n = (np.frombuffer(b, d).astype(np.int64) for b, d in zip(flat, ("<i4", "<u1", "<i4")))
-                row = (word - now - start(now)) // buckets
-                x += np.bincount(row * 2 * t + slot, weights=n, minlength=x.size).reshape(x.shape)
-        if x is not None:
-            yield best()
-
-    v0_head, v0_rest = v0.head, rest
-    near = frames.map_arrow(docs, contexts, "bucket int, word binary, slot binary, n binary")
-    moved = frames.map_arrow(near.repartition("bucket").sortWithinPartitions("bucket"), choose, "word int, to int").toArrow()  # `clustered` rows at most
-    after = classes.value.copy()
-    after[moved.column("word").to_numpy()] = moved.column("to").to_numpy()
-    return after
+    return moved(frames.map_arrow(docs, contexts, FLAT), classes.value, v0.head, v0.end, buckets, affinity(n), setup)
 
 
 @dataclass
@@ -374,18 +402,18 @@ def learn(texts: DataFrame, setup: Setup) -> Model:
     v = Vocabulary(h, c, total["ends"] or 0, int((c >= setup.head_share * n_all).sum()))
     vocabulary = spark.sparkContext.broadcast(v)
     classes = np.concatenate([np.arange(v.end) % k, [k], k + 1 + np.arange(SHAPES)]).astype(np.uint8)
-    pairs = frames.kept(paired(texts, vocabulary, setup), "pairs")
+    pairs = frames.kept(paired(texts, vocabulary, setup, n_all // 5_000_000 + 8), "pairs")
     seen = []
     for turn in range(setup.turns + 1):
         for half in (0, 1):
             sent = spark.sparkContext.broadcast(classes)
-            n = matrix(pairs, sent, t)
+            n = matrix(pairs, v.symbols, sent, t)
             if half == 0:
                 seen.append(information(n))
                 done = turn == setup.turns or v.head == 0 or (turn > 0 and seen[-1] - seen[-2] < setup.gain * seen[-1])
                 if done:
                     break
-            classes = exchanged(pairs, sent, v.head, setup, half, n)
+            classes = exchanged(pairs, v.symbols, sent, v.head, setup, half, n)
         if done:
             break
     frames.drop_kept(pairs)
