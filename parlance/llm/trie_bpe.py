@@ -196,15 +196,17 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def f(batches):
         e = shared_encoder(path)
-        numbers = np.array([b"%d," % i for i in range(1 << 17)])
-        width = np.char.str_len(numbers)
-        flat = np.frombuffer(b"".join(numbers.tolist()), np.uint8)
-        begin = np.cumsum(width) - width
+        width = np.zeros(0, np.int64)
         kind = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for whole in batches:
             for part in bytelevel.slices(whole, "text", 2 << 20):
                 ids, at = e(part.column(1))
+                top = int(ids.max(initial=0)) + 1
+                if top > len(width):  # decimal forms of all ids seen so far
+                    numbers = [b"%d," % i for i in range(max(top, 1 << 16))]
+                    width = np.array([len(x) for x in numbers])
+                    flat, begin = np.frombuffer(b"".join(numbers), np.uint8), np.cumsum(width) - width
                 n = width[ids]
                 ends = np.cumsum(n)
                 said = flat[np.repeat(begin[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
