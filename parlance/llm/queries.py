@@ -68,6 +68,8 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = store.write(table(spark, sf_dir, "documents"), store.new_store(spark), tokenizer_path())
+    if not store.verify(spark, at):
+        raise ValueError("the store's recipes don't give the roots of its manifest")
     return store.summary(spark, at)
 
 

@@ -9,7 +9,8 @@ Layout under one folder (Parquet files as containers, readable from any store th
 
 Streams are cut where a rolling hash over the last 16 ids has `bits` low zeros, so equal passages give equal chunks wherever
 they stand.  A chunk is named by the digest of its ids and stored once: tasks drop their own repeats, one shuffle
-by digest meets the rest.  A recipe lists a document's chunks; leaves over recipes form a Merkle tree for each part, and the
+by digest meets the rest, and in a sorted partition a chunk is compared with the one before.  Recipes are spread by row, so
+thousands of copies or empty texts don't meet.  A recipe lists a document's chunks; leaves over recipes form a Merkle tree for each part, and the
 parts' roots one above.  Where a document starts in the whole stream is its place in its part plus the part's base.
 
 Reading back checks each chunk against its digest.  The crc32 of a document comes from its chunks' crc32s: crc32 of a
@@ -113,11 +114,13 @@ def chunked(docs: DataFrame, path: str, end_id: int, fmt: Format) -> DataFrame:
     """Recipes and chunks of all documents; no chunk twice from one task."""
 
     def f(batches):
-        e, seen = bytelevel.shared_encoder(path), set()
+        e, seen, row = bytelevel.shared_encoder(path), set(), 0
         for whole in batches:
             for part in bytelevel.slices(whole, "text"):
                 ids, at = e(part.column(1))
                 ids = np.insert(ids, at[1:], end_id)
+                if int(ids.max(initial=0)) >> 8 * fmt.width:
+                    raise ValueError(f"an id of the vocabulary doesn't fit into {fmt.width} bytes")
                 at = at + np.arange(len(at))
                 raw = ids.astype(fmt.dtype).tobytes()
                 rows: dict[str, list] = {k: [] for k in DATA}
@@ -138,7 +141,8 @@ def chunked(docs: DataFrame, path: str, end_id: int, fmt: Format) -> DataFrame:
                             add("chunk", digest, z - a, b, None, None, None)
                         a = z
                     whole_of = b"".join(digests)
-                    add("recipe", name(whole_of), a - begin, None, d, whole_of, np.array(lengths, "<u4").tobytes())
+                    add("recipe", name(f"{d}/{row}".encode()), a - begin, None, d, whole_of, np.array(lengths, "<u4").tobytes())
+                    row += 1
                 if len(seen) > 500_000:
                     seen.clear()
                 yield frames.batch(DATA, **rows)
@@ -147,19 +151,19 @@ def chunked(docs: DataFrame, path: str, end_id: int, fmt: Format) -> DataFrame:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """Chunks of the same digest, which are in one partition, once; recipes as they are."""
+    """Chunks of the same digest, which follow each other in their partition, once; recipes as they are."""
 
     def f(batches):
-        seen = set()
+        last = None
         for part in batches:
             keep = []
             for kind, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                keep.append(kind == "recipe" or key not in seen)
+                keep.append(kind == "recipe" or key != last)
                 if kind == "chunk":
-                    seen.add(key)
+                    last = key
             yield part.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(f, df.schema)
+    return frames.map_arrow(df.sortWithinPartitions("kind", "key"), f, df.schema)
 
 
 ORDERED = {"part": pa.int32(), "local_start": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "digests": pa.binary(), "lengths": pa.binary(), "root": pa.binary()}
@@ -182,7 +186,7 @@ def ordered(recipes: DataFrame) -> DataFrame:
         if n:
             yield frames.batch(ORDERED, part=[part_no], local_start=[n], doc_id=[None], n_tokens=[at], digests=[None], lengths=[None], root=[tree.root])
 
-    placed = recipes.withColumn("tie", F.xxhash64("key")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "digests")
+    placed = recipes.withColumn("tie", F.xxhash64("digests")).repartitionByRange("doc_id", "tie", "key").sortWithinPartitions("doc_id", "tie", "key")
     return frames.map_arrow(placed.select("doc_id", F.col("n").alias("n_tokens"), "digests", "lengths"), f, "part int, local_start long, doc_id long, n_tokens long, digests binary, lengths binary, root binary")
 
 
