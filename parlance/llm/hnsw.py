@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph a shard.
 
-Equal vectors are one node with its smallest ids (as many as a result can need), so thousands of copies neither crowd a
-neighbourhood nor a shard.  Nodes are dealt to shards by a hash; a shard's levels are drawn geometrically, and each level is a flat
-neighbour array (nodes x degree, -1 for none).  Links are chosen from the exact nearest nodes of the level, found in blocks, by
-the usual rule that drops a neighbour which is nearer to one already kept, then made mutual.  All queries of a block
-descend together: greedy steps on the upper levels, a beam of `beam` on the lowest.  Every shard answers every
-query; the shards' lists are merged, and scores are exact cosines in double precision on the original vectors.
+Vectors of one direction (equal unit vectors in single precision: copies and multiples) are one node with its smallest ids, so
+thousands of copies neither crowd a neighbourhood nor a shard.  Nodes are dealt to shards by a hash; a shard's levels are
+drawn geometrically, and each level is a flat neighbour array (nodes x degree, -1 for none).  Links are chosen from the exact
+nearest nodes of the level, found in blocks, by the usual rule that drops a neighbour which is nearer to one already kept, then
+made mutual: in NumPy, blocks of exact products take a twentieth of the time of inserting nodes one by one through the graph.  All
+queries of a block descend together: a beam of `upper` on the upper levels, whose nodes all enter the level below, a beam of
+`beam` on the lowest.  Every shard answers every query.  All nodes of the beam are scored anew in double precision, and
+of those that are within single precision's error of the best k all ids are: near ties are settled on the original vectors.
 
 Vectors that are null, zero or hold null or non-finite components take no part; of repeated rows (same id and vector) one
-counts.  An empty table, or one with a single vector, gives no rows for lack of candidates.  Further columns are ignored.
+counts; ties go to the smaller id; of one direction the `same` smallest ids are candidates.  An empty table, or one
+with a single vector, gives no rows for lack of candidates.  Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ class Graph:
     degree: int = 24
     near: int = 48  # exact nearest nodes from which links are chosen
     beam: int = 256
+    upper: int = 16
+    same: int = 1024  # ids of one direction that are kept; multiples of a vector differ by rounding only, so no more can matter
     shard: int = 8_192  # vectors, on average
 
 
@@ -97,27 +102,25 @@ class Index:
         self.entry = int(np.argmax(top)) if len(x) else -1
 
     def search(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Numbers of about the k nearest nodes for each of the unit vectors q, -1 for none."""
-        n = len(q)
-        at = np.full(n, self.entry, np.int64)
-        for row, links in reversed(self.levels[1:]):
-            best = np.einsum("ad,ad->a", q, self.x[at])
-            moving = np.arange(n)
-            while len(moving):
-                near = links[row[at[moving]]]
-                s = np.where(near >= 0, np.einsum("ad,akd->ak", q[moving], self.x[near]), -np.inf)
-                j = s.argmax(1)
-                better = s[np.arange(len(j)), j] > best[moving]
-                moving, j, near, s = moving[better], j[better], near[better], s[better]
-                at[moving] = near[np.arange(len(j)), j]
-                best[moving] = s[np.arange(len(j)), j]
-        beam, (_, links) = max(self.g.beam, k), self.levels[0]
+        """Numbers of about the k nearest nodes for each of the unit vectors q, nearest first, -1 for none."""
+        at = np.full((len(q), 1), self.entry, np.int64)
+        for level in range(len(self.levels) - 1, 0, -1):
+            at, _ = self.walk(q, at, level, self.g.upper)
+        at, score = self.walk(q, at, 0, max(self.g.beam, k))
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(at, order, 1)
+
+    def walk(self, q: np.ndarray, entries: np.ndarray, level: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The beams (node numbers, -1 for none, and similarities) in which walks over a level end that start from `entries`."""
+        n, (row, links) = len(q), self.levels[level]
         found = np.full((n, beam), -1, np.int64)
         score = np.full((n, beam), -np.inf, np.float32)
-        open_ = np.zeros((n, beam), bool)
-        seen = np.zeros((n, len(self.x)), bool)
-        found[:, 0], score[:, 0], open_[:, 0] = at, np.einsum("ad,ad->a", q, self.x[at]), True
-        seen[np.arange(n), at] = True
+        seen = np.zeros((n, len(links)), bool)
+        a, b = np.nonzero(entries >= 0)
+        found[a, b] = entries[a, b]
+        score[a, b] = np.einsum("ad,ad->a", q[a], self.x[entries[a, b]])
+        seen[a, row[entries[a, b]]] = True
+        open_ = found >= 0
         live = np.arange(n)
         while len(live):
             s = np.where(open_[live], score[live], -np.inf)
@@ -128,10 +131,11 @@ class Index:
                 break
             node = found[live, j]
             open_[live, j] = False
-            near = links[node]
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
+            near = links[row[node]]
+            place = row[np.maximum(near, 0)]
+            fresh = (near >= 0) & ~seen[live[:, None], place]
             a, b = np.nonzero(fresh)
-            seen[live[a], near[a, b]] = True
+            seen[live[a], place[a, b]] = True
             s = np.full(near.shape, -np.inf, np.float32)
             s[a, b] = np.einsum("ad,ad->a", q[live[a]], self.x[near[a, b]])
             every = np.concatenate([score[live], s], 1)
@@ -141,9 +145,7 @@ class Index:
             score[live] = np.take_along_axis(every, best, 1)
             found[live] = np.take_along_axis(who, best, 1)
             open_[live] = np.take_along_axis(op, best, 1)
-        order = np.argsort(-score, axis=1)[:, :k]
-        got = np.take_along_axis(found, order, 1)
-        return np.where(np.take_along_axis(score, order, 1) > -np.inf, got, -1)
+        return np.where(score > -np.inf, found, -1), score
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -153,39 +155,46 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine).filter(F.size("v") > 0)
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """v and its k + 1 smallest ids: no result of k can name more of one vector's ids, its own one aside.
+def directions(rows: DataFrame, most: int) -> DataFrame:
+    """The `most` smallest ids of each direction with their vectors: own, array of (id, v).
 
-    Tasks keep k + 1 rows of a vector before the shuffle (a window group limit), so a vector of very many ids costs a few
-    rows a task.
+    Tasks keep so many rows of a direction before the shuffle (a window group limit), so one of very many ids costs a few rows a task.
     """
-    order = Window.partitionBy("v").orderBy("id")
-    few = rows.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    fine = rows.withColumn("big", F.array_max(F.transform("v", F.abs)))
+    fine = fine.withColumn("u", F.transform("v", lambda x: x / F.col("big")))
+    length = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
+    fine = fine.withColumn("length", length).withColumn("u", F.transform("u", lambda x: (x / F.col("length") + F.lit(0.0)).cast("float")))
+    order = Window.partitionBy("u").orderBy("id", "v")
+    few = fine.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+    return few.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("own")).select("own")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", g: Graph = Graph()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of `df` found for each row of `queries` (both key, vector), itself left out."""
-    nodes = frames.kept(distinct_vectors(usable(df, key, vector), k), "vectors")
+    nodes = frames.kept(directions(usable(df, key, vector), max(g.same, k + 1)), "vectors")
     shards = max(1, round(nodes.count() / g.shard))
     asked = usable(queries, key, vector).dropDuplicates(["id", "v"])
-    dealt = nodes.select(F.pmod(F.xxhash64("v", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), "ids", "v")
-    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), "id", F.lit(None).cast("array<long>").alias("ids"), "v")
-    both = dealt.unionByName(each).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "side")
+    own = "array<struct<id:bigint,v:array<double>>>"
+    dealt = nodes.select(F.pmod(F.xxhash64("own", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), F.col("own").cast(own))
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), F.array(F.struct("id", "v")).cast(own).alias("own"))
+    # by range, so that no two shards share a task
+    both = dealt.unionByName(each).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "side")
 
     def f(batches):
-        shard, xs, names, index = None, [], [], {}
+        shard, held, index = None, [], {}
         kind = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
 
         def build():
             by_dim: dict[int, list] = {}
-            for v, ids in zip(xs, names):
-                by_dim.setdefault(len(v), []).append((v, ids))
+            for members in held:
+                by_dim.setdefault(len(members[0][1]), []).append(members)
             out = {}
-            for dim, rows in by_dim.items():
-                x = np.array([v for v, _ in rows])
-                unit = (x / norms(x)[:, None]).astype(np.float32)
-                out[dim] = (x, norms(x), [i for _, i in rows], Index(unit, g))
+            for dim, nodes in by_dim.items():
+                x = np.array([v for members in nodes for _, v in members])
+                size = norms(x)
+                at = np.concatenate([[0], np.cumsum([len(members) for members in nodes])])
+                first = x[at[:-1]] / size[at[:-1], None]
+                out[dim] = (x, size, np.array([i for members in nodes for i, _ in members]), at, first, Index(first.astype(np.float32), g))
             return out
 
         def answer(ids: list[int], q: list[np.ndarray]):
@@ -194,46 +203,53 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
                 who = [i for i, v in enumerate(q) if len(v) == dim]
                 if dim not in index:
                     continue
-                x, length, owned, graph = index[dim]
+                x, length, names, at, first, graph = index[dim]
                 y = np.array([q[i] for i in who])
                 size = norms(y)
-                got = graph.search((y / size[:, None]).astype(np.float32), k + 1)
+                unit = y / size[:, None]
+                got = graph.search(unit.astype(np.float32), max(g.beam, k + 1))
+                score = np.where(got >= 0, np.einsum("ad,akd->ak", unit, first[np.maximum(got, 0)]), -np.inf)
                 for r, i in enumerate(who):
+                    least = np.sort(score[r])[-(k + 1) :][0]
+                    near = got[r][(got[r] >= 0) & (score[r] >= least - 1e-6)]
                     hits = [
-                        (float(np.dot(y[r], x[node]) / (size[r] * length[node])), other)
-                        for node in got[r] if node >= 0 for other in owned[node] if other != ids[i]
+                        (float(np.dot(y[r], x[m]) / (size[r] * length[m])), int(names[m]))
+                        for node in near for m in range(at[node], at[node + 1]) if names[m] != ids[i]
                     ]
                     for s, other in sorted(hits, key=lambda h: (-h[0], h[1]))[:k]:
                         for c, value in zip(kind, (ids[i], other, s)):
                             rows[c].append(value)
             return frames.batch(kind, **rows)
 
+        def members(column, i):
+            one = column[i].values
+            v = one.field(1)
+            return [(d, np.asarray(v[j].values, np.float64)) for j, d in enumerate(one.field(0).to_pylist())]
+
         for part in batches:
-            for lo in range(0, len(part), 1024):
-                block = part.slice(lo, 1024)
+            for lo in range(0, len(part), 256):
+                block = part.slice(lo, 256)
                 at, sides = block.column(0).to_numpy(), block.column(1).to_numpy()
-                ids, owned, v = block.column(2).to_pylist(), block.column(3).to_pylist(), block.column(4)
                 pending_ids, pending = [], []
                 for i in range(len(block)):
                     if at[i] != shard:
                         if pending:
                             yield answer(pending_ids, pending)
                             pending_ids, pending = [], []
-                        shard, xs, names, index = at[i], [], [], None
-                    row = np.asarray(v[i].values, np.float64)
+                        shard, held, index = at[i], [], None
+                    of = members(block.column(2), i)
                     if sides[i] == 0:
-                        xs.append(row)
-                        names.append(owned[i])
+                        held.append(of)
                     else:
                         if index is None:
                             index = build()
-                            xs, names = [], []
-                        pending_ids.append(ids[i])
-                        pending.append(row)
+                            held = []
+                        pending_ids.append(of[0][0])
+                        pending.append(of[0][1])
                 if pending:
                     yield answer(pending_ids, pending)
 
-    hits = frames.map_arrow(both.select("shard", "side", "id", "ids", "v"), f, "query_id long, vec_id long, score double")
+    hits = frames.map_arrow(both.select("shard", "side", "own"), f, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -484,6 +484,30 @@ def test_recall_over_shards(spark):
     assert len(index.levels) > 1 and all(links.shape[1] == 24 for _, links in index.levels)
 
 
+def test_multiples_of_one_vector(spark):
+    """Ties, and near ties, go by double precision, then by the smaller id."""
+    r = np.random.default_rng(8)
+    v = r.normal(size=24)
+    x = {i: v * (i + 1) for i in range(400)} | {1000 + i: r.normal(size=24) for i in range(300)}
+    df = spark.createDataFrame([(i, y.tolist()) for i, y in x.items()], "vec_id long, embedding array<double>")
+    got = [(q.vec_id, q.score) for q in hnsw.search(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    exact = {i: float(np.dot(v, y) / (hnsw.norms(v[None])[0] * hnsw.norms(y[None])[0])) for i, y in x.items() if i}
+    assert got == sorted(exact.items(), key=lambda h: (-h[1], h[0]))[:5]
+
+
+@pytest.mark.parametrize("clusters", [8, 40])
+def test_recall_in_clusters_at_shipped_parameters(clusters):
+    r = np.random.default_rng(clusters)
+    x = (r.normal(size=(clusters, 64))[r.integers(0, clusters, 8192)] + 0.15 * r.normal(size=(8192, 64))).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    index = hnsw.Index(u)
+    q = u[::100]
+    got = index.search(q, 6)
+    best = np.argsort(-(q @ u.T), axis=1)[:, :6]
+    recall = np.mean([len(set(a) & set(b)) / 6 for a, b in zip(got.tolist(), best.tolist())])
+    assert recall >= 0.95, recall
+
+
 # --- near copies ---
 
 
