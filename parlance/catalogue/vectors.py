@@ -82,10 +82,10 @@ def ahc_labels(spark, sf_dir):
     return clustering.cluster(v, threshold=0.9)
 
 
-@query(f"""WITH {REG}, a AS (SELECT 'p' || label AS new_name, e, n FROM e WHERE vec_id < 60)
+@query(f"""WITH {REG}, a AS (SELECT 'p' || label AS new_name, e, n FROM e)
 SELECT new_name, name, round(list_dot_product(e, v) / (n * vn + 1e-8), 6) AS sim FROM a JOIN r ON new_name <> name WHERE list_dot_product(e, v) / (n * vn + 1e-8) > 0.2""")
 def duplicate_warnings(spark, sf_dir):
-    new = rows(spark, sf_dir).filter("vec_id < 60").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("name"), F.col("embedding").alias("voice"))
+    new = rows(spark, sf_dir).select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("name"), F.col("embedding").alias("voice"))
     return vectors.duplicate_warnings(new, names(spark, sf_dir), 0.2)
 
 

@@ -32,9 +32,14 @@ def clip01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+# For each measure its weight, the value that scores nothing, and how far the one that scores all is from it.
+LOUDNESS, CENTROID, FLATNESS, CREST = (0.20, -50, 25), (0.30, 800, 1500), (0.30, 0.05, 0.35), (0.20, 3, 9)
+
+
 def quality_score(dbfs: Column, centroid: Column, flatness: Column, crest: Column, seconds: Column) -> Column:
     """0 .. 1 from loudness, spectral centroid and flatness, and crest factor; 0.5 for less than 0.3 s."""
-    s = 0.20 * clip01((dbfs + 50) / 25) + 0.30 * clip01((centroid - 800) / 1500) + 0.30 * clip01(1 - (flatness - 0.05) / 0.35) + 0.20 * clip01((crest - 3) / 9)
+    share = lambda x, of: (x - of[1]) / of[2]
+    s = LOUDNESS[0] * clip01(share(dbfs, LOUDNESS)) + CENTROID[0] * clip01(share(centroid, CENTROID)) + FLATNESS[0] * clip01(1 - share(flatness, FLATNESS)) + CREST[0] * clip01(share(crest, CREST))
     return F.when(seconds < 0.3, F.lit(0.5)).otherwise(s)
 
 

@@ -23,40 +23,49 @@ _digit, _unit = "".join(DIGITS), "".join(UNITS)
 NUMERAL = re.compile(f"[{_digit}]?(?:[{_unit}][{_digit}]?)+")
 RUN = re.compile(f"[{_digit}]{{2,}}")
 LONG = re.compile(r"\d{5,}")
+TENS = re.compile(f"([{_digit}]?)([十百千])")
+SECTION = re.compile(f"(?P<tens>(?:[{_digit}]?[十百千])*)(?P<ones>[{_digit}]?)(?P<large>[万亿]?)")
+
+# Numbers that were a unit's word, with what they become again.
+WORDS_AGAIN = (
+    (r"(\d+(?:\.\d+)?)\s*多\s*10000(?!\d)", r"\1多万"),
+    (r"(\d+(?:\.\d+)?)\s*多\s*100000000(?!\d)", r"\1多亿"),
+    (r"(?<![\d.])10000(?![\d.])", "万"),
+    (r"(?<![\d.])100000000(?![\d.])", "亿"),
+)
 
 
 def value(numeral: str) -> int | None:
-    """Value of a numeral with units; None if it has no digit, or begins with a large unit."""
-    if not any(c in DIGITS for c in numeral):
+    """Value of a numeral with units, section by section (a section ends at 万 or 亿); None if it has no digit, or a
+    large unit comes before anything was said.  In a section that 万 or 亿 ends, nothing before it counts as one, even after tens."""
+    first = next((i for i, c in enumerate(numeral) if c in DIGITS), None)
+    if first is None:
         return None
-    whole, below, last, spoken = 0, 0, 0, False
-    for c in numeral:
-        if c in DIGITS:
-            last, spoken = DIGITS[c], True
-        elif UNITS[c] < 10_000:
-            below, last = below + max(last, 1) * UNITS[c], 0
-        elif spoken or below:
-            whole, below, last = whole + (below + max(last, 1)) * UNITS[c], 0, 0
+    out = 0
+    for m in SECTION.finditer(numeral):
+        tens = sum(max(DIGITS.get(d, 0), 1) * UNITS[u] for d, u in TENS.findall(m["tens"]))
+        ones = DIGITS.get(m["ones"], 0)
+        if not m["large"]:
+            out += tens + ones
+        elif tens or first < m.end():
+            out += (tens + max(ones, 1)) * UNITS[m["large"]]
         else:
             return None
-    return whole + below + last
+    return out
 
 
-def _free(m: re.Match) -> bool:
-    return not m.string[: m.start()].endswith(VAGUE)
+#: Patterns of numerals and how what they match is read, in this order.
+READINGS = (
+    (NUMERAL, lambda s: "" if (n := value(s)) is None else str(n)),
+    (RUN, lambda s: "".join(str(DIGITS[c]) for c in s)),
+)
 
 
 def to_digits(text: str) -> str:
-    """Numerals with units, then runs of two or more digits read one by one."""
-
-    def numeral(m):
-        n = value(m[0]) if _free(m) else None
-        return m[0] if n is None else str(n)
-
-    def run(m):
-        return "".join(str(DIGITS[c]) for c in m[0]) if _free(m) else m[0]
-
-    return RUN.sub(run, NUMERAL.sub(numeral, text))
+    """Numerals with units, then runs of two or more digits read one by one; not after a vague word."""
+    for pattern, read in READINGS:
+        text = pattern.sub(lambda m, read=read: m[0] if m.string.endswith(VAGUE, 0, m.start()) else read(m[0]) or m[0], text)
+    return text
 
 
 def readable(text: str) -> str:
@@ -78,10 +87,8 @@ def readable(text: str) -> str:
 
 def mended(text: str) -> str:
     """A unit that was spelt out where it belongs to the number before, or stands alone, is a word again."""
-    for digits, word in (("10000", "万"), ("100000000", "亿")):
-        text = re.sub(rf"(\d+(?:\.\d+)?)\s*多\s*{digits}(?!\d)", rf"\1多{word}", text)
-    for digits, word in (("10000", "万"), ("100000000", "亿")):
-        text = re.sub(rf"(?<![\d.]){digits}(?![\d.])", word, text)
+    for pattern, word in WORDS_AGAIN:
+        text = re.sub(pattern, word, text)
     return text
 
 

@@ -40,7 +40,11 @@ def letters(x: str | Column) -> Column:
     return F.regexp_replace(_c(x), WORD, "")
 
 
-META = "\\[\\d+:\\d+(?:-\\d+:\\d+)?\\]|(?:说话人|发言人)\\s*\\d+|spk[_\\d]+|(?U:Speaker_\\w+)|^#+\\s|^---+\\s*$"
+# What stands in a transcript's lines besides speech.
+TIME_STAMP = "\\[\\d+:\\d+(?:-\\d+:\\d+)?\\]"
+SPEAKER_TAGS = ("说话人\\s*\\d+", "发言人\\s*\\d+", "spk[_\\d]+", "(?U:Speaker_\\w+)")
+HEADINGS = ("^#+\\s", "^---+\\s*$")
+META = "|".join((TIME_STAMP, *SPEAKER_TAGS, *HEADINGS))
 
 
 def bare(x: str | Column) -> Column:

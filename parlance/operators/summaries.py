@@ -27,10 +27,11 @@ def duration_mismatch(a: DataFrame, b: DataFrame, most_ms: int = 30_000) -> Data
     return both.withColumn("differs", F.abs(F.col("end_a") - F.col("end_b")) > most_ms)
 
 
-def candidate_frequency(pairs: DataFrame, least: int = 1) -> DataFrame:
-    """How often each (wrong, right) was mined, with the first context as example; most frequent first."""
+def candidate_frequency(pairs: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """How often each (wrong, right) was mined, with the first context as example; most frequent first, the `most` first ones if that is given."""
     out = pairs.groupBy("wrong", "right").agg(F.count("*").alias("freq"), F.min_by("context_asr", "pos").alias("context_asr"))
-    return out.filter(F.col("freq") >= least).orderBy(F.desc("freq"), "wrong", "right")
+    out = out.filter(F.col("freq") >= least).orderBy(F.desc("freq"), "wrong", "right")
+    return out if most is None else out.limit(most)
 
 
 def noise_clusters(rows: DataFrame, least: int, label: str = "label") -> DataFrame:
@@ -109,6 +110,11 @@ def fusable(anchors: DataFrame, least_chars: int = 10) -> DataFrame:
     return anchors.filter(~F.coalesce("overlap", F.lit(False)) & (F.length("text") >= least_chars))
 
 
+def long_enough(replies: DataFrame, least_chars: int = 2, text: str = "text") -> DataFrame:
+    """Texts from overlapped speech that are worth keeping: of enough characters without blanks around them."""
+    return replies.filter(F.length(F.regexp_replace(text, "^\\s+|\\s+$", "")) >= max(least_chars, 1))
+
+
 def in_band(turns: DataFrame, least_ms: int = 5000, most_ms: int = 20_000) -> DataFrame:
     """Turns whose duration is within the band in which overlaps are looked for."""
     return turns.filter((F.col(END) - F.col(START)).between(least_ms, most_ms))

@@ -50,7 +50,7 @@ def fuse(asr: DataFrame, diar: DataFrame, bucket_ms: int = joins.BUCKET_MS) -> D
 def redistribute(blocks: DataFrame, turns: DataFrame, bucket_ms: int = joins.BUCKET_MS) -> DataFrame:
     """Texts of ASR blocks (rec_id, seq, subs, text) to the speakers that dominate their sub-segments, neighbours of one
     speaker as one, cut in proportion to time."""
-    subs = blocks.filter(F.trim("text") != "").select("rec_id", F.col("seq").alias("block"), F.posexplode("subs").alias("pos", "s")).select("rec_id", "block", "pos", (F.col("block") * 100_000 + F.col("pos")).alias("seq"), F.col("s.start_ms").alias("start_ms"), F.col("s.end_ms").alias("end_ms"))
+    subs = blocks.filter(F.trim("text") != "").select("rec_id", F.col("seq").alias("block"), F.posexplode("subs").alias("pos", "s")).select("rec_id", "block", "pos", F.struct("block", "pos").alias("seq"), F.col("s.start_ms").alias("start_ms"), F.col("s.end_ms").alias("end_ms"))
     named = joins.max_overlap(subs, turns, bucket_ms=bucket_ms)
     w = Window.partitionBy("rec_id", "block").orderBy("pos")
     new = F.when(F.lag("pos").over(w).isNotNull() & F.col("spk").eqNullSafe(F.lag("spk").over(w)), 0).otherwise(1)

@@ -1,6 +1,7 @@
 """Sequential operators against plain loops written from their semantics, on random input."""
 
 import random
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -42,29 +43,21 @@ def groups(rows):
 
 
 def test_merge_segments(frame, rows):
+    """A segment begins a group where the gap before it is wide; groups have their first start and last end, short ones go."""
     want = []
     for rec, rs in groups(rows).items():
-        merged = []
-        for _, _, s, e, *_ in rs:
-            if merged and s - merged[-1][1] <= 1500:
-                merged[-1][1] = e
-            else:
-                merged.append([s, e])
-        want += [(rec, s, e) for s, e in merged if e - s >= 800]
+        start, end = np.array([r[2] for r in rs]), np.array([r[3] for r in rs])
+        first = np.flatnonzero(np.append(True, start[1:] - end[:-1] > 1500))
+        last = np.append(first[1:], len(rs)) - 1
+        want += [(rec, int(s), int(e)) for s, e in zip(start[first], end[last]) if e - s >= 800]
     got = intervals.merge_segments(frame, 1500, 800)
     assert sorted((r.rec_id, r.start_ms, r.end_ms) for r in got.collect()) == sorted(want)
 
 
 def test_chunks_cover_segments(frame, rows):
-    want = []
-    for rec, seq, s, e, *_ in rows:
-        if e - s <= 3000:
-            want.append((rec, seq, s, e))
-        else:
-            t = s
-            while t < e:
-                want.append((rec, seq, t, min(t + 3000, e)))
-                t += 1500
+    """Chunks of a long segment begin every 1,500 ms and are 3,000 ms long, as far as the segment goes; a short one is its own."""
+    begins = lambda s, e: range(s, e, 1500) if e - s > 3000 else (s,)
+    want = [(rec, seq, t, min(t + 3000, e)) for rec, seq, s, e, *_ in rows for t in begins(s, e)]
     got = [(r.rec_id, r.seq, r.start_ms, r.end_ms) for r in intervals.chunk_windows(frame).collect()]
     assert sorted(got) == sorted(want)
 
@@ -135,23 +128,47 @@ def test_nearest_and_dominant_turn(frame, rows):
 
 
 def test_time_align(frame, rows):
+    """Each right one has the nearest left one that touches it and that no earlier one has, if that is near enough."""
     a, b = frame.filter("seq % 2 = 0"), frame.filter("seq % 2 = 1")
     got = {(r.rec_id, r.seq_b): r.seq_a for r in folds.time_align(a, b, 2000).collect()}
+    far = lambda x, y: max(abs(y[2] - x[2]), abs(y[3] - x[3]))
     for rec, rs in groups(rows).items():
-        left, used = [r for r in rs if r[1] % 2 == 0], set()
-        for y in (r for r in rs if r[1] % 2):
-            best, least = None, float("inf")
-            for i, x in enumerate(left):
-                if i in used or min(y[3], x[3]) < max(y[2], x[2]):
-                    continue
-                d = max(abs(y[2] - x[2]), abs(y[3] - x[3]))
-                if d < least:
-                    best, least = i, d
-            if best is not None and least <= 2000 + y[3] - y[2]:
-                used.add(best)
-                assert got[rec, y[1]] == left[best][1]
-            else:
-                assert got[rec, y[1]] is None
+        taken = set()
+        for y in rs[1::2]:
+            free = [x for x in rs[::2] if x[1] not in taken and max(x[2], y[2]) <= min(x[3], y[3])]
+            near = min(free, key=lambda x: far(x, y), default=None)
+            want = near[1] if near and far(near, y) <= 2000 + y[3] - y[2] else None
+            assert got[rec, y[1]] == want
+            taken |= {want} - {None}
+
+
+def test_matching_blocks_are_the_librarys():
+    r = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abcd"[: r.randint(1, 4)]) for _ in range(r.randint(0, 40))) for _ in range(2))
+        assert diff.matching_blocks(a, b) == list(map(tuple, SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()))
+    long = "".join(r.choice("abcdefgh ") for _ in range(6000))
+    assert "".join(diff.carried_over([long[i : i + 60] for i in range(0, 6000, 60)], long)).replace(" ", "") == long.replace(" ", "")
+
+
+def test_carried_over_borders():
+    """A border lies where the last block that begins before it says; plain search over all blocks."""
+    r = random.Random(4)
+    for _ in range(500):
+        pieces = ["".join(r.choice("abc，。 ") for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 5))]
+        whole = "".join(r.choice("abc，。 ") for _ in range(r.randint(1, 25)))
+        text = "".join(pieces)
+        if not text:
+            continue
+        blocks = SequenceMatcher(None, text, whole, autojunk=False).get_matching_blocks()
+        place = lambda x: max(((b.a, b.b + min(x - b.a, b.size)) for b in blocks if b.a <= x), default=(0, 0))[1]  # noqa: B023, E731
+        want, lo = [], 0
+        for p in pieces:
+            a, z = place(lo), place(lo + len(p))
+            z += next((n for n, c in enumerate(whole[z:]) if c not in "，。！？、；：,.!?;:"), len(whole) - z)
+            want.append(whole[a:z].strip() or p)
+            lo += len(p)
+        assert diff.carried_over(pieces, whole) == want
 
 
 def test_fuse_keeps_the_text(frame):
