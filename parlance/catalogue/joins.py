@@ -111,6 +111,23 @@ def candidate_frequency(spark, sf_dir):
     return summaries.candidate_frequency(pairs, 2)
 
 
+@query(f"""WITH {SEG}, p AS (SELECT speaker || '-' || rec_id AS wrong, 'v' || (event_id % 3) AS "right", 'context ' || event_id AS c, event_id AS pos FROM seg)
+SELECT wrong, "right", count(*) AS freq, arg_min(c, pos) AS context_asr FROM p GROUP BY 1, 2 ORDER BY freq DESC, wrong, "right" LIMIT 200""")
+def top_candidates(spark, sf_dir):
+    """The 200 most frequent corrections that were mined."""
+    s = segments(spark, sf_dir)
+    text = lambda x: F.col(x).cast("string")
+    pairs = s.select(F.concat("speaker", F.lit("-"), text("rec_id")).alias("wrong"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")).alias("right"), F.concat(F.lit("context "), text("event_id")).alias("context_asr"), F.col("event_id").alias("pos"))
+    return summaries.candidate_frequency(pairs, 1, 200)
+
+
+@query("SELECT conv_id AS rec_id, turn AS seq, substr(text, 1, turn % 4) AS text FROM conversations WHERE length(trim(substr(text, 1, turn % 4))) >= 2")
+def overlap_replies(spark, sf_dir):
+    """Texts from overlapped speech that are long enough to keep."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("seq"), F.substring("text", 1, (F.col("turn") % 4).cast("int")).alias("text"))
+    return summaries.long_enough(c, 2)
+
+
 @query(f"WITH {SEG} SELECT rec_id, seq, CASE WHEN count(*) OVER (PARTITION BY rec_id, speaker) < 13 THEN 'noise' ELSE speaker END AS spk FROM seg")
 def noise_clusters(spark, sf_dir):
     return summaries.noise_clusters(segments(spark, sf_dir), 13, "speaker").select("rec_id", "seq", "spk")

@@ -15,10 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local session (tests) without one gets its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="parlance-")
+        atexit.register(shutil.rmtree, at, True)
+        spark.sparkContext.setCheckpointDir(at)
+        at = spark.sparkContext.getCheckpointDir()
+    return at.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the package to the executors, once an application, so that it need not be installed there.
 
-    The archive goes to the folder in spark.checkpoint.dir, which executors share; where none is set (tests), to a local one.
+    The archive goes to the shared folder.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
@@ -27,11 +40,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="parlance-")
-        atexit.register(shutil.rmtree, shared, True)
-    at = f"{shared.rstrip('/')}/parlance_{uuid.uuid4().hex}.zip"
+    at = f"{shared_dir(spark)}/parlance_{uuid.uuid4().hex}.zip"
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(buffer.getvalue()))

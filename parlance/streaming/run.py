@@ -6,12 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from parlance.session import shared_dir
+
 
 def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows of a bounded run, in memory: for tests and small inputs.  State goes to the folder in spark.checkpoint.dir where that is set."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        w = w.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
-    w.start().awaitTermination()
-    return spark.table(name)
+    """All rows of a bounded run, from files in the shared folder, where its state is, too: in mode "complete" those of the last batch."""
+    spark, at, done = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream_{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{number}")  # a batch that is run again replaces its files
+        done.append(number)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    batches = sorted(set(done)) if mode == "append" else done[-1:]
+    return spark.read.schema(stream.schema).parquet(*[f"{at}/rows/{n}" for n in batches]) if batches else spark.createDataFrame([], stream.schema)
