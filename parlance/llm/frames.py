@@ -9,19 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set (tests), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or (spark.sparkContext.getCheckpointDir() or "")
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="parlance-checkpoint-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
+from parlance.session import shared_dir, ship
 
 
 def kept(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
