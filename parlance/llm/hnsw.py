@@ -4,7 +4,7 @@ Vectors of one direction (equal unit vectors in single precision: copies and mul
 thousands of copies neither crowd a neighbourhood nor a shard.  Nodes are dealt to shards by a hash; a shard's levels are
 drawn geometrically, and each level is a flat neighbour array (nodes x degree, -1 for none).  Links are chosen from the exact
 nearest nodes of the level, found in blocks, by the usual rule that drops a neighbour which is nearer to one already kept, then
-made mutual: in NumPy, blocks of exact products take a twentieth of the time of inserting nodes one by one through the graph.  All
+made mutual; nodes aren't inserted one by one through the graph.  All
 queries of a block descend together: a beam of `upper` on the upper levels, whose nodes all enter the level below, a beam of
 `beam` on the lowest.  Every shard answers every query.  All nodes of the beam are scored anew in double precision, and
 of those that are within single precision's error of the best k all ids are: near ties are settled on the original vectors.
