@@ -2,9 +2,10 @@
 
 Vectors of one direction (equal unit vectors in single precision: copies and multiples) are one node with its smallest ids, so
 thousands of copies neither crowd a neighbourhood nor a shard.  Nodes are dealt to shards by a hash; a shard's levels are
-drawn geometrically, and each level is a flat neighbour array (nodes x degree, -1 for none).  Links are chosen from the exact
-nearest nodes of the level, found in blocks, by the usual rule that drops a neighbour which is nearer to one already kept, then
-made mutual; nodes aren't inserted one by one through the graph.  All
+drawn geometrically, and each level is a flat neighbour array (nodes x degree, -1 for none).  Nodes are inserted in an order drawn
+from the shard's size, a batch at a time: each descends through the graph so far, and on every level of its own it chooses links
+among the nodes it meets there and those of its batch, by the usual rule that drops a neighbour which is nearer to one already
+kept.  Links are mutual; a node with more than `degree` of them chooses anew by that rule.  All
 queries of a block descend together: a beam of `upper` on the upper levels, whose nodes all enter the level below, a beam of
 `beam` on the lowest.  Every shard answers every query.  All nodes of the beam are scored anew in double precision, and
 of those that are within single precision's error of the best k all ids are: near ties are settled on the original vectors.
@@ -29,7 +30,9 @@ from parlance.llm import frames
 @dataclass(frozen=True)
 class Graph:
     degree: int = 24
-    near: int = 48  # exact nearest nodes from which links are chosen
+    near: int = 48  # nodes from which a new node's links are chosen
+    build: int = 64  # beam of an insertion on the lowest level
+    batch: int = 512  # nodes that are inserted together, as many as there are already at most
     beam: int = 256
     upper: int = 16
     same: int = 1024  # ids of one direction that are kept; multiples of a vector differ by rounding only, so no more can matter
@@ -42,49 +45,32 @@ def levels(n: int, degree: int) -> np.ndarray:
     return np.floor(-np.log(np.maximum(u, 1e-12)) / np.log(degree)).astype(np.int64)
 
 
-def linked(x: np.ndarray, nodes: np.ndarray, g: Graph) -> np.ndarray:
-    """The flat neighbour array of one level: rows for `nodes`, values are node numbers."""
-    n, m = len(nodes), g.degree
-    out = np.full((n, m), -1, np.int32)
-    if n < 2:
-        return out
-    k, v = min(g.near, n - 1), x[nodes]
-    half = m // 2
-    kept = np.full((n, half), -1, np.int64)
-    for lo in range(0, n, 1024):
-        s = v[lo : lo + 1024] @ v.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        sim = np.take_along_axis(s, near, 1)
-        order = np.argsort(-sim, axis=1)
-        near, sim = np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
-        among = np.einsum("akd,ajd->akj", v[near], v[near])
-        take = np.zeros(near.shape, bool)
-        count = np.zeros(len(near), np.int64)
-        for j in range(k):
-            closer = (take & (among[:, j, :] > sim[:, j : j + 1])).any(1)
-            take[:, j] = ~closer & (count < half)
-            count += take[:, j]
-        for j in range(k):  # places left go to the nearest of the others
-            more = ~take[:, j] & (count < half)
-            take[more, j] = True
-            count += more
-        row, col = np.nonzero(take)
-        place = np.cumsum(take, 1)[row, col] - 1
-        kept[lo + row, place] = near[row, col]
-    out[:, :half] = kept
-    # the way back; a node that is popular keeps the nearest that chose it
-    src, col = np.nonzero(kept >= 0)
-    dst = kept[src, col]
-    new = ~(kept[dst] == src[:, None]).any(1)
-    src, dst = src[new], dst[new]
-    order = np.lexsort((-np.einsum("ad,ad->a", v[src], v[dst]), dst))
-    src, dst = src[order], dst[order]
-    first = np.searchsorted(dst, dst, "left")
-    place = np.arange(len(dst)) - first
-    ok = place < m - half
-    out[dst[ok], half + place[ok]] = src[ok]
-    return np.where(out >= 0, nodes[np.maximum(out, 0)], -1).astype(np.int32)
+def chosen(x: np.ndarray, near: np.ndarray, sim: np.ndarray, most: int) -> np.ndarray:
+    """Of candidates `near` (node numbers, -1 for none) in descending order of `sim`, a mask of `most` a row: those that are nearer to
+    the row's node than to any taken before, then the nearest of the others."""
+    v = x[np.maximum(near, 0)]
+    among = v @ v.transpose(0, 2, 1)
+    some = near >= 0
+    take = np.zeros(near.shape, bool)
+    count = np.zeros(len(near), np.int64)
+    for j in range(near.shape[1]):
+        closer = (take & (among[:, j, :] > sim[:, j : j + 1])).any(1)
+        take[:, j] = some[:, j] & ~closer & (count < most)
+        count += take[:, j]
+    for j in range(near.shape[1]):
+        more = some[:, j] & ~take[:, j] & (count < most)
+        take[more, j] = True
+        count += more
+    return take
+
+
+def similarities(x: np.ndarray, who: np.ndarray, near: np.ndarray) -> np.ndarray:
+    return np.where(near >= 0, np.einsum("ad,akd->ak", x[who], x[np.maximum(near, 0)]), -np.inf).astype(np.float32)
+
+
+def descending(near: np.ndarray, sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(-sim, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
 
 
 class Index:
@@ -98,8 +84,58 @@ class Index:
             nodes = np.flatnonzero(top >= level)
             row = np.full(len(x), -1, np.int32)
             row[nodes] = np.arange(len(nodes))
-            self.levels.append((row, linked(x, nodes, g)))
+            self.levels.append((row, np.full((len(nodes), g.degree), -1, np.int32)))
         self.entry = int(np.argmax(top)) if len(x) else -1
+        order = np.random.default_rng(len(x)).permutation(len(x))
+        order = order[order != self.entry]
+        done = 0
+        while done < len(order):
+            new = order[done : done + min(max(done, 64), g.batch)]
+            self.insert(new, top)
+            done += len(new)
+
+    def insert(self, new: np.ndarray, top: np.ndarray) -> None:
+        """Nodes descend through the graph so far and are linked to nodes found there and among themselves, level by level."""
+        x, g = self.x, self.g
+        at = np.full((len(new), 1), self.entry, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            at, score = self.walk(x[new], at, level, g.upper if level else g.build)
+            here = top[new] >= level
+            who = new[here]
+            if not len(who):
+                continue
+            mates = x[who] @ x[who].T
+            np.fill_diagonal(mates, -np.inf)
+            near = np.concatenate([at[here], np.broadcast_to(who, mates.shape)], 1)
+            near, sim = descending(near, np.concatenate([score[here], mates], 1), g.near)
+            near = np.where(sim > -np.inf, near, -1)
+            self.link(level, who, near, chosen(x, near, sim, g.degree // 2))
+
+    def link(self, level: int, who: np.ndarray, near: np.ndarray, take: np.ndarray) -> None:
+        """Links of new nodes and the way back; a node with too many chooses anew among all it has."""
+        x, m = self.x, self.g.degree
+        row, links = self.levels[level]
+        r, c = np.nonzero(take)
+        links[row[who[r]], np.cumsum(take, 1)[r, c] - 1] = near[r, c]
+        src, dst = who[r], near[r, c]
+        back = ~(links[row[dst]] == src[:, None]).any(1)
+        src, dst = src[back], dst[back]
+        order = np.lexsort((-np.einsum("ad,ad->a", x[src], x[dst]), dst))
+        src, dst = src[order], dst[order]
+        place = np.arange(len(dst)) - np.searchsorted(dst, dst, "left")
+        ok = place < m  # of more the nearest
+        popular, at = np.unique(dst[ok], return_inverse=True)
+        came = np.full((len(popular), m), -1, np.int64)
+        came[at, place[ok]] = src[ok]
+        for lo in range(0, len(popular), 1024):
+            own = popular[lo : lo + 1024]
+            every = np.concatenate([links[row[own]], came[lo : lo + 1024]], 1)
+            every, sim = descending(every, similarities(x, own, every), 2 * m)
+            crowded = (every[:, m:] >= 0).any(1)
+            keep = np.arange(2 * m) < np.where(crowded, 0, m)[:, None]
+            keep[crowded] = chosen(x, every[crowded], sim[crowded], m)
+            first = np.argsort(~keep, axis=1, kind="stable")[:, :m]
+            links[row[own]] = np.take_along_axis(every, first, 1)
 
     def search(self, q: np.ndarray, k: int) -> np.ndarray:
         """Numbers of about the k nearest nodes for each of the unit vectors q, nearest first, -1 for none."""
@@ -178,7 +214,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", v
     dealt = nodes.select(F.pmod(F.xxhash64("own", F.lit(7)), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("side"), F.col("own").cast(own))
     each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"), F.array(F.struct("id", "v")).cast(own).alias("own"))
     # by range, so that no two shards share a task
-    both = dealt.unionByName(each).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "side")
+    both = dealt.unionByName(each).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "side", "own")
 
     def f(batches):
         shard, held, index = None, [], {}

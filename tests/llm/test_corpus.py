@@ -495,7 +495,7 @@ def test_multiples_of_one_vector(spark):
     assert got == sorted(exact.items(), key=lambda h: (-h[1], h[0]))[:5]
 
 
-@pytest.mark.parametrize("clusters", [8, 40])
+@pytest.mark.parametrize("clusters", [3, 8, 40])
 def test_recall_in_clusters_at_shipped_parameters(clusters):
     r = np.random.default_rng(clusters)
     x = (r.normal(size=(clusters, 64))[r.integers(0, clusters, 8192)] + 0.15 * r.normal(size=(8192, 64))).astype(np.float32)
@@ -508,6 +508,31 @@ def test_recall_in_clusters_at_shipped_parameters(clusters):
     assert recall >= 0.95, recall
 
 
+def test_graph_of_inserted_nodes():
+    """Links are of a level's nodes, none twice or to itself; every node is met from the entry; the same rows give the same graph."""
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 65, 1500):
+        x = r.normal(size=(n, 16)).astype(np.float32)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        index = hnsw.Index(u)
+        again = hnsw.Index(u)
+        assert all((a[1] == b[1]).all() for a, b in zip(index.levels, again.levels))
+        for row, links in index.levels:
+            nodes = np.flatnonzero(row >= 0)
+            for node in nodes:
+                near = links[row[node]][links[row[node]] >= 0].tolist()
+                assert len(near) == len(set(near)) and node not in near and set(near) <= set(nodes.tolist())
+        if not n:
+            continue
+        links, met, open_ = index.levels[0][1], {index.entry}, [index.entry]
+        while open_:
+            for near in links[open_.pop()].tolist():
+                if near >= 0 and near not in met:
+                    met.add(near)
+                    open_.append(near)
+        assert len(met) >= 0.99 * n
+
+
 # --- near copies ---
 
 
