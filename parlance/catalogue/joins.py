@@ -81,9 +81,17 @@ def named_speakers(spark, sf_dir):
     return joins.named_speakers(rows, names).select("rec_id", "seq", "speaker")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PARTS}, b AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY start_ms, seq) AS k FROM sents),
+c AS (SELECT rec_id, k, greatest(abs(b.start_ms - a.start_ms), abs(b.end_ms - a.end_ms)) AS d, a.start_ms AS s, a.seq AS q FROM b JOIN turns a USING (rec_id) WHERE a.start_ms <= b.end_ms AND a.end_ms >= b.start_ms),
+l AS (SELECT rec_id, k, list({{'d': d, 'q': q}} ORDER BY d, s, q) AS near FROM c GROUP BY ALL),
+n AS (SELECT rec_id, b.seq, k, 5000000 + b.end_ms - b.start_ms AS most, coalesce(near, []) AS near FROM b LEFT JOIN l USING (rec_id, k)),
+f AS (SELECT DISTINCT rec_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq_b, CAST(NULL AS BIGINT) AS seq_a, CAST([] AS BIGINT[]) AS taken FROM n
+  UNION ALL SELECT rec_id, k, seq, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM
+    (SELECT rec_id, k, seq, taken, CASE WHEN x.d <= most THEN x.q END AS pick FROM
+      (SELECT n.rec_id, n.k, n.seq, n.most, f.taken, list_filter(n.near, lambda y: NOT list_contains(f.taken, y.q))[1] AS x FROM f JOIN n ON f.rec_id = n.rec_id AND n.k = f.k + 1)))
+SELECT rec_id, seq_b, seq_a FROM f WHERE k > 0""")
 def greedy_align(spark, sf_dir):
-    """One-to-one matching in order, which is stateful."""
+    """One-to-one matching in order, which is stateful: in SQL, recursion with a list of what is taken."""
     return folds.time_align(turns(spark, sf_dir), sentences(spark, sf_dir), 5_000_000)
 
 
