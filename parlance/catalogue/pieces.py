@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from parlance.catalogue.audio_text import MMSS, REPEATED
@@ -29,7 +29,7 @@ def window_means(spark, sf_dir):
     return vectors.window_means(e, "segment").select("segment", F.posexplode("centroid").alias("pos", "x"))
 
 
-@query(f"""WITH {UNITS}, r AS (SELECT vec_id, u, row_number() OVER (ORDER BY label, vec_id) - 1 AS o FROM u), g AS (SELECT o // 3 AS rec_id, o % 3 AS seq, u FROM r),
+@query(f"""WITH {UNITS}, g AS (SELECT vec_id // 3 AS rec_id, vec_id % 3 AS seq, u FROM u),
 t AS (SELECT rec_id, any_value(u) FILTER (seq = 0) AS a, any_value(u) FILTER (seq = 1) AS b, any_value(u) FILTER (seq = 2) AS c FROM g GROUP BY 1 HAVING count(*) = 3),
 d AS (SELECT rec_id, 1 - list_dot_product(a, b) AS ab, 1 - list_dot_product(a, c) AS ac, 1 - list_dot_product(b, c) AS bc FROM t),
 m AS (SELECT *, least(ab, ac, bc) AS m FROM d),
@@ -38,12 +38,7 @@ l AS (SELECT rec_id, CASE j WHEN 'none' THEN [0, 1, 2] WHEN 'all' THEN [0, 0, 0]
 SELECT CAST(rec_id AS BIGINT) AS rec_id, CAST(s AS BIGINT) AS seq, CAST(l[s + 1] AS BIGINT) AS label FROM l, (SELECT unnest([0, 1, 2]) AS s)""")
 def clusters_of_three(spark, sf_dir):
     """Average linkage with a threshold on similarity, of recordings of three vectors each, where SQL can say it."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    # a number a row, from counts by label: no window over the whole table
-    before = e.alias("x").select("label").groupBy("label").count()
-    starts = before.alias("p").join(before.alias("q"), F.col("q.label") < F.col("p.label"), "left").groupBy("p.label").agg(F.coalesce(F.sum("q.count"), F.lit(0)).alias("start"))
-    o = F.col("start") + F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.join(starts, "label").withColumn("o", o).select(F.floor(F.col("o") / 3).alias("rec_id"), (F.col("o") % 3).alias("seq"), "embedding")
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("rec_id"), (F.col("vec_id") % 3).alias("seq"), "embedding")
     whole = rows.groupBy("rec_id").count().filter("count = 3").select("rec_id")
     return clustering.cluster_similar(rows.join(whole, "rec_id"), 0.05)
 
