@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: quality rules, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and is written and read
-again before the next one.
+again before the next one.  All but the last return the columns they got, whatever else they are called; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,22 +14,22 @@ from parlance.llm.queries import surrogate_key, tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go.  Null and empty texts have too few words and are rejected; repeated rows are judged alike, each by itself."""
     return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays, that of smallest doc_id; of repeated rows one, those without doc_id all."""
     return near_copies.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities in the texts give way to surrogates of the same length, so n_chars stays true."""
+    """Entities in the texts give way to surrogates of the same length, so n_chars stays true.  Rows stay; null texts stay null."""
     return private.replaced(docs, surrogate_key(spark))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences.  A null or empty text is its end id alone; repeated rows have a place each."""
     return packing.pack(docs, tokenizer_path())
 
 
