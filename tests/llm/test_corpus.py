@@ -813,3 +813,35 @@ def test_stages_keep_the_columns(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, str(DATA))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_on_odd_rows_and_on_none(spark, odd):
+    """Nulls, empty and long texts, ties, repeated rows and an empty table: no stage fails, rows go only where a stage says so."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (odd, odd.limit(0)):
+        rows = [tuple(r) for r in docs.collect()]
+        at = docs.columns.index("text")
+        for name in ("quality_rules", "near_duplicates", "personal_data"):
+            out = stages[name](spark, docs, "")
+            assert out.columns == docs.columns
+            got = out.collect()
+            if name == "personal_data":
+                assert len(got) == len(rows)
+                assert sorted(r[at] is None for r in got) == sorted(r[at] is None for r in rows)
+            else:
+                assert not Counter(map(repr, map(tuple, got))) - Counter(map(repr, rows))
+            if name == "quality_rules":
+                assert all(r[at] for r in got)
+        places = stages["best_fit_packing"](spark, docs, "").select("sequence_id", "offset", "length", "piece").collect()
+        assert sum(r.piece == 0 for r in places) == len(rows)
+        filled = defaultdict(list)
+        for r in places:
+            filled[r.sequence_id].append((r.offset, r.length))
+        for parts in filled.values():
+            end = 0
+            for o, n in sorted(parts):
+                assert o == end
+                end += n
+            assert end <= 2048
