@@ -12,16 +12,19 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from parlance.session import ship
 
 
-def ordered_fold(df: DataFrame, order: list[str], make: Callable[[], Fold], schema: str, key: str = "rec_id") -> DataFrame:
-    """Rows that `make()` gives for each recording's rows (dicts) in order; the recording's key is added as first column."""
+def ordered_fold(df: DataFrame, order: list[str], reads: list[str], make: Callable[[], Fold], schema: str, key: str = "rec_id") -> DataFrame:
+    """Rows that `make()` gives for each recording's rows (dicts) in order; the recording's key is added as first column.
+
+    Only the columns that the fold reads are shuffled, as far as there are any of these names.
+    """
     ship(df.sparkSession)
-    out_type = _parse_datatype_string(f"{key} {dict(df.dtypes)[key]}, {schema}")
-    assert isinstance(out_type, StructType)
+    out_type = StructType.fromDDL(f"{key} {dict(df.dtypes)[key]}, {schema}")
+    df = df.select(*[c for c in dict.fromkeys([key, *order, *reads]) if c in df.columns])
     arrow = to_arrow_schema(out_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,6 +85,7 @@ class Merge(Fold):
         return [] if o is None else [{k: v for k, v in o.items() if k[0] != "_"} | {"text": "".join(o["_parts"])}]
 
 
+SAID = ["start_ms", "end_ms", "speaker", "overlap", "text"]
 SENTENCE = "seq long, start_ms long, end_ms long, speaker string, overlap boolean, text string"
 
 
@@ -92,7 +96,7 @@ def group_paragraphs(sentences: DataFrame, gap_ms: int = 800, dur_ms: int = 60_0
     def joins(o, r):
         return o["speaker"] == r["speaker"] and r["start_ms"] - o["end_ms"] <= gap_ms and r["end_ms"] - o["start_ms"] <= dur_ms and o["_chars"] < chars
 
-    return ordered_fold(sentences, ["seq"], lambda: Merge(joins, True), SENTENCE)
+    return ordered_fold(sentences, ["seq"], SAID, lambda: Merge(joins, True), SENTENCE)
 
 
 def merge_consecutive(paragraphs: DataFrame, gap_ms: int = 5000, dur_ms: int = 180_000, chars: int = 1500, overlap_apart: bool = True) -> DataFrame:
@@ -103,7 +107,7 @@ def merge_consecutive(paragraphs: DataFrame, gap_ms: int = 5000, dur_ms: int = 1
         apart = overlap_apart and (o["overlap"] or bool(r.get("overlap")))
         return not apart and o["speaker"] == r["speaker"] and r["start_ms"] - o["end_ms"] <= gap_ms and r["end_ms"] - o["start_ms"] <= dur_ms and o["_chars"] + len(r["text"] or "") <= chars
 
-    return ordered_fold(paragraphs, ["seq"], lambda: Merge(joins, False), SENTENCE)
+    return ordered_fold(paragraphs, ["seq"], SAID, lambda: Merge(joins, False), SENTENCE)
 
 
 def group_by_gap(sentences: DataFrame, gap_ms: int = 2000, chars: int = 1500) -> DataFrame:
@@ -112,7 +116,7 @@ def group_by_gap(sentences: DataFrame, gap_ms: int = 2000, chars: int = 1500) ->
     def joins(o, r):
         return r["start_ms"] - o["end_ms"] <= gap_ms and o["_chars"] < chars
 
-    return ordered_fold(sentences, ["seq"], lambda: Merge(joins, False), SENTENCE).drop("speaker", "overlap")
+    return ordered_fold(sentences, ["seq"], SAID, lambda: Merge(joins, False), SENTENCE).drop("speaker", "overlap")
 
 
 class Blocks(Fold):
@@ -146,7 +150,7 @@ class Blocks(Fold):
 def asr_blocks(segments: DataFrame, target_ms: int = 25_000, most_ms: int = 30_000) -> DataFrame:
     """Segments packed in order into blocks of at most `most_ms`; a block closes at `target_ms`, a longer segment is a
     block of its own; blocks keep their segments."""
-    return ordered_fold(segments, ["seq"], lambda: Blocks(target_ms, most_ms), "seq long, start_ms long, end_ms long, subs array<struct<start_ms:long,end_ms:long>>")
+    return ordered_fold(segments, ["seq"], ["start_ms", "end_ms"], lambda: Blocks(target_ms, most_ms), "seq long, start_ms long, end_ms long, subs array<struct<start_ms:long,end_ms:long>>")
 
 
 class Batches(Fold):
@@ -163,7 +167,7 @@ class Batches(Fold):
 
 def char_batches(rows: DataFrame, most: int = 2500, texts: tuple[str, ...] = ("text",)) -> DataFrame:
     """Batch number of each row and the characters of its batch so far: a batch that isn't empty closes before it would pass `most` characters (of all `texts` together)."""
-    return ordered_fold(rows, ["seq"], lambda: Batches(most, texts), "seq long, batch_no int, chars long")
+    return ordered_fold(rows, ["seq"], list(texts), lambda: Batches(most, texts), "seq long, batch_no int, chars long")
 
 
 class Spaced(Fold):
@@ -179,7 +183,7 @@ class Spaced(Fold):
 
 def spaced(peaks: DataFrame, least: int) -> DataFrame:
     """Peaks (seq, place, at_ms) at least `least` places after the last one taken."""
-    return ordered_fold(peaks, ["place"], lambda: Spaced(least), "seq long, place long, at_ms long")
+    return ordered_fold(peaks, ["place"], ["seq", "at_ms"], lambda: Spaced(least), "seq long, place long, at_ms long")
 
 
 class Align(Fold):
@@ -223,4 +227,4 @@ def time_align(a: DataFrame, b: DataFrame, gap_ms: int = 2000) -> DataFrame:
 
     cols = ["rec_id", "seq", "start_ms", "end_ms"]
     both = a.select(*cols).withColumn("side", F.lit(0)).union(b.select(*cols).withColumn("side", F.lit(1)))
-    return ordered_fold(both, ["side", "start_ms", "seq"], lambda: Align(gap_ms), "seq_b long, seq_a long")
+    return ordered_fold(both, ["side", "start_ms", "seq"], ["end_ms"], lambda: Align(gap_ms), "seq_b long, seq_a long")
