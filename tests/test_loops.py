@@ -212,3 +212,41 @@ def test_cuts_and_fusion():
 @pytest.mark.parametrize("text, want", [("十块", "十块"), ("二千万", "20010000"), ("上百", "上百"), ("万", "万"), ("两千零五", "2000五"), ("三点多10000元", "三点多万元")])
 def test_numerals(text, want):
     assert numerals.mended(numerals.to_digits(text)) == want
+
+
+def test_average_linkage_is_bounded():
+    """Memory is that of the vectors, not the square of a recording's rows; rounds, chains and copies give the same clusters as a full matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 16))[rng.integers(0, 60, 5000)] + 0.1 * rng.normal(size=(5000, 16))
+    tracemalloc.start()
+    label = clustering.average_linkage(x, threshold=0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5000 * 5000 * 8 / 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.array([u[label == k].mean(0) for k in range(label.max() + 1)])
+    near = s @ s.T
+    np.fill_diagonal(near, -1)
+    assert 10 < len(s) < 200 and near.max() <= 0.8  # no two clusters are left that had to merge
+    back = clustering.average_linkage(x[::-1], threshold=0.2)[::-1]
+    assert len({*zip(back.tolist(), label.tolist())}) == len(s)  # the same sets, whatever the order
+
+
+def test_average_linkage_by_rounds_and_chains(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (2, 9, 40, 150):
+        for x in (rng.normal(size=(n, 5)), rng.normal(size=(n // 2 + 1, 5))[rng.integers(0, n // 2 + 1, n)]):
+            for options in ({"threshold": 0.3}, {"threshold": 0.9}, {"clusters": 1}, {"clusters": min(n, 3)}):
+                rounds = clustering.average_linkage(x, **options)
+                with monkeypatch.context() as m:
+                    m.setattr(clustering.Tree, "grow", lambda self, mean, name, least: self.chains(mean.copy(), name, least))
+                    assert (clustering.average_linkage(x, **options) == rounds).all()
+                assert "clusters" not in options or rounds.max() + 1 == options["clusters"]
+
+
+def test_average_linkage_of_odd_rows():
+    x = np.array([[0.0, 1.0], [np.nan, 1.0], [0.0, 2.0], [0.0, 0.0], [1.0, 0.0], [0.0, 0.0], [0.0, 1.0]])
+    assert clustering.average_linkage(x, threshold=0.5).tolist() == [0, 1, 0, 2, 3, 4, 0]
+    assert clustering.average_linkage(x, clusters=1).tolist() == [0] * 7
