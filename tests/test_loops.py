@@ -250,3 +250,49 @@ def test_average_linkage_of_odd_rows():
     x = np.array([[0.0, 1.0], [np.nan, 1.0], [0.0, 2.0], [0.0, 0.0], [1.0, 0.0], [0.0, 0.0], [0.0, 1.0]])
     assert clustering.average_linkage(x, threshold=0.5).tolist() == [0, 1, 0, 2, 3, 4, 0]
     assert clustering.average_linkage(x, clusters=1).tolist() == [0] * 7
+
+
+def test_turns_from_vectors_of_long_recordings(spark):
+    """Voices of long recordings, by the order of their first chunks; a chunk alone among another voice's takes that one."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    voices, frames, expected = rng.normal(size=(4, 24)), [], []
+    for rec in range(2):
+        said = np.repeat(rng.integers(0, 4, 900), rng.integers(1, 6, 900))
+        names = list(dict.fromkeys(said.tolist()))
+        label = [names.index(v) for v in said]
+        x = (voices[said] + 0.05 * rng.normal(size=(len(said), 24))).astype(np.float32)
+        frames.append(pd.DataFrame({"rec_id": rec, "seq": range(len(said)), "start_ms": np.arange(len(said)) * 100, "end_ms": np.arange(len(said)) * 100 + 90, "embedding": x.tolist()}))
+        last = len(label) - 1
+        smooth = [label[i - 1] if 0 < i < last and label[i - 1] == label[i + 1] else label[i] for i in range(len(label))]
+        starts = [i for i in range(len(smooth)) if not i or smooth[i] != smooth[i - 1]]
+        expected += [(rec, i * 100, j * 100 - 10, smooth[i]) for i, j in zip(starts, [*starts[1:], len(smooth)])]
+    chunks = spark.createDataFrame(pd.concat(frames), "rec_id long, seq long, start_ms long, end_ms long, embedding array<float>").repartition(5, "seq")
+    got = transcript.turns_from_vectors(chunks, chunks, threshold=0.5).select("rec_id", "start_ms", "end_ms", "spk").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
+def test_cluster_of_a_group_is_bounded(spark, monkeypatch):
+    """What a task does with a recording's rows: labels in order, in memory far below the square of the rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import GroupedData
+
+    taken = []
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: taken.append(f))
+    clustering.cluster(spark.createDataFrame([(0, 0, [1.0])], "rec_id long, seq long, embedding array<float>"), threshold=0.9)
+    rng = np.random.default_rng(6)
+    seq = rng.permutation(5000)
+    x = rng.normal(size=(5000, 16)).astype(np.float32)
+    t = pa.table({"rec_id": np.zeros(5000, np.int64), "seq": seq, "embedding": pa.array(list(x[seq]), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    out = taken[0](t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5000 * 5000 * 8 / 2
+    assert out.column("seq").to_pylist() == list(range(5000))
+    assert out.column("label").to_pylist() == clustering.average_linkage(x, threshold=0.9).tolist()
+    with pytest.raises(ValueError, match="one length"):
+        taken[0](pa.table({"rec_id": [0, 0], "seq": [0, 1], "embedding": [[1.0], None]}))
