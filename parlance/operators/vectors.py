@@ -6,12 +6,17 @@ voices; matches join through blocks of it, and a side is only broadcast by Spark
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from parlance.session import ship
+from parlance.session import shared_dir, ship
 
 EPS = 1e-8
 
@@ -78,39 +83,92 @@ def verify(queries: DataFrame, names: DataFrame, least: float = 0.40, key: str =
     return out.withColumn("margin", F.col("own_sim") - F.col("best_other")).withColumn("passed", (F.col("own_sim") >= least) & (F.col("own_sim") > F.coalesce("best_other", F.lit(-1.0))))
 
 
-def audit_pairs(names: DataFrame, threshold: float = 0.70, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+def audit_pairs(names: DataFrame, threshold: float = 0.70, key: str = "vec_id", vector: str = "embedding", block: int = 8192) -> DataFrame:
     """Pairs i < j of the registry more similar than the threshold.
 
-    All pairs have to be looked at; rows are dealt to blocks, each pair of blocks is one task's matrix product (two
-    blocks in memory), and only pairs beyond the threshold leave it.
+    All pairs have to be looked at: rows are dealt to blocks, written once to the shared folder, and each pair of blocks
+    is a row of their product, read from there and never shuffled.  A task holds two blocks and a tile of similarities; only pairs beyond
+    the threshold leave it.
     """
     ship(names.sparkSession)
-    rows = names.select(F.col(key).alias("id"), doubles(vector).alias("v")).filter("v is not null")
-    n = max(1, -(-rows.count() // block))
-    home = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    dealt = rows.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    both = dealt.select(F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), "home", "id", "v")
+    n, blocks = in_blocks(names, key, vector, block)
+    apart = F.pmod(F.col("second") - F.col("no"), F.lit(n))  # each block meets half of the others
+    meets = (2 * apart < n) | ((2 * apart == n) & (F.col("no") < F.col("second")))
+    others = blocks.select(F.col("no").alias("second"), F.col("ids").alias("ids2"), F.col("width").alias("width2"), F.col("v").alias("v2"))
+    both = blocks.join(others.hint("shuffle_replicate_nl"), meets)
     kind = dict(names.dtypes)[key]
-
-    def f(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        lo, home, ids = (t.column(c).to_numpy() for c in ("lo", "home", "id"))
-        x = np.array(t.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        size = np.sqrt((x * x).sum(1))
-        one = np.flatnonzero(home == lo)
-        two = np.flatnonzero(home != lo) if (home != lo).any() or (t.column("hi").to_numpy() != lo).any() else one
-        out = []
-        for at in range(0, len(one), 512):
-            p = one[at : at + 512]
-            sim = x[p] @ x[two].T / (np.outer(size[p], size[two]) + EPS)
+    out = pa.schema([("i", to_arrow_type(both.schema["ids"].dataType.elementType)), ("j", to_arrow_type(both.schema["ids"].dataType.elementType)), ("sim", pa.float64())])
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for t in batches:
+            for k in range(len(t)):
+                one, two = (unpacked(t, k, *c) for c in (("ids", "width", "v"), ("ids2", "width2", "v2")))
+                same = t.column("no")[k] == t.column("second")[k]
+                for i, j, sim in similar(*one, *two, threshold):
+                    keep = (i < j) if same else (i != j)
+                    found.append((np.minimum(i, j)[keep], np.maximum(i, j)[keep], sim[keep]))
+                    size += len(found[-1][0])
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), x.type) for c, x in zip(zip(*found), out)], schema=out)
+                        found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), x.type) for c, x in zip(zip(*found), out)], schema=out)
+
+    return both.mapInArrow(f, f"i {kind}, j {kind}, sim double")
+
+
+def in_blocks(names: DataFrame, key: str, vector: str, block: int) -> tuple[int, DataFrame]:
+    """Rows in blocks of about `block`, a row each (no from 0, ids, width, v: the vectors' bytes), in a table of the shared folder; and how many numbers there are."""
+    spark, kinds = names.sparkSession, dict(names.dtypes)
+    wide = "float" if kinds[vector] == "array<float>" else "double"
+    rows = names.select(F.col(key).alias("id"), F.col(vector).cast(f"array<{wide}>").alias("v")).filter("id is not null and v is not null")
+    n = max(1, -(-rows.count() // block))
+    schema = f"no int, ids array<{kinds[key]}>, width int, v binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        t = list(batches)
+        if not any(len(b) for b in t):
+            return
+        t = pa.Table.from_batches(t).combine_chunks()
+        ids, v = t.column("id").combine_chunks(), t.column("v").combine_chunks()
+        width = pc.list_value_length(v).unique().to_pylist()
+        if len(width) > 1:
+            raise ValueError(f"vectors have to have one length, not {width[:5]}")
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        yield pa.record_batch({
+            "no": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            "width": pa.array(width, pa.int32()), "v": pa.array([flat.astype(np.float32 if wide == "float" else np.float64).tobytes()], pa.binary()),
+        })
+
+    at = f"{shared_dir(spark)}/parlance/blocks-{uuid.uuid4().hex}"
+    rows.repartition(n).mapInArrow(pack, schema).write.parquet(at)
+    return n, spark.read.schema(schema).parquet(at)
+
+
+def unpacked(t: pa.RecordBatch, k: int, ids: str, width: str, v: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors (in double precision) of the block in row k."""
+    i = t.column(ids)[k].values
+    raw = t.column(v)[k].as_buffer()
+    x = np.frombuffer(raw, np.float32 if raw.size == 4 * len(i) * t.column(width)[k].as_py() else np.float64)
+    return i.to_numpy(zero_copy_only=False), x.astype(np.float64).reshape(len(i), -1)
+
+
+def similar(ids: np.ndarray, x: np.ndarray, ids2: np.ndarray, y: np.ndarray, threshold: float, rows: int = 256, columns: int = 2048):
+    """Tile by tile: ids of the rows of x and y that are more similar than the threshold, and the similarity."""
+    nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+    for at in range(0, len(x), rows):
+        p = slice(at, at + rows)
+        for left in range(0, len(y), columns):
+            q = slice(left, left + columns)
+            both = np.multiply.outer(nx[p], ny[q])
+            both += EPS
+            sim = x[p] @ y[q].T
+            sim /= both
             a, b = np.nonzero(sim > threshold)
-            i, j = ids[p[a]], ids[two[b]]
-            keep = (i < j) if two is one else (i != j)
-            out.append((np.minimum(i, j)[keep], np.maximum(i, j)[keep], sim[a, b][keep]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [ids[:0], ids[:0], np.zeros(0)]
-        return pa.table({"i": cols[0], "j": cols[1], "sim": cols[2]})
-
-    return both.groupBy("lo", "hi").applyInArrow(f, f"i {kind}, j {kind}, sim double")
+            yield ids[p][a], ids2[q][b], sim[a, b]
 
 
 def upsert(registry: DataFrame, rows: DataFrame) -> DataFrame:

@@ -296,3 +296,25 @@ def test_cluster_of_a_group_is_bounded(spark, monkeypatch):
     assert out.column("label").to_pylist() == clustering.average_linkage(x, threshold=0.9).tolist()
     with pytest.raises(ValueError, match="one length"):
         taken[0](pa.table({"rec_id": [0, 0], "seq": [0, 1], "embedding": [[1.0], None]}))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_audit_pairs_moves_no_vector_twice(spark, kind):
+    """Pairs of blocks are read from one table of the blocks: nothing is shuffled by pairs, and all pairs are found."""
+    from parlance.operators import vectors
+
+    rng = np.random.default_rng(7)
+    for n, block in ((700, 64), (512, 64), (130, 64), (40, 64), (3, 64), (0, 64)):
+        x = rng.normal(size=(n, 6)).astype(np.float32).astype(float)
+        x[5:9] = x[5:6]
+        ids = rng.permutation(3 * n)[:n]
+        ids[20:22] = ids[20:21]  # one id twice
+        rows = [(int(i), v) for i, v in zip(ids, x.tolist())] + [(None, [1.0] * 6), (10**9, None)]
+        got = vectors.audit_pairs(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), 0.8, block=block)
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        size = np.linalg.norm(x, axis=1)
+        sim = x @ x.T / (np.outer(size, size) + 1e-8)
+        expected = sorted((int(ids[a]), int(ids[b]), round(sim[a, b], 9)) for a, b in zip(*np.nonzero(sim > 0.8)) if ids[a] < ids[b])
+        assert sorted((r.i, r.j, round(r.sim, 9)) for r in got.collect()) == expected
+        assert n < 40 or expected
