@@ -173,17 +173,18 @@ def nearest(mean: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, best
 
 
-def cluster(rows: DataFrame, key: str = "rec_id", order: str = "seq", vector: str = "embedding", **options) -> DataFrame:
-    """rec_id, seq, label of every row."""
+def cluster(rows: DataFrame, key: str = "rec_id", order: str = "seq", vector: str = "embedding", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """rec_id, seq, label of every row, and the columns `keep`, which break ties of seq."""
     ship(rows.sparkSession)
 
     def f(t: pa.Table) -> pa.Table:
-        t = t.take(pc.sort_indices(t.column(order))).combine_chunks()
+        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in (order, *keep)])).combine_chunks()
         label = average_linkage(matrix(t.column(vector)), **options)
-        return pa.table({key: t.column(key), order: t.column(order), "label": pa.array(label, pa.int64())})
+        return t.select([key, order, *keep]).append_column("label", pa.array(label, pa.int64()))
 
     kinds = dict(rows.dtypes)
-    return rows.select(key, order, vector).groupBy(key).applyInArrow(f, f"{key} {kinds[key]}, {order} {kinds[order]}, label long")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, order, *keep))
+    return rows.select(key, order, *keep, vector).groupBy(key).applyInArrow(f, f"{schema}, label long")
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -11,8 +11,7 @@ from parlance.operators import clustering, folds, intervals, joins, vectors
 
 def turns_from_vectors(segments: DataFrame, chunks: DataFrame, clusters: int | None = None, threshold: float = 0.7, fine: bool = True) -> DataFrame:
     """Segments and their chunks with vectors (rec_id, seq, start_ms, end_ms, embedding) to speaker turns."""
-    labels = clustering.cluster(chunks, clusters=clusters, threshold=threshold)
-    named = chunks.drop("embedding").join(labels, ["rec_id", "seq"])
+    named = clustering.cluster(chunks, keep=("start_ms", "end_ms"), clusters=clusters, threshold=threshold).dropna(subset=["rec_id", "seq"])
     return intervals.smooth_islands(named) if fine else intervals.segment_votes(segments, named)
 
 

@@ -273,6 +273,18 @@ def test_turns_from_vectors_of_long_recordings(spark):
     assert sorted(map(tuple, got)) == expected
 
 
+def test_turns_from_vectors_label_each_chunk_once(spark, monkeypatch):
+    """Times go through the clustering with the vectors: rows of one seq aren't joined with each other, and each has its own label."""
+    monkeypatch.setattr(transcript.intervals, "smooth_islands", lambda named: named)
+    rows = [(rec, k // 20, 100 * k, 100 * k + 90, [[1.0, 0.0], [0.0, 1.0]][k % 2]) for rec in range(2) for k in range(200)]
+    odd = [(None, 0, 0, 90, [1.0, 0.0]), (0, None, 0, 90, [0.0, 1.0])]  # without recording or place: no chunks
+    chunks = spark.createDataFrame(rows + odd, "rec_id long, seq long, start_ms long, end_ms long, embedding array<float>").repartition(3)
+    named = transcript.turns_from_vectors(chunks, chunks, threshold=0.5)
+    got = named.select("rec_id", "seq", "start_ms", "end_ms", "label").collect()
+    assert sorted(map(tuple, got)) == [(*r[:4], r[2] // 100 % 2) for r in rows]
+    assert "Join" not in named._jdf.queryExecution().toString()
+
+
 def test_cluster_of_a_group_is_bounded(spark, monkeypatch):
     """What a task does with a recording's rows: labels in order, in memory far below the square of the rows."""
     import tracemalloc
